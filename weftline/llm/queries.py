@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import components, survivor
+from weftline.llm import bpe, components, lookalike, mixing, survivor
+from weftline.functions.tables import small
 from weftline.runtime import Stage, load
 
 P5_FIELDS = ["firstName", "middleName", "lastName", "dob", "cob", "anumber", "ssn", "fin", "driversLicense", "passport", "i94", "travel_doc"]
@@ -42,11 +43,56 @@ def p6_identity_span(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(reached, "group_id", "left").select("group_id", "n_parties", F.coalesce("n_identities", F.lit(0)).alias("n_identities"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(load(spark, d, "documents"), "doc_id", "text", bpe.vocabulary(spark))
+
+
+def _p8_mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]]:
+    targets = load(spark, d, "mix_targets")
+    docs = load(spark, d, "documents").select("doc_id", "source", "text").join(small(targets.select("source").distinct()), "source", "left_semi")
+    sizes = mixing.with_hash(bpe.count_tokens(docs, "text", bpe.vocabulary(spark)), "doc_id", 8)
+    sizes = Stage(spark, "p8").write(sizes, "sizes")
+    shares = mixing.budgets(sizes, targets)
+    mixing.find_thresholds(sizes, shares)
+    return mixing.select(sizes, shares, spark), shares
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_mix(spark, d)[0].select("doc_id", "source", "n_tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    chosen, shares = _p8_mix(spark, d)
+    return mixing.report(chosen, shares, spark)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    keys = Stage(spark, "p9").write(lookalike.keyed(load(spark, d, "documents"), "doc_id", "text"), "keys")
+    return lookalike.look_pairs(keys)
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in which something is seen, with the smallest document of the same look."""
+    keys = Stage(spark, "p9").write(lookalike.keyed(load(spark, d, "documents"), "doc_id", "text"), "keys")
+    first = keys.groupBy("look").agg(F.min("doc_id").alias("class_id"))
+    return keys.join(first, "look").select("doc_id", "class_id")
+
+
+def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", lookalike.canonical_form("text").alias("canonical"))
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_golden": p5_golden,
     "p6_found": p6_found,
     "p6_identity_span": p6_identity_span,
+    "p7_ids": p7_ids,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_classes": p9_classes,
+    "p9_canonical": p9_canonical,
 }
 
 _ENDS = r"^[\s\p{Z}\x1c-\x1f\x{85}]+|[\s\p{Z}\x1c-\x1f\x{85}]+$"
