@@ -17,11 +17,10 @@ given twice counts with its summed share and smallest cap; a cap below 1 selects
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BITS, LEVELS = 12, 5
 
@@ -35,7 +34,7 @@ class Share:
     tokens: int = 0
     passes: int = 0
     rest: int = 0
-    threshold: int = 0  # texts with a hash below serve once more
+    segments: list = field(default_factory=list)  # (lo, hi, most): texts of lo <= hash < hi and at most that many tokens serve once more
 
 
 def with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -65,46 +64,79 @@ def budgets(sizes: DataFrame, targets: DataFrame, max_sources: int = 10_000) ->
     return shares
 
 
-def find_thresholds(sizes: DataFrame, shares: list[Share]) -> None:
-    """Set each share's threshold so that the texts below hold its rest, as near as they can."""
-    open_at = {s.source: (0, s.rest) for s in shares if s.rest > 0}  # source -> (prefix of the hash, tokens still wanted)
+def find_thresholds(sizes: DataFrame, shares: list[Share], tolerance: float = 1e-4, max_rounds: int = 8) -> None:
+    """Set each share's segments so that the texts in them hold its rest, as near as they can.
+
+    The first segment runs from 0 to the hash of the text that no longer fits. While more than
+    ``tolerance`` of a source's tokens is still missing, a further segment continues behind that
+    text with those that are small enough; on large corpora the first one is near enough.
+    """
+    wanted = {s.source: s.rest for s in shares if s.rest > 0}
     by_name = {s.source: s for s in shares}
+    start = dict.fromkeys(wanted, 0)
+    for _ in range(max_rounds):
+        if not wanted:
+            return
+        ends, left = _segment_ends(sizes, start, wanted)
+        for source in list(wanted):
+            share, most = by_name[source], wanted[source]
+            if source not in ends:  # no text fits any more
+                del wanted[source]
+                continue
+            share.segments.append((start[source], ends[source], most))
+            start[source], wanted[source] = ends[source], left[source]
+            if left[source] <= tolerance * (share.passes * share.tokens + share.rest):
+                del wanted[source]
+
+
+def _segment_ends(sizes: DataFrame, start: dict[str, int], wanted: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+    """Where each source's tokens, from its start and of texts no larger than what is wanted, reach
+    what is wanted; and what is missing there."""
+    open_at = {s: (0, w) for s, w in wanted.items()}  # source -> (prefix of the hash, tokens still wanted)
+    ends: dict[str, int] = {}
+    left: dict[str, int] = {}
+
+    def lookup(values: dict[str, int]):
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("source")).cast("long")
+
+    fitting = sizes.filter(F.col("source").isin(*wanted)).filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= lookup(wanted)) & (F.col("h") >= lookup(start)))
     for level in range(LEVELS):
         if not open_at:
-            return
+            break
         shift = BITS * (LEVELS - 1 - level)
-        prefix = F.create_map(*[F.lit(x) for kv in open_at.items() for x in (kv[0], kv[1][0])])
-        inside = sizes.filter(F.col("source").isin(*open_at)).withColumn("__prefix", F.try_element_at(prefix, F.col("source")).cast("long"))
+        inside = fitting.filter(F.col("source").isin(*open_at))
         if level:
-            inside = inside.filter(F.shiftright("h", shift + BITS) == F.col("__prefix"))
+            inside = inside.filter(F.shiftright("h", shift + BITS) == lookup({s: p for s, (p, _) in open_at.items()}))
         histogram = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
         buckets: dict[str, list] = {}
         for r in histogram.collect():  # at most 2 ** BITS rows per source
             buckets.setdefault(r.source, []).append((r.bucket, r.tokens, r.docs))
         again = {}
-        for source, (_, wanted) in open_at.items():
-            share = by_name[source]
+        for source, (_, missing) in open_at.items():
+            if source not in buckets:
+                continue
             for bucket, tokens, docs in sorted(buckets[source]):
-                if wanted < tokens:
-                    if docs == 1 or level == LEVELS - 1:
-                        share.threshold = (bucket + (wanted * 2 >= tokens)) << shift
-                    elif wanted == 0:
-                        share.threshold = bucket << shift
+                if missing < tokens:
+                    if docs > 1 and level < LEVELS - 1 and missing > 0:
+                        again[source] = (bucket, missing)
                     else:
-                        again[source] = (bucket, wanted)
+                        ends[source], left[source] = max(bucket << shift, start[source]), missing
                     break
-                wanted -= tokens
+                missing -= tokens
             else:
-                share.threshold = (max(buckets[source])[0] + 1) << shift
+                ends[source], left[source] = (max(buckets[source])[0] + 1) << shift, missing
         open_at = again
+    return ends, left
 
 
 def select(sizes: DataFrame, shares: list[Share], spark: SparkSession) -> DataFrame:
     """sizes with copies, the times each text is used; texts that aren't used are left out."""
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("__passes", T.LongType()), T.StructField("__threshold", T.LongType())])
-    plan = spark.createDataFrame([(s.source, s.passes, s.threshold) for s in shares], schema)
-    copies = F.col("__passes") + (F.col("h") < F.col("__threshold")).cast("long")
-    return sizes.filter("n_tokens > 0").join(F.broadcast(plan), "source").withColumn("copies", copies.cast("int")).filter("copies > 0").drop("__passes", "__threshold")
+    schema = "source string, __passes long, __segments array<struct<lo:long,hi:long,most:long>>"
+    plan = spark.createDataFrame([(s.source, s.passes, s.segments) for s in shares], schema)
+    more = F.exists("__segments", lambda g: (F.col("h") >= g["lo"]) & (F.col("h") < g["hi"]) & (F.col("n_tokens") <= g["most"]))
+    copies = F.col("__passes") + more.cast("long")
+    # the plan has one row per target source
+    return sizes.filter("n_tokens > 0").join(F.broadcast(plan), "source").withColumn("copies", copies.cast("int")).filter("copies > 0").drop("__passes", "__segments")
 
 
 def report(chosen: DataFrame, shares: list[Share], spark: SparkSession) -> DataFrame:

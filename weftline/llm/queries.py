@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, components, lookalike, mixing, survivor
+from weftline.llm import bpe, components, lookalike, mixing, pii, survivor
 from weftline.functions.tables import small
 from weftline.runtime import Stage, load
 
 P5_FIELDS = ["firstName", "middleName", "lastName", "dob", "cob", "anumber", "ssn", "fin", "driversLicense", "passport", "i94", "travel_doc"]
 
 
+P2_FIELDS = ["ClinicalData", "SpecialNeeds"]
+
+
+def _p2_model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
+    gaz = pii.build_gazetteer(load(spark, d, "rpt_bronze_party"), ["firstName", "middleName"], ["lastName"])
+    spans = Stage(spark, "p2").write(pii.find_spans(load(spark, d, "tripmaster"), "row_id", P2_FIELDS, gaz), "spans")
+    return spans, pii.fit_on(spans, gaz)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(*_p2_model(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(load(spark, d, "tripmaster"), "row_id", P2_FIELDS, _p2_model(spark, d)[1])
+
+
 def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
     return survivor.long_rows(load(spark, d, "rpt_bronze_party"), load(spark, d, "placeholder_values"), load(spark, d, "source_trust"), P5_FIELDS)
 
@@ -83,6 +100,8 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p5_found": p5_found,
     "p5_golden": p5_golden,
     "p6_found": p6_found,
