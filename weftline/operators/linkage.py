@@ -122,7 +122,8 @@ def decide(strong: Column, score: Column, evidence: Column, accept: float = 0.98
 
 def date_relation(a: Column, b: Column) -> Column:
     """exact, digit_flip (one digit differs), near (within 6 months of 31 days), n/a or differs,
-    for dates as yyyy-MM-dd text."""
+    for dates as yyyy-MM-dd text; blank is n/a."""
+    a, b = (F.nullif(F.trim(c), F.lit("")) for c in (a, b))
     chars = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
     off = F.aggregate(chars, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(1)))
     days = F.abs(F.date_diff(F.try_to_date(a, "yyyy-MM-dd"), F.try_to_date(b, "yyyy-MM-dd")))

@@ -356,7 +356,8 @@ _DATE_REL = """CASE WHEN a.dob IS NULL OR b.dob IS NULL THEN 'n/a' WHEN a.dob =
     WHEN abs(date_diff('day', try_strptime(a.dob, '%Y-%m-%d'), try_strptime(b.dob, '%Y-%m-%d'))) <= 186 THEN 'near' ELSE 'differs' END"""
 
 
-@R.query(f"WITH {_LINKS}, {_PERSON} SELECT {_DATE_REL} AS relation, count(*) AS n FROM links l JOIN person a ON l.pr1 = a.party_id JOIN person b ON l.pr2 = b.party_id GROUP BY 1")
+@R.query(f"""WITH {_LINKS}, p AS (SELECT party_id, nullif(trim(min(dob)), '') AS dob FROM rpt_bronze_party GROUP BY 1)
+             SELECT {_DATE_REL} AS relation, count(*) AS n FROM links l JOIN p a ON l.pr1 = a.party_id JOIN p b ON l.pr2 = b.party_id GROUP BY 1""")
 def date_relations(spark: SparkSession, d: str) -> DataFrame:
     p = _person(spark, d).select("party_id", "dob")
     j = _links(spark, d).join(joins.suffixed(p, "_1"), F.col("pr1") == F.col("party_id_1")).join(joins.suffixed(p, "_2"), F.col("pr2") == F.col("party_id_2"))
