@@ -84,7 +84,8 @@ def money(c: Column) -> Column:
 
 def money_text(c: Column) -> Column:
     """Amount as text with two decimals; blank and unreadable stay ''."""
-    return F.coalesce(F.format_string("%.2f", F.bround(money(c), 2).cast("double")), F.lit(""))
+    amount = money(c)
+    return F.when(amount.isNotNull(), F.format_string("%.2f", F.bround(amount, 2).cast("double"))).otherwise(F.lit(""))
 
 
 def split_name(c: Column) -> tuple[Column, Column]:
