@@ -1,0 +1,32 @@
+import random
+
+from tests.conftest import rows
+from tests.test_graph import shapes, union_find
+from weftline.llm import components
+from weftline.runtime import Stage
+
+
+def run(spark, edges):
+    df = components.clean_edges(spark.createDataFrame(edges, "l string, r string"), "l", "r")
+    return rows(components.components(df, Stage(spark, "t")))
+
+
+def test_shapes(spark):
+    edges = [(f"{a:06d}", f"{b:06d}") for s in shapes().values() for a, b in s]
+    rng = random.Random(1)
+    rng.shuffle(edges)
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
+    assert run(spark, edges) == union_find(edges)
+
+
+def test_dirty_ids(spark):
+    assert run(spark, [(" p2", "P1\t"), ("P2", "p1"), ("P3", None), (None, None), ("", "P4"), ("P5", "p5 "), ("P2", " p9")]) == [("P1", "P1"), ("P2", "P1"), ("P9", "P1")]
+
+
+def test_no_edges(spark):
+    assert run(spark, [("A", "A"), (None, "B")]) == []
+
+
+def test_hub_with_a_third_of_all_edges(spark):
+    edges = [("HUB", f"A{i:05d}") for i in range(3000)] + [(f"B{i:05d}", f"B{i + 1:05d}") for i in range(0, 6000, 2)]
+    assert run(spark, edges) == union_find(edges)
