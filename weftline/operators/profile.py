@@ -21,21 +21,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.jsontext import as_text, parse_unwrapped
+from weftline.functions.tables import trimmed
 
-#: Unicode white space beyond what \\s covers, and the separators of ASCII.
-_NOT_BLANK = r"[^\s\p{Z}\x1c-\x1f\x85]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{FFFD}]"
 DECIMAL = T.DecimalType(38, 0)
 
 
+_ASCII = "0123456789" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "abcdefghijklmnopqrstuvwxyz"
+_ASCII_FORM = "9" * 10 + "A" * 26 + "a" * 26
+
+
 def is_filled(c: Column) -> Column:
-    return F.coalesce(c.rlike(_NOT_BLANK), F.lit(False))
+    return F.coalesce(trimmed(c) != "", F.lit(False))
 
 
 def form_of(c: Column) -> Column:
     """Text with each decimal digit as 9, upper-case letter as A, lower-case letter as a."""
-    c = F.regexp_replace(c, r"\p{Nd}", "9")
-    return F.regexp_replace(F.regexp_replace(c, r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    plain = F.translate(c, _ASCII, _ASCII_FORM)
+    other = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\p{Nd}", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(other)
 
 
 def json_fields(df: DataFrame, source: str, fields: Sequence[str], carry: Sequence[str]) -> DataFrame:

@@ -190,7 +190,7 @@ def fuzzy_best(df: DataFrame, left: str, candidates: str, cutoff: float) -> Data
             out.append(top)
         return pd.DataFrame(out, columns=["best", "ratio"])
 
-    return df.withColumn("__b", best(F.col(left), F.col(candidates))).select(*df.columns, "__b.best", "__b.ratio")
+    return df.withColumn("__b", best.asNondeterministic()(F.col(left), F.col(candidates))).select(*df.columns, "__b.best", "__b.ratio")
 
 
 QA = T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("answered", T.BooleanType())]))

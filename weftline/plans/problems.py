@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import keyed, nested, profile
-from weftline.runtime import Stage, load
+from weftline.runtime import Stage, load, spread
 
 P1_FIELDS = ["dateOfBirth", "aNumber", "ssn", "countryOfBirth", "receiptNumber", "recordStatus"]
 P1_FORMS = [f for f in P1_FIELDS if f != "recordStatus"]
@@ -15,7 +15,7 @@ NOTES = "ClinicalData"
 
 def _cells(spark: SparkSession, d: str, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """(party documents with their top-level keys, cells of both tables)."""
-    docs = profile.json_fields(load(spark, d, "elasticdump_parties"), "_source", P1_FIELDS, ["row_id", "load_id", "load_ts"])
+    docs = profile.json_fields(spread(load(spark, d, "elasticdump_parties").select("row_id", "load_id", "load_ts", "_source"), "row_id"), "_source", P1_FIELDS, ["row_id", "load_id", "load_ts"])
     docs = stage.write(docs, "fields")
     keys = ["row_id", "load_id", "load_ts"]
     cells = profile.unpivot(docs.filter("state = 'read'"), "elasticdump_parties", keys, P1_FIELDS)
@@ -54,8 +54,8 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def _nodes(spark: SparkSession, d: str, with_payload: bool) -> DataFrame:
     stage = Stage(spark, "p3")
-    parties = nested.emit_nodes(load(spark, d, "elasticdump_parties"), "elasticdump_parties", "row_id", "_source", with_payload)
-    trips = nested.emit_nodes(load(spark, d, "tripmaster"), "tripmaster", "row_id", "LosQuestions", with_payload)
+    parties = nested.emit_nodes(spread(load(spark, d, "elasticdump_parties").select("row_id", "_source"), "row_id"), "elasticdump_parties", "row_id", "_source", with_payload)
+    trips = nested.emit_nodes(spread(load(spark, d, "tripmaster").select("row_id", "LosQuestions"), "row_id"), "tripmaster", "row_id", "LosQuestions", with_payload)
     return nested.settle(stage.write(parties.unionByName(trips), "nodes"))
 
 

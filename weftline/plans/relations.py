@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import expr
 from weftline.operators import aggregates, graph, joins, linkage, mapping, schema, text
 from weftline.plans.registry import Registry
-from weftline.runtime import Stage, load
+from weftline.runtime import Stage, load, spread
 from weftline.sources import io
 
 R = Registry()
@@ -418,7 +418,7 @@ def json_scores_exploded(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def qa_recursive(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "tripmaster").select("row_id", "LosQuestions")
+    df = spread(load(spark, d, "tripmaster").select("row_id", "LosQuestions"), "row_id")
     qa = text.question_answers(df, "LosQuestions", ["questionText", "q"], ["answer", "a"])
     return qa.select("row_id", F.explode("qa").alias("x")).select("row_id", "x.*")
 
@@ -535,7 +535,7 @@ def pandas_udf_struct(spark: SparkSession, d: str) -> DataFrame:
     def price(p: pd.Series, s: pd.Series, o: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"net": p * 0.5, "code": s + "-" + o.str[:1]})
 
-    r = load(spark, d, "orders").select("o_orderkey", price("o_totalprice", "o_orderstatus", "o_orderpriority").alias("r"))
+    r = load(spark, d, "orders").select("o_orderkey", price.asNondeterministic()("o_totalprice", "o_orderstatus", "o_orderpriority").alias("r"))
     return r.select("o_orderkey", "r.net", "r.code")
 
 

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOT: str | None = None
 
@@ -17,6 +18,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least half as many partitions as there are cores, for work that is heavy per row.
+
+    Files that are small or unsplittable come as a few partitions, and the cores would idle; only
+    then are the rows shuffled, by key. Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
@@ -56,6 +67,12 @@ class Stage:
         out._weftline_path = path
         return out
 
+    def write_counting(self, df: DataFrame, name: str, condition: str) -> tuple[DataFrame, int]:
+        """As write; also the number of rows that meet a condition, counted while writing."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count_if(F.expr(condition)).alias("hits")), name)
+        return out, seen.get["hits"]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         path = getattr(df, "_weftline_path", None)
