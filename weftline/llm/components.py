@@ -66,18 +66,16 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
 
     edges: distinct (a, b) with a < b, as from clean_edges. No edges give no rows.
     """
-    live = stage.write(edges, "edges")
+    live, n_edges = stage.write_counting(edges, "edges", "true")
     rounds: list[DataFrame] = []
-    while not live.isEmpty():
-        tree = stage.write(_root_pairs(_pick(live)), "picks")
-        while True:
-            collapsed = stage.write(_double(tree), "doubled")
+    while n_edges:
+        tree, moved = stage.write(_root_pairs(_pick(live)), "picks"), 1
+        while moved:
+            collapsed, moved = stage.write_counting(_double(tree), "doubled", "moved")
             stage.drop(tree)
             tree = collapsed
-            if tree.filter("moved").isEmpty():
-                break
         rounds.append(tree.select("v", "parent"))
-        contracted = stage.write(_relabel(live, rounds[-1]), "edges")
+        contracted, n_edges = stage.write_counting(_relabel(live, rounds[-1]), "edges", "true")
         stage.drop(live)
         live = contracted
     if not rounds:

@@ -16,23 +16,28 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters of other scripts that look like a Latin letter, and that letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTXaesijopcyxhdqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"))
-_TO_LATIN = str.maketrans(CYRILLIC | GREEK)
+_LATIN = CYRILLIC | GREEK
+_FOREIGN = re.compile(f"[{''.join(_LATIN)}]")
 _BACK = {"CYRILLIC": str.maketrans({v: k for k, v in CYRILLIC.items()}), "GREEK": str.maketrans({v: k for k, v in GREEK.items()})}
 _OTHER = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
 #: A word with its combining marks.
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
-_BLANKS = re.compile(r" +")
-_LINE_ENDS = re.compile(r" *(?:\r\n|[\r\n\x0b\x0c\x85  ]) *")
+_BLANKS = re.compile(r" {2,}")
+#: Line ends other than the line feed.
+_LINES = "\r\x0b\x0c\x85\u2028\u2029"
+_LINE_ENDS = re.compile(f"\r\n|[{_LINES}]")
 
 
 @lru_cache(1)
@@ -56,7 +61,7 @@ def _unseen() -> dict[int, str | None]:
     for c in range(0x10000):
         ch = chr(c)
         kind, _, rest = unicodedata.decomposition(ch).partition("> ")
-        if ch.isspace() and ch not in "\r\n\x0b\x0c\x85  ":
+        if ch.isspace() and ch not in _LINES + "\n":
             out[c] = " "
         elif kind in ("<wide", "<narrow", "<noBreak"):
             out[c] = "".join(chr(int(x, 16)) for x in rest.split())
@@ -80,14 +85,33 @@ def _joiners(text: str) -> str:
 
 
 def _blanks(text: str) -> str:
-    return _BLANKS.sub(" ", _LINE_ENDS.sub("\n", text)).strip(" \n")
+    text = _BLANKS.sub(" ", _LINE_ENDS.sub("\n", text))
+    return text.replace(" \n", "\n").replace("\n ", "\n").strip(" \n")
+
+
+@lru_cache(1)
+def _unseen_letters() -> re.Pattern:
+    """Class of the characters that _unseen maps, so that all others pass untouched."""
+    marked = sorted(_unseen())
+    ranges, start = [], None
+    for i, c in enumerate(marked):
+        start = c if start is None else start
+        if i + 1 == len(marked) or marked[i + 1] != c + 1:
+            ranges.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
+def _seen(text: str) -> str:
+    table = _unseen()
+    return _unseen_letters().sub(lambda m: table[ord(m.group())] or "", text)
 
 
 def _skeleton(text: str) -> str:
     """Look-alike letters as Latin ones, accents composed."""
     if not _OTHER.search(text):
         return unicodedata.normalize("NFC", text)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TO_LATIN))
+    return unicodedata.normalize("NFC", _FOREIGN.sub(lambda m: _LATIN[m.group()], unicodedata.normalize("NFD", text)))
 
 
 def _own_script(text: str) -> str:
@@ -112,14 +136,14 @@ def look(text: str) -> str:
     """What a reader sees of the text."""
     if text.isascii():
         return _blanks(text.replace("\t", " "))
-    return _blanks(_skeleton(_joiners(text.translate(_unseen()))))
+    return _blanks(_skeleton(_joiners(_seen(text))))
 
 
 def canonical(text: str) -> str:
     """The consistent form for comparisons."""
     if text.isascii():
         return _blanks(text.replace("\t", " ")).casefold()
-    t = unicodedata.normalize("NFKC", _joiners(text.translate(_unseen())))
+    t = unicodedata.normalize("NFKC", _joiners(_seen(text)))
     return _blanks(unicodedata.normalize("NFKC", _own_script(_skeleton(t)).casefold()))
 
 
@@ -138,25 +162,31 @@ def canonical_form(s: pd.Series) -> pd.Series:
     return _per_distinct(s, canonical)
 
 
-_KEYS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("canon", "look", "chars")])
-
-
-@F.pandas_udf(_KEYS)
-def look_keys(s: pd.Series) -> pd.DataFrame:
-    """Digests of the canonical form, the look and the characters; NULL where nothing is seen."""
-
-    def keys(text: str):
-        seen = look(text)
-        return (_digest(canonical(text)), _digest(seen), _digest(text)) if seen else (None, None, None)
-
-    rows = _per_distinct(s, keys)
-    return pd.DataFrame([r or (None, None, None) for r in rows], columns=["canon", "look", "chars"], dtype=object)
+_KEYS = [("canon", pa.binary()), ("look", pa.binary()), ("chars", pa.binary())]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, canon, look, chars) of the texts in which something is seen."""
-    k = look_keys(F.col(text_col)).alias("k")
-    return df.select(F.col(id_col).alias("doc_id"), k).select("doc_id", "k.*").filter("look is not null")
+    """(doc_id, canon, look, chars) of the texts in which something is seen: digests of the canonical
+    form, the look and the characters. One pass; repeated values of a batch are digested once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done: dict[str, tuple | None] = {}
+            ids, rows = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if text is None:
+                    continue
+                if text not in done:
+                    seen = look(text)
+                    done[text] = (_digest(canonical(text)), _digest(seen), _digest(text)) if seen else None
+                if done[text]:
+                    ids.append(i)
+                    rows.append(done[text])
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *(pa.array(c, t) for c, (_, t) in zip(cols, _KEYS))], names=["doc_id", *(n for n, _ in _KEYS)])
+
+    picked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, T.StructType([picked.schema["doc_id"]] + [T.StructField(n, T.BinaryType()) for n, _ in _KEYS]))
 
 
 def look_classes(keys: DataFrame) -> DataFrame:
@@ -190,6 +220,3 @@ def look_pairs(keys: DataFrame, max_class_pairs: int = 10_000) -> DataFrame:
     star = star.select(F.least("doc_id", "to").alias("doc_id_a"), F.greatest("doc_id", "to").alias("doc_id_b")).distinct()
     return full.unionByName(star)
 
-
-def canonical_text(c: Column) -> Column:
-    return canonical_form(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bpe, components, lookalike, mixing, pii, survivor
 from weftline.functions.tables import small
-from weftline.runtime import Stage, load
+from weftline.runtime import Stage, load, spread
 
 P5_FIELDS = ["firstName", "middleName", "lastName", "dob", "cob", "anumber", "ssn", "fin", "driversLicense", "passport", "i94", "travel_doc"]
 
@@ -15,9 +15,17 @@ P5_FIELDS = ["firstName", "middleName", "lastName", "dob", "cob", "anumber", "ss
 P2_FIELDS = ["ClinicalData", "SpecialNeeds"]
 
 
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "tripmaster").select("row_id", *P2_FIELDS), "row_id")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _p2_model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
     gaz = pii.build_gazetteer(load(spark, d, "rpt_bronze_party"), ["firstName", "middleName"], ["lastName"])
-    spans = Stage(spark, "p2").write(pii.find_spans(load(spark, d, "tripmaster"), "row_id", P2_FIELDS, gaz), "spans")
+    spans = Stage(spark, "p2").write(pii.find_spans(_notes(spark, d), "row_id", P2_FIELDS, gaz), "spans")
     return spans, pii.fit_on(spans, gaz)
 
 
@@ -26,11 +34,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(load(spark, d, "tripmaster"), "row_id", P2_FIELDS, _p2_model(spark, d)[1])
+    return pii.redact(_notes(spark, d), "row_id", P2_FIELDS, _p2_model(spark, d)[1])
 
 
 def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.long_rows(load(spark, d, "rpt_bronze_party"), load(spark, d, "placeholder_values"), load(spark, d, "source_trust"), P5_FIELDS)
+    return survivor.long_rows(spread(load(spark, d, "rpt_bronze_party"), "record_id"), load(spark, d, "placeholder_values"), load(spark, d, "source_trust"), P5_FIELDS)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +47,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_golden(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.golden(_p5_rows(spark, d), load(spark, d, "mv_es_party_identity"), P5_FIELDS)
+    last_day = load(spark, d, "rpt_bronze_party").select(F.max(F.to_date("updated_at"))).scalar()
+    return survivor.golden(_p5_rows(spark, d), load(spark, d, "mv_es_party_identity"), P5_FIELDS, last_day)
 
 
 def _p6_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -61,12 +70,12 @@ def p6_identity_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(load(spark, d, "documents"), "doc_id", "text", bpe.vocabulary(spark))
+    return bpe.encode(_texts(spark, d), "doc_id", "text", bpe.vocabulary(spark))
 
 
 def _p8_mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]]:
     targets = load(spark, d, "mix_targets")
-    docs = load(spark, d, "documents").select("doc_id", "source", "text").join(small(targets.select("source").distinct()), "source", "left_semi")
+    docs = spread(load(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").join(small(targets.select("source").distinct()), "source", "left_semi")
     sizes = mixing.with_hash(bpe.count_tokens(docs, "text", bpe.vocabulary(spark)), "doc_id", 8)
     sizes = Stage(spark, "p8").write(sizes, "sizes")
     shares = mixing.budgets(sizes, targets)
@@ -84,19 +93,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    keys = Stage(spark, "p9").write(lookalike.keyed(load(spark, d, "documents"), "doc_id", "text"), "keys")
+    keys = Stage(spark, "p9").write(lookalike.keyed(_texts(spark, d), "doc_id", "text"), "keys")
     return lookalike.look_pairs(keys)
 
 
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document in which something is seen, with the smallest document of the same look."""
-    keys = Stage(spark, "p9").write(lookalike.keyed(load(spark, d, "documents"), "doc_id", "text"), "keys")
+    keys = Stage(spark, "p9").write(lookalike.keyed(_texts(spark, d), "doc_id", "text"), "keys")
     first = keys.groupBy("look").agg(F.min("doc_id").alias("class_id"))
     return keys.join(first, "look").select("doc_id", "class_id")
 
 
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", lookalike.canonical_form("text").alias("canonical"))
+    return _texts(spark, d).select("doc_id", lookalike.canonical_form("text").alias("canonical"))
 
 
 QUERIES = {
