@@ -77,4 +77,4 @@ def test_em_finds_the_reliable_votes():
 
     patterns, counts = ["+++", "++0", "000", "0-0", "+-0"], np.array([500.0, 200, 900, 300, 20])
     post = pii.em(patterns, counts)
-    assert post[0] > 0.9 and post[2] < 0.2 and post[3] < 0.1
+    assert post[0] > 0.9 and post[1] > 0.9 and post[3] < 0.1 and post[0] > post[2] > post[3]
