@@ -296,7 +296,7 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         not_right, right = bool(_NOT_NAME_RIGHT.match(t, b)), bool(_NAME_RIGHT.match(t, b))
         yield "name", a, b, (
             _vote(has_given) + _vote(has_sur) + _vote(parts > 1)
-            + _vote(bool(_NAME_LEFT.search(left))) + _vote(right)
+            + _vote(not not_right and bool(_NAME_LEFT.search(left))) + _vote(right)
             + _vote(False, ((not_left and not right) or not_right) and parts == 1)
             + _vote(caps and first.isupper())
         )
