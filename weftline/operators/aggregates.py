@@ -67,16 +67,27 @@ def crosstab_margins(df: DataFrame, rows: str, cols: str, values: Sequence[str],
     return counts.withColumn(rows, F.when(F.col("__t") == 1, F.lit(label)).otherwise(F.col(rows).cast("string"))).drop("__t")
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float], buckets: int = 256) -> DataFrame:
     """Percentile by rank: element min(n, max(1, round(p / 100 * n + 0.5))) of the sorted values.
 
-    Rounding is half to even. No group is gathered: counts per distinct value, a running sum of
-    those, and the first value that reaches the rank. NULL values don't count.
+    by names at least one column. Rounding is half to even; NULL values don't count. Rows shrink to counts per distinct value and
+    those to counts per range of values (``buckets`` of equal width per group). The range that holds a
+    rank is known from at most ``buckets`` sums per group, and only inside that range are values put in
+    order, so a hot group is ordered by many tasks, each a part of it.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    running = counts.withColumn("__upto", F.sum("__c").over(W.partitionBy(*by).orderBy("__v"))).withColumn("__n", F.sum("__c").over(W.partitionBy(*by)))
+    span = counts.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
+    where = [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in by]
+    keyed = span.select(*[F.col(k).alias(f"__s_{k}") for k in by], "__lo", "__hi", "__n")
+    width = (F.col("__hi") - F.col("__lo")).cast("double") / buckets
+    cut = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")).cast("double") / width), F.lit(buckets - 1))).otherwise(F.lit(0).cast("long"))
+    rows = counts.join(keyed, where).select(*by, "__v", "__c", "__n", cut.alias("__b"))
+    sums = rows.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
+    before = sums.withColumn("__before", F.sum("__bc").over(W.partitionBy(*by).orderBy("__b")) - F.col("__bc"))
+    side = before.select(*[F.col(k).alias(f"__s_{k}") for k in by], F.col("__b").alias("__s_b"), "__before")
+    placed = rows.join(side, where + [F.col("__b") == F.col("__s_b")]).withColumn("__upto", F.col("__before") + F.sum("__c").over(W.partitionBy(*by, "__b").orderBy("__v")))
     rank = lambda p: F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(F.lit(p / 100.0) * F.col("__n") + 0.5, 0).cast("long")))
-    return running.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col("__v"))).alias(f"p{p:g}") for p in percents])
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col("__v"))).alias(f"p{p:g}") for p in percents])
 
 
 def modal_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -28,6 +28,18 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return first.select(*[F.col(f"`{c}`") if c in by else F.col(f"__m.`{c}`").alias(c) for c in df.columns])
 
 
+def dense_ranks(df: DataFrame, by: str, order: Column, name: str = "wave") -> DataFrame:
+    """df with the dense rank of ``order`` within each key; NULL orders rank first.
+
+    Ranks depend on distinct values alone, so those are ranked and joined back: a hot key costs as
+    many sorted rows as it has distinct values, not rows.
+    """
+    marked = df.withColumn("__o", order)
+    distinct = marked.select(F.col(by).alias("__k"), F.col("__o").alias("__d")).distinct()
+    ranked = distinct.withColumn(name, F.row_number().over(W.partitionBy("__k").orderBy("__d")))
+    return marked.join(ranked, F.col(by).eqNullSafe(F.col("__k")) & F.col("__o").eqNullSafe(F.col("__d"))).drop("__k", "__d", "__o")
+
+
 def portable_hash(key: Column, seed: int = 0, modulus: int = 1_000_003) -> Column:
     """Spread of an integer key below modulus that any engine computes alike."""
     k = F.pmod(key.cast("long"), F.lit(modulus))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import expr
@@ -138,8 +137,7 @@ def best_f1_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT o_custkey, o_orderkey, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS INTEGER) AS wave FROM orders""")
 def wave_rank(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("o_custkey").orderBy(F.to_date("o_orderdate"))
-    return load(spark, d, "orders").select("o_custkey", "o_orderkey", F.dense_rank().over(w).alias("wave"))
+    return windows.dense_ranks(load(spark, d, "orders"), "o_custkey", F.to_date("o_orderdate")).select("o_custkey", "o_orderkey", "wave")
 
 
 @R.query("""WITH f AS (SELECT o_custkey, arg_min(o_totalprice, ROW(o_orderdate, o_orderkey)) AS first_value, arg_max(o_totalprice, ROW(o_orderdate, o_orderkey)) AS last_value FROM orders GROUP BY 1)
@@ -151,8 +149,7 @@ def first_last_pct_drop(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH w AS (SELECT o_custkey, o_totalprice, dense_rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS wave FROM orders)
             SELECT o_custkey, max(CASE WHEN wave = 1 THEN o_totalprice END) AS wave_1, max(CASE WHEN wave = 2 THEN o_totalprice END) AS wave_2, max(CASE WHEN wave = 3 THEN o_totalprice END) AS wave_3 FROM w GROUP BY 1""")
 def wave_pivot(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("o_custkey").orderBy(F.to_date("o_orderdate"))
-    df = load(spark, d, "orders").select("o_custkey", "o_totalprice", F.dense_rank().over(w).alias("wave"))
+    df = windows.dense_ranks(load(spark, d, "orders"), "o_custkey", F.to_date("o_orderdate"))
     return df.groupBy("o_custkey").agg(*[F.max(F.when(F.col("wave") == i, F.col("o_totalprice"))).alias(f"wave_{i}") for i in (1, 2, 3)])
 
 
