@@ -45,7 +45,7 @@ def json_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("row_id").agg(F.count(F.lit(1)).alias("objects"), F.sum(leaves).alias("leaves"))
 
 
-@R.query("""SELECT o_orderpriority, CAST(r AS DOUBLE) AS rate, CAST(count(*) * r AS DOUBLE) AS converted FROM orders, (SELECT unnest([0.05, 0.1, 0.2]) AS r) GROUP BY 1, 2""")
+@R.query("""SELECT o_orderpriority, CAST(r AS DOUBLE) AS rate, CAST(count(*) * r AS DOUBLE) AS converted FROM orders, (SELECT unnest([0.05, 0.1, 0.2]) AS r) GROUP BY o_orderpriority, r""")
 def conversion_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     rates = n.select("o_orderpriority", "n", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.2)])).alias("rate"))
