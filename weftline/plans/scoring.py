@@ -9,7 +9,7 @@ from weftline.functions import expr
 from weftline.operators import aggregates, text
 from weftline.operators.text import Rule
 from weftline.plans.registry import Registry
-from weftline.runtime import load
+from weftline.runtime import load, spread
 
 R = Registry()
 
@@ -38,7 +38,7 @@ _CLASS = "CASE WHEN total_score >= 8 THEN 'strong' WHEN total_score >= 4 THEN 'm
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return text.rule_scores(load(spark, d, "documents").select("doc_id", "source", "lang", "text"), "text", RULES, NAMED)
+    return text.rule_scores(spread(load(spark, d, "documents").select("doc_id", "source", "lang", "text"), "doc_id"), "text", RULES, NAMED)
 
 
 @R.query(f"WITH {_SCORED} SELECT doc_id, {', '.join('hit_' + r.name for r in RULES)}, score_mobility, score_monitoring, score_condition, named_score, total_score, {_CLASS} AS class FROM scored")
@@ -154,7 +154,7 @@ def gap_expected_gain(spark: SparkSession, d: str) -> DataFrame:
             SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score
             FROM tf JOIN d USING (token) JOIN len USING (doc_id), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return text.bm25(load(spark, d, "documents"), "doc_id", "text", ["dialysis", "oxygen", "stretcher"], 25)
+    return text.bm25(spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", ["dialysis", "oxygen", "stretcher"], 25)
 
 
 @R.query("""SELECT count(*) AS n, count(*) FILTER (contains(lower(coalesce(text, '')), 'dialysis') AND NOT coalesce(starts_with(source, 'search'), false)) AS matched,
