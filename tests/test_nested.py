@@ -53,3 +53,18 @@ def test_tables_round_trip(spark, tmp_path):
     nested.write_tables(nested.settle(nested.emit_nodes(df, "s", "row_id", "t")), str(tmp_path / "t"))
     one = spark.read.parquet(str(tmp_path / "t")).filter("tag = 'a'")
     assert rows(nested.read_table(one, "x int, y string")) == [(1, "$.a[0]", "$", 1, "b"), (1, "$.a[1]", "$", 2, None)]
+
+
+def test_every_leaf_is_in_one_payload(spark):
+    def leaves(v):
+        below = v.values() if isinstance(v, dict) else v if isinstance(v, list) else None
+        return [json.dumps(v)] if below is None else [x for b in below for x in leaves(b)]
+
+    texts = [{"a": {"lines": ["x", None, "é"]}, "k": 1}, {"a": [{"lines": ["y"], "m": [[1, [2.5]], {"z": True}]}]}, ["r", 7, {"s": "t"}], "alone"]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(texts)], "row_id long, t string")
+    got = nested.settle(nested.emit_nodes(df, "x", "row_id", "t")).collect()
+    for i, t in enumerate(texts):
+        assert sorted(json.dumps(v) for r in got if r.row_id == i for v in json.loads(r.payload).values()) == sorted(leaves(t))
+    values = {(r.row_id, r.tag, r.node_path, r.parent_path, r.payload) for r in got if r.kind == "value"}
+    assert (0, "a.lines[]", "$.a[0].lines[0]", "$.a[0]", '{"value":"x"}') in values
+    assert (1, "a.m[]", "$.a[0].m[0][1][0]", "$.a[0]", '{"value":2.5}') in values

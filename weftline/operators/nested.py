@@ -9,8 +9,8 @@ An object that stands alone where other rows hold a list cannot be judged from i
 visitor leaves a mark in the path at such places; the set of tags seen as lists, one entry per
 place in the schema, settles the marks afterwards in the JVM.
 
-Null, blank and broken texts give no rows. Elements that are no objects give no row but count
-in positions. An empty list gives no row.
+Null, blank and broken texts give no rows. All elements count in positions. Without payloads,
+elements that are no objects give no row. An empty list gives no row.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ NODES = T.StructType(
         T.StructField("src_table", T.StringType(), False),
         T.StructField("row_id", T.LongType()),
         T.StructField("tag", T.StringType(), False),
-        T.StructField("kind", T.StringType(), False),  # root, element, alone
+        T.StructField("kind", T.StringType(), False),  # root, element, alone, value
         T.StructField("path", T.StringType(), False),
         T.StructField("open_tags", T.ArrayType(T.StringType())),
         T.StructField("parents", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("tag", T.StringType())]))),
@@ -48,7 +48,8 @@ _ARROW = pa.schema(
 
 
 def visit(value, with_payload: bool = True) -> Iterator[tuple]:
-    """(tag, kind, path, open_tags, parents, payload) of every object in a parsed JSON value.
+    """(tag, kind, path, open_tags, parents, payload) of every object in a parsed JSON value and,
+    with payloads, of every scalar that no object holds under a key.
 
     parents runs from the nearest enclosing object to the first that is an element for certain,
     or the root; its tag is set where that object stands alone. No recursion: depth is bounded by
@@ -77,12 +78,15 @@ def visit(value, with_payload: bool = True) -> Iterator[tuple]:
                     stack.append((f"{path}.{k}", keys if keys and keys[-1] == k else (*keys, k), x, "key", open_tags, below))
         elif isinstance(v, list):
             for i in range(len(v) - 1, -1, -1):
-                if isinstance(v[i], (dict, list)):
+                if with_payload or isinstance(v[i], (dict, list)):
                     stack.append((f"{path}[{i}]", keys, v[i], "list", open_tags, chain))
+        elif with_payload:
+            yield ".".join(keys) + "[]" * (place == "list"), "value", path, open_tags, chain, f'{{"value":{dump(v)}}}'
 
 
 def emit_nodes(df: DataFrame, table: str, row_id: str, source: str, with_payload: bool = True) -> DataFrame:
-    """All objects of a JSON text column, one row each (schema NODES), in a single pass."""
+    """All objects of a JSON text column, with payloads also the scalars in lists, one row each
+    (schema NODES), in a single pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -42,7 +42,7 @@ def json_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
     """Objects and scalar leaves of each document, at any depth."""
     nodes = nested.emit_nodes(load(spark, d, "tripmaster"), "tripmaster", "row_id", "LosQuestions")
     leaves = F.size(F.map_keys(F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>"))))
-    return nodes.groupBy("row_id").agg(F.count(F.lit(1)).alias("objects"), F.sum(leaves).alias("leaves"))
+    return nodes.groupBy("row_id").agg(F.count_if(F.col("kind") != "value").alias("objects"), F.sum(leaves).alias("leaves"))
 
 
 @R.query("""SELECT o_orderpriority, CAST(r AS DOUBLE) AS rate, CAST(count(*) * r AS DOUBLE) AS converted FROM orders, (SELECT unnest([0.05, 0.1, 0.2]) AS r) GROUP BY o_orderpriority, r""")

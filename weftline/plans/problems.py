@@ -64,7 +64,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Every object with its table (tag), keys and scalar values."""
+    """Every object with its table (tag), keys and scalar values, and every scalar in a list (kind 'value')."""
     return _nodes(spark, d, True)
 
 
