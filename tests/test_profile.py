@@ -62,3 +62,22 @@ def test_unreadable_and_wrapped(spark):
     df = spark.createDataFrame([(1, '{"a": 1.50}'), (2, "{"), (3, None), (4, '"{\\"a\\": \\"x\\"}"'), (5, "[1]"), (6, " {\"a\": {\"b\": 2}} ")], "id long, s string")
     got = rows(profile.json_fields(df, "s", ["a"], ["id"]))
     assert got == [(1, "read", "1.50"), (2, "unreadable", None), (3, "null", None), (4, "read", "x"), (5, "read", None), (6, "read", '{"b":2}')]
+
+
+def test_all_fields_of_a_json_column_are_profiled(spark):
+    texts = [
+        (1, '{"a": "x", "names": [{"first": "Al"}, {"last": "B"}]}'), (1, '{"a": null, "names": {"first": "Cy"}}'), (1, "{"), (1, None),
+        (2, '{"a": "y", "late": {"k.l": ["p", null, {"z": 1}]}}'), (2, "[1]"),
+    ]
+    df = spark.createDataFrame(texts, "load_id int, s string")
+    counts = profile.with_absent(profile.json_counts(df, "t", "s")).withColumn("n_control", F.lit(None).cast("long"))
+    got = {(r.field_name, r.load_id): (r.n_rows, r.n_filled, r.n_distinct, r.min_value, r.max_value, r.modal_form) for r in profile.profile(counts).collect()}
+    none = (None, None)
+    assert got == {
+        ("a", 1): (2, 1, 1, "x", "x", "a"), ("a", 2): (2, 1, 1, "y", "y", "a"),
+        ("names", 1): (2, 2, 2, *none, None), ("names", 2): (2, 0, 0, *none, None),
+        ("names.first", 1): (3, 2, 2, "Al", "Cy", "Aa"), ("names.last", 1): (3, 1, 1, "B", "B", "A"),
+        ("late", 1): (2, 0, 0, *none, None), ("late", 2): (2, 1, 1, *none, None),
+        (r"late.k\.l", 2): (1, 1, 1, *none, None), (r"late.k\.l[]", 2): (2, 1, 1, "p", "p", "a"), (r"late.k\.l.z", 2): (1, 1, 1, "1", "1", "9"),
+        ("$", 1): (2, 0, 0, *none, None), ("$", 2): (2, 1, 1, *none, None), ("$[]", 2): (1, 1, 1, "1", "1", "9"),
+    }

@@ -6,6 +6,9 @@ forms, drift between loads) are aggregates of that table, so the data are read o
 many figures are asked for. Free text is counted by a digest of the value with its length, so
 that long texts never travel.
 
+The fields of a JSON column are discovered from the data, nested ones by their path without list
+positions (``names.first``); each is profiled over the objects that could hold it.
+
 Nulls, blanks: a value is filled if it is neither null nor white space only. A field that no row
 fills has rates but no distribution. A NULL load is a load of its own. Ties for the most frequent
 form go to the form that sorts first. An empty table gives an empty profile.
@@ -13,14 +16,18 @@ form go to the form that sorts first. An empty table gives an empty profile.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from json.encoder import encode_basestring as _quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.jsontext import as_text, parse_unwrapped
+from weftline.functions.jsontext import as_text, clean, dump, parse_unwrapped
 from weftline.functions.tables import trimmed
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{FFFD}]"
@@ -82,6 +89,125 @@ def json_fields(df: DataFrame, source: str, fields: Sequence[str], carry: Sequen
     return picked.mapInArrow(read, schema)
 
 
+_MARKS = re.compile(r"[\\.\[]|^\$?$")
+
+
+def _field(place: str, key: str) -> str:
+    own = _MARKS.sub(r"\\\g<0>", key)
+    return f"{place}.{own}" if place else own
+
+
+def json_cells(value) -> Iterator[tuple[str, str | None, str | None, bool]]:
+    """(holder, field, text, nested) of every field in a parsed JSON value, at any depth.
+
+    holder is the place of the object or list that holds the field: '' for the root. Scalar elements of a list
+    are the field ``list[]``, a root that is no object is the field ``$``. A row with field None stands for one
+    object or scalar element at that place, so that absent keys can be counted. Repeats of a recursive key count
+    as one place; ``.``, ``[`` and backslash within a key, an empty key and ``$`` are escaped. Texts are as in
+    ``json_fields``. No recursion: depth is bounded by the text alone.
+    """
+    yield "", None, None, False
+    if not isinstance(value, (dict, list)):
+        yield "", "$", as_text(value), False
+        return
+    root = isinstance(value, dict)
+    # container, place of its objects, last key, field of its scalar elements
+    found: list = [(value, "" if root else "$", None, "$[]")]
+    for v, place, last, name in found:
+        if isinstance(v, dict):
+            for k, x in v.items():
+                if isinstance(x, (dict, list)):
+                    path = _field(place, k)
+                    found.append((x, place if k == last else path, k, f"{path}[]"))
+        else:
+            found.extend((x, place, last, f"{name}[]" if isinstance(x, list) else name) for x in v if isinstance(x, (dict, list)))
+    texts: dict[int, str] = {}  # of containers, those within others first
+
+    def text(x) -> str:
+        return texts[id(x)] if isinstance(x, (dict, list)) else _quote(x) if type(x) is str else dump(x)
+
+    for v, *_ in reversed(found):
+        if isinstance(v, dict):
+            texts[id(v)] = "{" + ",".join(f"{_quote(k)}:{text(x)}" for k, x in v.items()) + "}"
+        else:
+            texts[id(v)] = "[" + ",".join(map(text, v)) + "]"
+    if not root:
+        yield "", "$", clean(texts[id(value)]), True
+    for v, place, _, name in found:
+        if isinstance(v, dict):
+            if place:
+                yield place, None, None, False
+            for k, x in v.items():
+                nested = isinstance(x, (dict, list))
+                yield place, _field(place, k), clean(texts[id(x)]) if nested else as_text(x), nested
+        else:
+            for x in v:
+                if not isinstance(x, (dict, list)):
+                    yield name, None, None, False
+                    yield name, name, as_text(x), False
+
+
+def json_counts(df: DataFrame, table: str, source: str, plain: Sequence[str] = ()) -> DataFrame:
+    """Frequencies as of ``value_counts`` for all fields in a JSON text column, found in one pass.
+
+    Objects and lists (nested) go by digest and length, but for the fields in ``plain``. n counts the cells of
+    a field: one for each object at its holder's place, whether it has the key or not, in every load in which
+    that place occurs. Texts that are null or unreadable count nowhere. Equal cells of a batch are counted in it.
+    """
+    schema = T.StructType(
+        [T.StructField("load_id", df.schema["load_id"].dataType)]
+        + [T.StructField(c, T.StringType()) for c in ("holder", "field_name", "value")]
+        + [T.StructField("nested", T.BooleanType()), T.StructField("chars", T.LongType()), T.StructField("n", T.LongType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for load, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    value = parse_unwrapped(text)
+                except ValueError:
+                    continue
+                for holder, field, cell, nested in json_cells(value):
+                    chars = None if cell is None else len(cell)
+                    nested = nested and field not in plain
+                    if nested:
+                        cell = hashlib.sha256(cell.encode()).hexdigest()
+                    seen[load, clean(holder), field and clean(field), cell, nested, chars] += 1
+            cols = list(zip(*seen)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], b.column(0).type), *(pa.array(c, pa.string()) for c in cols[1:4]), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.int64()), pa.array(list(seen.values()), pa.int64())],
+                names=schema.names,
+            )
+
+    cells = df.select("load_id", F.col(source).alias("text")).mapInArrow(run, schema)
+    filled = is_filled(F.col("value"))
+    return (
+        cells.withColumn("filled", filled)
+        .withColumn("value", F.when(filled, F.col("value"))).withColumn("chars", F.when(filled, F.col("chars")))
+        .groupBy("holder", "field_name", "load_id", "value", "filled", "chars", "nested")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("src_table", F.lit(table))
+    )
+
+
+def with_absent(counts: DataFrame) -> DataFrame:
+    """Counts of ``json_counts`` without the rows for objects, and with one row for the cells of each field and
+    load that no object of the place has: in loads that never hold the key, all of them."""
+    held = counts.filter("field_name is null").groupBy("src_table", "holder", "load_id").agg(F.sum("n").alias("n_held"))
+    cells = counts.filter("field_name is not null")
+    there = cells.groupBy("src_table", "holder", "field_name", "load_id").agg(F.sum("n").alias("n_there"))
+    fields = there.select("src_table", "holder", "field_name").distinct()
+    due = fields.join(held, ["src_table", "holder"]).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("src_table", "holder", "field_name", "load_id")]
+    absent = due.join(there.alias("t"), same, "left").select("d.*", (F.col("n_held") - F.coalesce("n_there", F.lit(0))).alias("n")).filter("n > 0")
+    no = F.lit(False)
+    empty = absent.select("src_table", "field_name", "load_id", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"), "n")
+    return cells.drop("holder").unionByName(empty)
+
+
 def unpivot(df: DataFrame, table: str, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(src_table, *keys, field_name, value): one row per row and field, empty ones too."""
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]))
@@ -146,10 +272,10 @@ def drift(counts: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def modal_forms(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(src_table, field_name, modal_form, n_modal): the most frequent form of each field."""
+def modal_forms(counts: DataFrame, fields: Sequence[str] | None) -> DataFrame:
+    """(src_table, field_name, modal_form, n_modal): the most frequent form of each field (None: of all)."""
     forms = (
-        counts.filter(F.col("filled") & F.col("field_name").isin(*fields))
+        counts.filter(F.col("filled") & (F.lit(True) if fields is None else F.col("field_name").isin(*fields)))
         .groupBy("src_table", "field_name", form_of(F.col("value")).alias("form"))
         .agg(F.sum("n").alias("n"))
     )
@@ -163,17 +289,21 @@ def modal_forms(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def profile(counts: DataFrame, form_fields: Sequence[str]) -> DataFrame:
-    """One row per field and load: the full exact profile, from the counts alone."""
+def profile(counts: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
+    """One row per field and load: the full exact profile, from the counts alone.
+
+    Values that are objects or lists (``nested``) have no range and no form, free text has no form.
+    """
     totals = load_totals(counts)
+    plain = counts.filter(~F.col("nested") & ~F.col("field_name").isin(*free_text))
     ranges = counts.filter("filled").groupBy("src_table", "field_name", "load_id").agg(
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
+        F.min(F.when(~F.col("nested"), F.col("value"))).alias("min_value"), F.max(F.when(~F.col("nested"), F.col("value"))).alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
         F.sum("n_control").alias("n_control"), F.max("n").alias("n_most_frequent"),
     )
     moved = drift(counts, totals)
-    modal = modal_forms(counts, form_fields)
+    modal = modal_forms(plain, None)
     in_form = (
-        counts.filter("filled").join(F.broadcast(modal), ["src_table", "field_name"])
+        plain.filter("filled").join(F.broadcast(modal), ["src_table", "field_name"])
         .filter(form_of(F.col("value")) == F.col("modal_form"))
         .groupBy("src_table", "field_name", "load_id").agg(F.sum("n").alias("n_in_form"))
     )

@@ -47,9 +47,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every field and load: all fields found in _source, at any depth, and the notes."""
     stage = Stage(spark, "p1")
-    counts = stage.write(profile.value_counts(_cells(spark, d, stage)[1], [NOTES]), "counts")
-    return profile.profile(counts, P1_FORMS)
+    docs = spread(load(spark, d, "elasticdump_parties").select("row_id", "load_id", "_source"), "row_id")
+    parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "cells"))
+    notes = profile.value_counts(profile.unpivot(load(spark, d, "tripmaster"), "tripmaster", ["row_id", "load_id", "load_ts"], [NOTES]), [NOTES])
+    counts = stage.write(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), "counts")
+    return profile.profile(counts, [NOTES])
 
 
 def _nodes(spark: SparkSession, d: str, with_payload: bool) -> DataFrame:
