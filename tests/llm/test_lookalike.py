@@ -58,3 +58,11 @@ def test_wide_class_keeps_every_document_linked(spark):
 def test_classes(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n) for r in look_classes(keyed(df, "doc_id", "text")).collect()) == [(1, 2), (2, 1)]
+
+
+def test_all_pairs_of_a_large_class(spark, monkeypatch):
+    texts = ["same text", "ѕame text", "sаme text"] * 60
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] != texts[b]}
+    assert pairs(spark, texts) == want
+    monkeypatch.setattr("weftline.llm.lookalike.PART_PAIRS", 2)  # salted
+    assert pairs(spark, texts) == want

@@ -194,14 +194,40 @@ def look_classes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("canon", "look", "chars").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-def look_pairs(keys: DataFrame, max_class_pairs: int = 10_000) -> DataFrame:
+#: Pairs that a salted part of a join is to hold, and the most parts of one key.
+PART_PAIRS, MAX_PARTS = 1_000_000, 4096
+
+
+def _all_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs of different texts of a look, each expanded to the pairs of their documents.
+
+    Copies of a text never meet, so the work is that of the result. Both joins are salted by the
+    number of pairs: one side is dealt to the parts, the other is copied to each.
+    """
+    parts = lambda n: F.least(F.ceil(n / PART_PAIRS), F.lit(MAX_PARTS)).cast("int")
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int").alias("salt")
+    copied = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+    texts = look_classes(keys)
+    classes = texts.groupBy("canon", "look").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1")
+    texts = texts.join(classes.select("canon", "look", parts(F.col("n_texts") * F.col("n_texts")).alias("parts")), ["canon", "look"])
+    side = lambda x, salt: texts.select("canon", "look", F.col("chars").alias(f"chars_{x}"), F.col("n").alias(f"n_{x}"), salt)
+    pairs = side("a", dealt("chars")).join(side("b", copied), ["canon", "look", "salt"]).filter("chars_a < chars_b")
+    pairs = pairs.select("chars_a", "chars_b", parts(F.col("n_a") * F.col("n_b")).alias("parts"))
+    docs = lambda x: pairs.join(keys.select(F.col("chars").alias(f"chars_{x}"), F.col("doc_id").alias(x)), f"chars_{x}")
+    a, b = docs("a").select("chars_a", "chars_b", "a", dealt("a")), docs("b").select("chars_a", "chars_b", "b", copied)
+    return a.join(b, ["chars_a", "chars_b", "salt"]).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
+
+
+def look_pairs(keys: DataFrame, max_class_pairs: int | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b) of texts that look the same but differ in characters, a < b.
 
-    Candidates share the canonical form; the look decides. Copies of one text make no pair. A class
-    with more than max_class_pairs pairs of documents (a hot text with variants) isn't expanded:
-    each document of it is linked to the smallest document of another text of the class, which
-    keeps every document linked at linear size; ``look_classes`` has the whole membership.
+    Candidates share the canonical form; the look decides. Copies of one text make no pair. All pairs
+    come out, unless the caller sets max_class_pairs: then a class with more pairs of documents (a hot
+    text with variants) isn't expanded, and each document of it is linked to the smallest document of
+    another text of the class, which keeps every document linked at linear size.
     """
+    if max_class_pairs is None:
+        return _all_pairs(keys)
     texts = look_classes(keys)
     per_class = (
         texts.groupBy("canon", "look")
