@@ -193,6 +193,49 @@ def fuzzy_best(df: DataFrame, left: str, candidates: str, cutoff: float) -> Data
     return df.withColumn("__b", best.asNondeterministic()(F.col(left), F.col(candidates))).select(*df.columns, "__b.best", "__b.ratio")
 
 
+def fuzzy_best_of(df: DataFrame, left: str, options: Sequence[str], cutoff: float) -> DataFrame:
+    """As ``fuzzy_best``, with one list of candidates for all rows, which travels with each task.
+
+    No candidate is lost: only those are passed over whose letters in common, in any order, are too few
+    for the cutoff or the best ratio so far.
+    """
+    schema = T.StructType([T.StructField("best", T.StringType()), T.StructField("ratio", T.DoubleType())])
+    ordered = sorted(set(options))
+
+    @F.pandas_udf(schema)
+    def best(texts: pd.Series) -> pd.DataFrame:
+        from collections import Counter
+        from difflib import SequenceMatcher
+
+        import numpy as np
+
+        letters = {c: i for i, c in enumerate(sorted(set("".join(ordered))))}
+        bags, lengths = np.zeros((len(ordered), len(letters)), dtype=np.int32), np.array([len(o) for o in ordered], dtype=np.int64)
+        for row, option in zip(bags, ordered):
+            for c, n in Counter(option).items():
+                row[letters[c]] = n
+        matchers = [SequenceMatcher(None, "", o) for o in ordered]
+        known: dict = {None: (None, None)}
+        for text in texts:
+            if text in known:
+                continue
+            held = [(letters[c], n) for c, n in Counter(text).items() if c in letters]
+            shared = np.minimum(bags[:, [i for i, _ in held]], [n for _, n in held]).sum(1) if held else np.zeros(len(ordered))
+            bound = 2.0 * shared / np.maximum(lengths + len(text), 1)
+            top = (None, None)
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < (cutoff if top[1] is None else top[1]):
+                    break
+                matchers[i].set_seq1(text)
+                r = matchers[i].ratio()
+                if r >= cutoff and (top[1] is None or r > top[1] or r == top[1] and ordered[i] < top[0]):
+                    top = (ordered[i], r)
+            known[text] = top
+        return pd.DataFrame([known[t] for t in texts], columns=["best", "ratio"])
+
+    return df.withColumn("__b", best.asNondeterministic()(F.col(left))).select(*df.columns, "__b.best", "__b.ratio")
+
+
 QA = T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("answered", T.BooleanType())]))
 #: Answers that say nothing.
 EMPTY_ANSWERS = {"", "n/a", "na", "none", "null", "unknown", "not recorded", "not asked"}

@@ -179,13 +179,18 @@ def period_bound_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(e, "o_custkey").select("o_custkey", F.round("actual", 2).alias("actual"), F.round("expected", 2).alias("expected"))
 
 
+#: A surname is common if it has at least one in so many of the records; so there are no more common ones than that.
+COMMON_SHARE = 2000
+
+
 @R.query()
 def fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Surnames against the frequent surnames that share their first two letters."""
+    """Surnames against all common surnames."""
     names = load(spark, d, "rpt_bronze_party").select(F.upper(F.trim("lastName")).alias("name")).filter("length(name) > 2").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    common = names.filter("n >= 5").groupBy(F.substring("name", 1, 2).alias("block")).agg(F.sort_array(F.collect_list("name")).alias("options"))
-    asked = names.withColumn("block", F.substring("name", 1, 2)).join(common, "block", "left")
-    return text.fuzzy_best(asked, "name", "options", 0.72).select("name", "best", F.round("ratio", 6).alias("ratio"))
+    total = names.select(F.sum("n")).scalar()
+    common = [r.name for r in names.filter(F.col("n") * COMMON_SHARE >= total).select("name").collect()]  # at most COMMON_SHARE rows
+    asked = names.select("name").repartition(spark.sparkContext.defaultParallelism, "name")
+    return text.fuzzy_best_of(asked, "name", common, 0.72).select("name", "best", F.round("ratio", 6).alias("ratio"))
 
 
 # ---------------------------------------------------------------- sets
