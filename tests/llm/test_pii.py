@@ -78,3 +78,13 @@ def test_em_finds_the_reliable_votes():
     patterns, counts = ["+++", "++0", "000", "0-0", "+-0"], np.array([500.0, 200, 900, 300, 20])
     post = pii.em(patterns, counts)
     assert post[0] > 0.9 and post[1] > 0.9 and post[3] < 0.1 and post[0] > post[2] > post[3]
+
+
+def test_names_outside_the_gazetteer_are_candidates_in_context():
+    from weftline.llm.pii import Gazetteer, candidates
+
+    def names(t):
+        return [t[a:b] for k, a, b, _ in candidates(t, Gazetteer.of([], [])) if k == "name"]
+
+    assert names("seen by Dr. Ostquist, wife Wexick Brandal aware. POA Nordale") == ["Ostquist", "Wexick Brandal", "Nordale"]
+    assert names("case manager PICC line, Dr. Office at Mill Road, pt stable") == []

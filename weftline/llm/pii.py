@@ -111,6 +111,9 @@ _NOT_NAME_RIGHT = re.compile(
     _I,
 )
 _NOT_NAME_LEFT = re.compile(r"(?:staged at|cover,|hx|use|north,|then|seen in|returning to|pickup at|discharge from|approved by|(?:\d|st|street|ave|avenue|rd|road|ln|lane|dr|drive|ct|court|blvd|way|terrace|pkwy)\.?,)\s*$", _I)
+#: Words that a person's name follows, whatever the name; and words in that place that are none.
+_PERSON_LEFT = re.compile(rf"(?:\b(?:dr|np|mr|mrs|ms|miss)\.?|\b(?:poa|nok|case manager|attn)|\b{_REL}(?: is|=)?|witness:|escort:|consent by|arranged by|signed by) *\Z", _I)
+_NO_PERSON = re.compile(rf"(?:{_REL}|and|or|the|is|at|on|in|to|of|for|will|has|can|may|not|no|yes|none|unknown|pt|patient|md|rn|np|poa|nok|staff|nurse|doctor|facility|office|same|present|home|phone|dr|mr|mrs|ms|miss|tel|both)\Z", _I)
 _PARTICLES = {"van", "der", "den", "de", "la", "del", "von", "di", "da", "le"}
 _TITLES = re.compile(r"(?:\b(?:dr|np|mr|mrs|ms)\.?)\s*$", _I)
 
@@ -276,8 +279,15 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
             if j < n and not joined(j - 1):
                 break
         if not (has_given or has_sur):
-            i += 1
-            continue
+            # no known part: a run of capitalised words behind words that a name follows
+            j, parts = i, 0
+            if caps and t[tokens[i][0]].isupper() and _PERSON_LEFT.search(t[max(0, tokens[i][0] - 40) : tokens[i][0]]):
+                # words all in capitals are abbreviations here
+                while j < n and parts < 3 and len(tokens[j][2]) > 1 and t[tokens[j][0]].isupper() and not t[tokens[j][0] : tokens[j][1]].isupper() and not _NO_PERSON.match(tokens[j][2]) and (j == i or gap(j - 1) == " "):
+                    j, parts = j + 1, parts + 1
+            if not parts:
+                i += 1
+                continue
         # an initial that closes a run belongs to it only with its point
         while j - 1 > i and initial(j - 1) and not has_sur and t[tokens[j - 1][1] : tokens[j - 1][1] + 1] != ".":
             j -= 1
