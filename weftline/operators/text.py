@@ -241,7 +241,7 @@ QA = T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.Stru
 EMPTY_ANSWERS = {"", "n/a", "na", "none", "null", "unknown", "not recorded", "not asked"}
 
 
-def question_answers(df: DataFrame, source: str, question_keys: Sequence[str], answer_keys: Sequence[str], max_depth: int = 12) -> DataFrame:
+def question_answers(df: DataFrame, source: str, question_keys: Sequence[str], answer_keys: Sequence[str]) -> DataFrame:
     """df with qa, the question-answer pairs at any depth of a JSON text, repeats dropped.
 
     A text answer beats a boolean one for the same question. An empty list comes from null, broken
@@ -249,18 +249,17 @@ def question_answers(df: DataFrame, source: str, question_keys: Sequence[str], a
     """
     from weftline.functions.jsontext import as_text, parse_unwrapped
 
-    def walk(value, depth: int) -> Iterator[tuple[str, object]]:
-        if depth > max_depth:
-            return
-        if isinstance(value, dict):
-            q = next((value[k] for k in question_keys if isinstance(value.get(k), str)), None)
-            if q is not None:
-                yield q, next((value[k] for k in answer_keys if k in value), None)
-            for v in value.values():
-                yield from walk(v, depth + 1)
-        elif isinstance(value, list):
-            for v in value:
-                yield from walk(v, depth + 1)
+    def walk(value) -> Iterator[tuple[str, object]]:
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if isinstance(v, dict):
+                q = next((v[k] for k in question_keys if isinstance(v.get(k), str)), None)
+                if q is not None:
+                    yield q, next((v[k] for k in answer_keys if k in v), None)
+                stack.extend(reversed(v.values()))
+            elif isinstance(v, list):
+                stack.extend(reversed(v))
 
     @F.pandas_udf(QA)
     def extract(texts: pd.Series) -> pd.Series:
@@ -272,7 +271,7 @@ def question_answers(df: DataFrame, source: str, question_keys: Sequence[str], a
                     value = parse_unwrapped(text)
                 except ValueError:
                     value = None
-                for q, a in walk(value, 0):
+                for q, a in walk(value):
                     if q not in found or (isinstance(found[q], bool) or found[q] is None) and isinstance(a, str):
                         found[q] = a
             out.append([{"question": q, "answer": as_text(a), "answered": a is not None and str(as_text(a)).strip().lower() not in EMPTY_ANSWERS} for q, a in found.items()])
