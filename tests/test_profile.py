@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ def test_dates(spark):
 def loads(spark, values, **kw):
     counts = profile.value_counts(cells(spark, values), kw.get("free", ()))
     totals = profile.load_totals(counts)
-    return {(r.finding, r.load_id) for r in profile.load_findings(totals, profile.drift(counts, totals), ["f"], ["f"]).collect()}
+    values = profile.by_value(counts, ["src_table", "field_name", "value", "filled"])
+    return {(r.finding, r.load_id) for r in profile.load_findings(totals, profile.drift(values, totals), ["f"], ["f"]).collect()}
 
 
 def test_limits_are_exact(spark):
@@ -55,7 +57,7 @@ def test_mix_counts_absent_values(spark):
 def test_free_text_goes_by_digest(spark):
     counts = profile.value_counts(cells(spark, [(1, "x" * 1000), (1, "x" * 1000), (1, "a\x01b")]), ["f"])
     got = counts.collect()
-    assert {len(r.value) for r in got} == {64} and sum(r.n for r in got) == 3 and sum(r.n_control for r in got) == 1
+    assert {len(r.value) for r in got} == {64} and sum(r.n for r in got) == 3 and sum(r.control for r in got) == 1
 
 
 def test_unreadable_and_wrapped(spark):
@@ -70,7 +72,7 @@ def test_all_fields_of_a_json_column_are_profiled(spark):
         (2, '{"a": "y", "late": {"k.l": ["p", null, {"z": 1}]}}'), (2, "[1]"),
     ]
     df = spark.createDataFrame(texts, "load_id int, s string")
-    counts = profile.with_absent(profile.json_counts(df, "t", "s")).withColumn("n_control", F.lit(None).cast("long"))
+    counts = profile.with_absent(profile.json_counts(df, "t", "s")).withColumn("control", F.lit(None).cast("boolean"))
     got = {(r.field_name, r.load_id): (r.n_rows, r.n_filled, r.n_distinct, r.min_value, r.max_value, r.modal_form) for r in profile.profile(counts).collect()}
     none = (None, None)
     assert got == {
@@ -81,3 +83,37 @@ def test_all_fields_of_a_json_column_are_profiled(spark):
         (r"late.k\.l", 2): (1, 1, 1, *none, None), (r"late.k\.l[]", 2): (2, 1, 1, "p", "p", "a"), (r"late.k\.l.z", 2): (1, 1, 1, "1", "1", "9"),
         ("$", 1): (2, 0, 0, *none, None), ("$", 2): (2, 1, 1, *none, None), ("$[]", 2): (1, 1, 1, "1", "1", "9"),
     }
+
+
+def moved(spark, values):
+    counts = profile.value_counts(cells(spark, values))
+    return {r.load_id: r for r in profile.drift(profile.by_value(counts, ["src_table", "field_name", "value", "filled"]), profile.load_totals(counts)).collect()}
+
+
+def psi_by_hand(values):
+    loads, all_values = {load for load, _ in values}, [v for _, v in values if v and v.strip()]
+    out = {}
+    for load in loads:
+        mine = [v for at, v in values if at == load and v and v.strip()]
+        terms = []
+        for v in set(all_values):
+            p, q = (mine.count(v) + 0.5) / (len(mine) + 0.5), (all_values.count(v) + 0.5) / (len(all_values) + 0.5)
+            terms.append((p - q) * math.log(p / q))
+        out[load] = sum(terms)
+    return out
+
+
+def test_a_vanished_value_counts_in_psi_and_chi2(spark):
+    got = moved(spark, [(1, "A")] * 50 + [(1, "B")] * 50 + [(2, "A")] * 100)
+    # load 2: p(A) = 1, q(A) = 150.5 / 200.5, p(B) = 0.5 / 100.5, q(B) = 50.5 / 200.5
+    assert abs(got[2].psi - ((1 - 150.5 / 200.5) * math.log(200.5 / 150.5) + (0.5 / 100.5 - 50.5 / 200.5) * math.log(0.5 / 100.5 / (50.5 / 200.5)))) < 1e-9
+    assert got[2].psi > 1 and abs(got[2].chi2 - (25**2 / 75 + 25**2 / 25)) < 1e-9
+    assert abs(got[1].chi2 - (25**2 / 75 + 25**2 / 25)) < 1e-9
+
+
+def test_psi_by_hand(spark):
+    values = [(load, "abcdefg"[(load * i * i + i) % (load + 3)]) for load in (1, 2, 3, 4) for i in range(40)] + [(1, None)] * 5 + [(5, " ")] * 3
+    want, got = psi_by_hand(values), moved(spark, values)
+    assert set(got) == {1, 2, 3, 4}
+    for load, r in got.items():
+        assert abs(r.psi - want[load]) < 1e-9

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.jsontext import as_text, clean, dump, parse_unwrapped
-from weftline.functions.tables import trimmed
+from weftline.functions.tables import small, trimmed
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{FFFD}]"
 DECIMAL = T.DecimalType(38, 0)
@@ -174,7 +174,7 @@ def json_counts(df: DataFrame, table: str, source: str, plain: Sequence[str] = (
                     chars = None if cell is None else len(cell)
                     nested = nested and field not in plain
                     if nested:
-                        cell = hashlib.sha256(cell.encode()).hexdigest()
+                        cell = hashlib.blake2b(cell.encode(), digest_size=16).hexdigest()
                     seen[load, clean(holder), field and clean(field), cell, nested, chars] += 1
             cols = list(zip(*seen)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -184,27 +184,42 @@ def json_counts(df: DataFrame, table: str, source: str, plain: Sequence[str] = (
 
     cells = df.select("load_id", F.col(source).alias("text")).mapInArrow(run, schema)
     filled = is_filled(F.col("value"))
-    return (
-        cells.withColumn("filled", filled)
-        .withColumn("value", F.when(filled, F.col("value"))).withColumn("chars", F.when(filled, F.col("chars")))
-        .groupBy("holder", "field_name", "load_id", "value", "filled", "chars", "nested")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("src_table", F.lit(table))
-    )
+    keys = ["holder", "field_name", "value", "filled", "chars", "nested"]
+    cells = (
+        cells.withColumn("filled", filled).withColumn("value", F.when(filled, F.col("value"))).withColumn("chars", F.when(filled, F.col("chars")))
+        # one shuffle for both groupings: rows are combined by batch before it
+        .repartition("holder", "field_name", "value")
+        .groupBy(*keys, "load_id").agg(F.sum("n").alias("n"))
+    )
+    return by_value(cells, keys).withColumn("src_table", F.lit(table))
+
+
+def by_value(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per value, with by_load: its frequency in each load that has it, so that later steps
+    need no further shuffle of the values. A value has at most one entry per load."""
+    return counts.groupBy(*keys).agg(F.collect_list(F.struct("load_id", "n")).alias("by_load"))
 
 
-def with_absent(counts: DataFrame) -> DataFrame:
-    """Counts of ``json_counts`` without the rows for objects, and with one row for the cells of each field and
-    load that no object of the place has: in loads that never hold the key, all of them."""
-    held = counts.filter("field_name is null").groupBy("src_table", "holder", "load_id").agg(F.sum("n").alias("n_held"))
-    cells = counts.filter("field_name is not null")
-    there = cells.groupBy("src_table", "holder", "field_name", "load_id").agg(F.sum("n").alias("n_there"))
-    fields = there.select("src_table", "holder", "field_name").distinct()
-    due = fields.join(held, ["src_table", "holder"]).alias("d")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("src_table", "holder", "field_name", "load_id")]
+def _each_load(values: DataFrame, *columns: str | Column) -> DataFrame:
+    """values with one row per load, load_id and n beside the columns."""
+    return values.select(*columns, F.explode("by_load").alias("__l")).select("*", "__l.load_id", "__l.n").drop("__l")
+
+
+def with_absent(values: DataFrame) -> DataFrame:
+    """Values of ``json_counts`` without the rows for objects, and with one row for the cells of each field
+    that no object of the place has: in loads that never hold the key, all of them."""
+    key = ["src_table", "holder"]
+    held = _each_load(values.filter("field_name is null"), *key).groupBy(*key, "load_id").agg(F.sum("n").alias("n_held"))
+    cells = values.filter("field_name is not null")
+    there = _each_load(cells, *key, "field_name").groupBy(*key, "field_name", "load_id").agg(F.sum("n").alias("n_there"))
+    fields = there.select(*key, "field_name").distinct()
+    due = fields.join(held, key).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*key, "field_name", "load_id")]
     absent = due.join(there.alias("t"), same, "left").select("d.*", (F.col("n_held") - F.coalesce("n_there", F.lit(0))).alias("n")).filter("n > 0")
     no = F.lit(False)
-    empty = absent.select("src_table", "field_name", "load_id", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"), "n")
+    empty = by_value(absent, ["src_table", "field_name"]).select(
+        "src_table", "field_name", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"), "by_load"
+    )
     return cells.drop("holder").unionByName(empty)
 
 
@@ -218,17 +233,17 @@ def value_counts(cells: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
     """Frequencies of (src_table, field_name, load_id, value).
 
     Columns: value (NULL for cells that aren't filled; the digest for free text), filled, n (cells),
-    chars (characters in each such cell), n_control (cells with control characters).
+    chars (characters in each such cell), control (free text: whether it has control characters).
     """
     filled = is_filled(F.col("value"))
     free = F.col("field_name").isin(*free_text) if free_text else F.lit(False)
     return (
         cells.withColumn("filled", filled)
         .withColumn("chars", F.when(filled, F.char_length("value").cast("long")))
-        .withColumn("control", F.when(filled & free, F.col("value").rlike(CONTROL).cast("long")))
+        .withColumn("control", F.when(filled & free, F.col("value").rlike(CONTROL)))
         .withColumn("value", F.when(filled & free, F.sha2("value", 256)).when(filled, F.col("value")))
-        .groupBy("src_table", "field_name", "load_id", "value", "filled", "chars")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("control").alias("n_control"))
+        .groupBy("src_table", "field_name", "load_id", "value", "filled", "chars", "control")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -245,76 +260,87 @@ def load_totals(counts: DataFrame) -> DataFrame:
     return by_load.join(overall, ["src_table", "field_name"])
 
 
-def drift(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Each load's distribution of filled values against that of all loads.
+def drift(values: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each load's distribution of filled values (as of ``by_value``) against that of all loads.
 
     tv_twice_scaled / (n_filled * all_filled) is twice the total variation, kept as an exact
-    integer; psi is the population stability index with half a count added per value; chi2 the
-    statistic of the load's counts against those expected from all loads. Values absent from a
-    load enter by what their total share leaves, without pairing every load with every value.
+    integer; chi2 the statistic of the load's counts against those expected from all loads; psi the
+    population stability index, sum of (p - q) ln(p / q) over every value of the field, where
+    p = (count in the load + 0.5) / (filled in the load + 0.5) and q alike over all loads. A value
+    that the load lacks counts with p = 0.5 / (filled + 0.5): its term falls apart into sums over
+    the field, so no load is paired with values it doesn't have.
     """
-    values = counts.filter("filled").groupBy("src_table", "field_name", "load_id", "value").agg(F.sum("n").alias("c"))
-    per_value = values.groupBy("src_table", "field_name", "value").agg(F.sum("c").alias("c_all"))
-    joined = values.join(per_value, ["src_table", "field_name", "value"]).join(
-        F.broadcast(totals.select("src_table", "field_name", "load_id", "n_filled", "all_filled")),
-        # one row per field and load
-        (values["src_table"] == totals["src_table"]) & (values["field_name"] == totals["field_name"]) & values["load_id"].eqNullSafe(totals["load_id"]),
-    ).select(values["src_table"], values["field_name"], values["load_id"], "c", "c_all", "n_filled", "all_filled")
-    c, c_all, n, n_all = (F.col(x).cast(DECIMAL) for x in ("c", "c_all", "n_filled", "all_filled"))
+    key = ["src_table", "field_name"]
+    per_load = small(totals.select(*key, "load_id", "n_filled", "all_filled"))
+    per_field = small(totals.select(*key, "all_filled").distinct())
+    c_all = F.aggregate("by_load", F.lit(0).cast("long"), lambda s, l: s + l["n"])
+    filled = values.filter("filled").select(*key, c_all.alias("c_all"), "by_load")
+    share = lambda c, n: (F.col(c).cast("double") + 0.5) / (F.col(n).cast("double") + 0.5)
+    q, lnq = F.col("q"), F.ln("q")
+    over_field = (
+        filled.join(per_field, key).select(*key, share("c_all", "all_filled").alias("q")).groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("v_all"), F.sum(q).alias("q_all"), F.sum(lnq).alias("l_all"), F.sum(q * lnq).alias("e_all"))
+    )
+    each = _each_load(filled, *key, "c_all").alias("e")
+    same = [F.col(f"e.{k}") == F.col(f"t.{k}") for k in key] + [F.col("e.load_id").eqNullSafe(F.col("t.load_id"))]
+    joined = each.join(per_load.alias("t"), same).select("e.*", "t.n_filled", "t.all_filled")
+    joined = joined.withColumnRenamed("n", "c").withColumn("p", share("c", "n_filled")).withColumn("q", share("c_all", "all_filled"))
+    c, total, n, n_all = (F.col(x).cast(DECIMAL) for x in ("c", "c_all", "n_filled", "all_filled"))
     cd, ad, nd, nad = (F.col(x).cast("double") for x in ("c", "c_all", "n_filled", "all_filled"))
     expected = ad * nd / nad
-    p, q = (cd + 0.5) / (nd + 0.5), (ad + 0.5) / (nad + 0.5)
-    return joined.groupBy("src_table", "field_name", "load_id", "n_filled", "all_filled").agg(
-        (F.sum(F.abs(c * n_all - c_all * n).cast(DECIMAL)) + (F.first(n_all) - F.sum(c_all)) * F.first(n)).cast(DECIMAL).alias("tv_twice_scaled"),
+    here = joined.groupBy(*key, "load_id", "n_filled", "all_filled").agg(
+        (F.sum(F.abs(c * n_all - total * n).cast(DECIMAL)) + (F.first(n_all) - F.sum(total)) * F.first(n)).cast(DECIMAL).alias("tv_twice_scaled"),
         F.count(F.lit(1)).alias("n_distinct"),
-        F.sum((p - q) * F.ln(p / q)).alias("psi"),
+        F.sum((F.col("p") - q) * F.ln(F.col("p") / q)).alias("psi_here"), F.sum(q).alias("q_here"), F.sum(lnq).alias("l_here"), F.sum(q * lnq).alias("e_here"),
         (F.sum((cd - expected) * (cd - expected) / expected) + (F.first(nad) - F.sum(ad)) * F.first(nd) / F.first(nad)).alias("chi2"),
-    )
+    )
+    p0 = F.lit(0.5) / (F.col("n_filled").cast("double") + 0.5)
+    gone = lambda x: F.col(f"{x}_all") - F.col(f"{x}_here")
+    lacking = (F.col("v_all") - F.col("n_distinct")) * p0 * F.ln(p0) - p0 * gone("l") - F.ln(p0) * gone("q") + gone("e")
+    psi = F.col("psi_here") + F.when(F.col("v_all") > F.col("n_distinct"), lacking).otherwise(0.0)
+    return here.join(over_field, key).select(*key, "load_id", "n_filled", "all_filled", "tv_twice_scaled", "n_distinct", psi.alias("psi"), "chi2")
 
 
 def modal_forms(counts: DataFrame, fields: Sequence[str] | None) -> DataFrame:
     """(src_table, field_name, modal_form, n_modal): the most frequent form of each field (None: of all)."""
-    forms = (
-        counts.filter(F.col("filled") & (F.lit(True) if fields is None else F.col("field_name").isin(*fields)))
-        .groupBy("src_table", "field_name", form_of(F.col("value")).alias("form"))
-        .agg(F.sum("n").alias("n"))
-    )
-    # ties: the smallest form; max_by over (n, inverted order) would need an inverted string, so two steps
-    top = forms.groupBy("src_table", "field_name").agg(F.max("n").alias("n_modal"))
-    return (
-        forms.join(F.broadcast(top), ["src_table", "field_name"])
-        .filter(F.col("n") == F.col("n_modal"))
-        .groupBy("src_table", "field_name")
-        .agg(F.min("form").alias("modal_form"), F.first("n_modal").alias("n_modal"))
-    )
+    return _most_frequent(_forms(counts.filter(F.lit(True) if fields is None else F.col("field_name").isin(*fields))))
+
+
+def _forms(counts: DataFrame) -> DataFrame:
+    return counts.filter("filled").groupBy("src_table", "field_name", form_of(F.col("value")).alias("form")).agg(F.sum("n").alias("n"))
 
 
-def profile(counts: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
-    """One row per field and load: the full exact profile, from the counts alone.
+def _most_frequent(forms: DataFrame) -> DataFrame:
+    # a minimum over (-n, form): ties go to the form that sorts first
+    top = forms.groupBy("src_table", "field_name").agg(F.min(F.struct((-F.col("n")).alias("neg"), "form")).alias("t"))
+    return top.select("src_table", "field_name", F.col("t.form").alias("modal_form"), (-F.col("t.neg")).alias("n_modal"))
+
+
+def profile(values: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
+    """One row per field and load: the full exact profile, from the values alone (as of ``by_value``).
 
     Values that are objects or lists (``nested``) have no range and no form, free text has no form.
     """
-    totals = load_totals(counts)
-    plain = counts.filter(~F.col("nested") & ~F.col("field_name").isin(*free_text))
-    ranges = counts.filter("filled").groupBy("src_table", "field_name", "load_id").agg(
-        F.min(F.when(~F.col("nested"), F.col("value"))).alias("min_value"), F.max(F.when(~F.col("nested"), F.col("value"))).alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
-        F.sum("n_control").alias("n_control"), F.max("n").alias("n_most_frequent"),
-    )
-    moved = drift(counts, totals)
-    modal = modal_forms(plain, None)
-    in_form = (
-        plain.filter("filled").join(F.broadcast(modal), ["src_table", "field_name"])
-        .filter(form_of(F.col("value")) == F.col("modal_form"))
-        .groupBy("src_table", "field_name", "load_id").agg(F.sum("n").alias("n_in_form"))
-    )
     key = ["src_table", "field_name", "load_id"]
+    free = F.col("field_name").isin(*free_text) if free_text else F.lit(False)
+    shape = F.when(F.col("filled") & ~F.col("nested") & ~free, form_of(F.col("value")))
+    cells = _each_load(values.withColumn("form", shape), "src_table", "field_name", "value", "filled", "chars", "nested", "control", "form")
+    totals = load_totals(cells)
+    plain = F.when(~F.col("nested"), F.col("value"))
+    ranges = cells.filter("filled").groupBy(*key).agg(
+        F.min(plain).alias("min_value"), F.max(plain).alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
+        F.sum(F.when(F.col("control").isNotNull(), F.col("n") * F.col("control").cast("long"))).alias("n_control"), F.max("n").alias("n_most_frequent"),
+    )
+    forms = cells.filter("form is not null").groupBy(*key, "form").agg(F.sum("n").alias("n"))
+    modal = _most_frequent(forms.groupBy("src_table", "field_name", "form").agg(F.sum("n").alias("n"))).drop("n_modal")
+    in_form = forms.join(modal, ["src_table", "field_name"]).filter("form = modal_form").select(*key, F.col("n").alias("n_in_form"))
 
     def join(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select(*[F.col(c).alias(f"__{c}") if c in key else F.col(c) for c in b.columns])
         on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
         return a.join(b, on, "left").drop(*[f"__{c}" for c in key])
 
-    out = join(join(join(totals, ranges), moved.drop("n_filled", "all_filled")), in_form).join(F.broadcast(modal.drop("n_modal")), ["src_table", "field_name"], "left")
+    out = join(join(join(totals, ranges), drift(values, totals).drop("n_filled", "all_filled")), in_form).join(modal, ["src_table", "field_name"], "left")
     n_rows, n_filled = F.col("n_rows").cast("double"), F.col("n_filled").cast("double")
     return out.select(
         *key,

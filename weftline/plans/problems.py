@@ -36,7 +36,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
     unreadable = docs.filter("state = 'unreadable'").select(F.lit("elasticdump_parties").alias("src_table"), F.lit("_source").alias("field_name"), "row_id")
     controls = cells.filter((F.col("field_name") == NOTES) & profile.is_filled(F.col("value")) & F.col("value").rlike(profile.CONTROL))
-    loads = profile.load_findings(totals, profile.drift(counts.filter(F.col("field_name").isin("recordStatus", "countryOfBirth")), totals), ["recordStatus", "countryOfBirth"], [NOTES])
+    mixes = profile.by_value(counts.filter(F.col("field_name").isin("recordStatus", "countryOfBirth")), ["src_table", "field_name", "value", "filled"])
+    loads = profile.load_findings(totals, profile.drift(mixes, totals), ["recordStatus", "countryOfBirth"], [NOTES])
     return (
         items(unreadable, "unreadable")
         .unionByName(items(profile.form_cases(fields, modal), "form"))
@@ -50,10 +51,10 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every field and load: all fields found in _source, at any depth, and the notes."""
     stage = Stage(spark, "p1")
     docs = spread(load(spark, d, "elasticdump_parties").select("row_id", "load_id", "_source"), "row_id")
-    parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "cells"))
+    parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "values"))
     notes = profile.value_counts(profile.unpivot(load(spark, d, "tripmaster"), "tripmaster", ["row_id", "load_id", "load_ts"], [NOTES]), [NOTES])
-    counts = stage.write(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), "counts")
-    return profile.profile(counts, [NOTES])
+    notes = stage.write(profile.by_value(notes, ["src_table", "field_name", "value", "filled", "chars", "control"]), "notes")
+    return profile.profile(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), [NOTES])
 
 
 def _nodes(spark: SparkSession, d: str, with_payload: bool) -> DataFrame:
