@@ -19,11 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from json.encoder import encode_basestring as _quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,30 +196,27 @@ def json_counts(df: DataFrame, table: str, source: str, plain: Sequence[str] = (
 
 
 def by_value(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per value, with by_load: its frequency in each load that has it, so that later steps
-    need no further shuffle of the values. A value has at most one entry per load."""
-    return counts.groupBy(*keys).agg(F.collect_list(F.struct("load_id", "n")).alias("by_load"))
-
-
-def _each_load(values: DataFrame, *columns: str | Column) -> DataFrame:
-    """values with one row per load, load_id and n beside the columns."""
-    return values.select(*columns, F.explode("by_load").alias("__l")).select("*", "__l.load_id", "__l.n").drop("__l")
+    """counts (keys and load_id unique) with c_all, the value's frequency in all loads, and is_first, true in one
+    row per value, so that later steps need no further shuffle of the values."""
+    same = W.partitionBy(*keys)
+    return counts.withColumn("c_all", F.sum("n").over(same)).withColumn("is_first", F.row_number().over(same.orderBy("load_id")) == 1)
 
 
 def with_absent(values: DataFrame) -> DataFrame:
-    """Values of ``json_counts`` without the rows for objects, and with one row for the cells of each field
-    that no object of the place has: in loads that never hold the key, all of them."""
+    """Values of ``json_counts`` without the rows for objects, and with one row for the cells of each field and
+    load that no object of the place has: in loads that never hold the key, all of them."""
     key = ["src_table", "holder"]
-    held = _each_load(values.filter("field_name is null"), *key).groupBy(*key, "load_id").agg(F.sum("n").alias("n_held"))
+    held = values.filter("field_name is null").groupBy(*key, "load_id").agg(F.sum("n").alias("n_held"))
     cells = values.filter("field_name is not null")
-    there = _each_load(cells, *key, "field_name").groupBy(*key, "field_name", "load_id").agg(F.sum("n").alias("n_there"))
+    there = cells.groupBy(*key, "field_name", "load_id").agg(F.sum("n").alias("n_there"))
     fields = there.select(*key, "field_name").distinct()
     due = fields.join(held, key).alias("d")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*key, "field_name", "load_id")]
     absent = due.join(there.alias("t"), same, "left").select("d.*", (F.col("n_held") - F.coalesce("n_there", F.lit(0))).alias("n")).filter("n > 0")
     no = F.lit(False)
-    empty = by_value(absent, ["src_table", "field_name"]).select(
-        "src_table", "field_name", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"), "by_load"
+    empty = absent.select(
+        "src_table", "field_name", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"),
+        "load_id", "n", F.col("n").alias("c_all"), no.alias("is_first"),
     )
     return cells.drop("holder").unionByName(empty)
 
@@ -247,19 +245,26 @@ def value_counts(cells: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def load_totals(counts: DataFrame) -> DataFrame:
-    """Cells, filled cells and characters by field and load, with those over all loads beside."""
-    by_load = counts.groupBy("src_table", "field_name", "load_id").agg(
+def _sums() -> list[Column]:
+    return [
         F.sum("n").cast(DECIMAL).alias("n_rows"),
         F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).cast(DECIMAL).alias("n_filled"),
         F.sum(F.coalesce(F.col("chars") * F.col("n"), F.lit(0))).cast(DECIMAL).alias("n_chars"),
-    )
+    ]
+
+
+def with_overall(by_load: DataFrame) -> DataFrame:
     overall = by_load.groupBy("src_table", "field_name").agg(
         *[F.sum(c).cast(DECIMAL).alias(f"all_{c[2:]}") for c in ("n_rows", "n_filled", "n_chars")]
     )
     return by_load.join(overall, ["src_table", "field_name"])
 
 
+def load_totals(counts: DataFrame) -> DataFrame:
+    """Cells, filled cells and characters by field and load, with those over all loads beside."""
+    return with_overall(counts.groupBy("src_table", "field_name", "load_id").agg(*_sums()))
+
+
 def drift(values: DataFrame, totals: DataFrame) -> DataFrame:
     """Each load's distribution of filled values (as of ``by_value``) against that of all loads.
 
@@ -273,15 +278,14 @@ def drift(values: DataFrame, totals: DataFrame) -> DataFrame:
     key = ["src_table", "field_name"]
     per_load = small(totals.select(*key, "load_id", "n_filled", "all_filled"))
     per_field = small(totals.select(*key, "all_filled").distinct())
-    c_all = F.aggregate("by_load", F.lit(0).cast("long"), lambda s, l: s + l["n"])
-    filled = values.filter("filled").select(*key, c_all.alias("c_all"), "by_load")
+    filled = values.filter("filled")
     share = lambda c, n: (F.col(c).cast("double") + 0.5) / (F.col(n).cast("double") + 0.5)
     q, lnq = F.col("q"), F.ln("q")
     over_field = (
-        filled.join(per_field, key).select(*key, share("c_all", "all_filled").alias("q")).groupBy(*key)
+        filled.filter("is_first").join(per_field, key).select(*key, share("c_all", "all_filled").alias("q")).groupBy(*key)
         .agg(F.count(F.lit(1)).alias("v_all"), F.sum(q).alias("q_all"), F.sum(lnq).alias("l_all"), F.sum(q * lnq).alias("e_all"))
     )
-    each = _each_load(filled, *key, "c_all").alias("e")
+    each = filled.select(*key, "load_id", "n", "c_all").alias("e")
     same = [F.col(f"e.{k}") == F.col(f"t.{k}") for k in key] + [F.col("e.load_id").eqNullSafe(F.col("t.load_id"))]
     joined = each.join(per_load.alias("t"), same).select("e.*", "t.n_filled", "t.all_filled")
     joined = joined.withColumnRenamed("n", "c").withColumn("p", share("c", "n_filled")).withColumn("q", share("c_all", "all_filled"))
@@ -316,22 +320,26 @@ def _most_frequent(forms: DataFrame) -> DataFrame:
     return top.select("src_table", "field_name", F.col("t.form").alias("modal_form"), (-F.col("t.neg")).alias("n_modal"))
 
 
-def profile(values: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
+def profile(values: DataFrame, free_text: Sequence[str] = (), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """One row per field and load: the full exact profile, from the values alone (as of ``by_value``).
 
+    keep writes the small tables that several figures need (``Stage.write``).
+
     Values that are objects or lists (``nested``) have no range and no form, free text has no form.
     """
     key = ["src_table", "field_name", "load_id"]
     free = F.col("field_name").isin(*free_text) if free_text else F.lit(False)
-    shape = F.when(F.col("filled") & ~F.col("nested") & ~free, form_of(F.col("value")))
-    cells = _each_load(values.withColumn("form", shape), "src_table", "field_name", "value", "filled", "chars", "nested", "control", "form")
-    totals = load_totals(cells)
     plain = F.when(~F.col("nested"), F.col("value"))
-    ranges = cells.filter("filled").groupBy(*key).agg(
+    filled_n = F.when(F.col("filled"), F.col("n"))
+    # one row per field and load; NULL where a load has no filled value
+    figures = keep(values.groupBy(*key).agg(
+        *_sums(),
         F.min(plain).alias("min_value"), F.max(plain).alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
-        F.sum(F.when(F.col("control").isNotNull(), F.col("n") * F.col("control").cast("long"))).alias("n_control"), F.max("n").alias("n_most_frequent"),
-    )
-    forms = cells.filter("form is not null").groupBy(*key, "form").agg(F.sum("n").alias("n"))
+        F.sum(F.when(F.col("control").isNotNull(), F.col("n") * F.col("control").cast("long"))).alias("n_control"), F.max(filled_n).alias("n_most_frequent"),
+    ), "figures")
+    totals = keep(with_overall(figures), "totals")
+    shaped = values.filter(F.col("filled") & ~F.col("nested") & ~free)
+    forms = keep(shaped.groupBy(*key, form_of(F.col("value")).alias("form")).agg(F.sum("n").alias("n")), "forms")
     modal = _most_frequent(forms.groupBy("src_table", "field_name", "form").agg(F.sum("n").alias("n"))).drop("n_modal")
     in_form = forms.join(modal, ["src_table", "field_name"]).filter("form = modal_form").select(*key, F.col("n").alias("n_in_form"))
 
@@ -340,7 +348,7 @@ def profile(values: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
         on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
         return a.join(b, on, "left").drop(*[f"__{c}" for c in key])
 
-    out = join(join(join(totals, ranges), drift(values, totals).drop("n_filled", "all_filled")), in_form).join(modal, ["src_table", "field_name"], "left")
+    out = join(join(totals, drift(values, totals).drop("n_filled", "all_filled")), in_form).join(modal, ["src_table", "field_name"], "left")
     n_rows, n_filled = F.col("n_rows").cast("double"), F.col("n_filled").cast("double")
     return out.select(
         *key,

@@ -54,7 +54,7 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "values"))
     notes = profile.value_counts(profile.unpivot(load(spark, d, "tripmaster"), "tripmaster", ["row_id", "load_id", "load_ts"], [NOTES]), [NOTES])
     notes = stage.write(profile.by_value(notes, ["src_table", "field_name", "value", "filled", "chars", "control"]), "notes")
-    return profile.profile(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), [NOTES])
+    return profile.profile(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), [NOTES], stage.write)
 
 
 def _nodes(spark: SparkSession, d: str, with_payload: bool) -> DataFrame:
