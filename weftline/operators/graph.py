@@ -1,4 +1,4 @@
-"""Graphs of matched pairs: components by star contraction, cluster statistics, impact of merging."""
+"""Graphs of matched pairs: components by hooking and contraction, cluster statistics, impact of merging."""
 
 from __future__ import annotations
 
@@ -15,40 +15,56 @@ def edge_list(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return rows.select(F.least(left, right).alias("src"), F.greatest(left, right).alias("dst")).distinct()
 
 
-def _neighbours_min(edges: DataFrame, both: bool) -> DataFrame:
-    """(u, v) edges with the smallest of u and its neighbours v beside, as m."""
-    rows = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if both:
-        rows = rows.union(rows.select(F.col("v"), F.col("u")))
-    least = rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return rows.join(least, "u")
+def _hooks(edges: DataFrame) -> DataFrame:
+    """(v, parent): each vertex that has a smaller neighbour with the smallest one."""
+    return edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"))
 
 
-def components(edges: DataFrame, stage: Stage, max_rounds: int = 100) -> DataFrame:
-    """(id, component), component the smallest id, by alternating large-star and small-star steps
-    (Kiveris et al. 2014) until a round changes nothing.
+def _climb(tree: DataFrame) -> DataFrame:
+    """tree with the parent's parent as parent; moved where there was one. A vertex without a row is a root."""
+    above = tree.select(F.col("v").alias("__v"), F.col("parent").alias("__up"))
+    joined = tree.select("v", "parent").join(above, F.col("parent") == F.col("__v"), "left")
+    return joined.select("v", F.coalesce("__up", "parent").alias("parent"), F.col("__up").isNotNull().alias("moved"))
 
-    Every step links vertices to the smallest of their neighbourhood, so a hub loses its edges
-    instead of collecting them. Each round is a written table. Raises if max_rounds, far beyond the
-    logarithmic need, isn't enough: labels are never returned unconverged.
+
+def _contract(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Distinct edges between the roots of both ends."""
+    for end in ("a", "b"):
+        to = tree.select(F.col("v").alias("__v"), F.col("parent").alias("__to"))
+        edges = edges.join(to, F.col(end) == F.col("__v"), "left").withColumn(end, F.coalesce("__to", end)).drop("__v", "__to")
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(edges: DataFrame, stage: Stage) -> DataFrame:
+    """(id, component), component the smallest id: hooking to smaller neighbours and contraction.
+
+    Each round every vertex hooks to its smallest neighbour if that is smaller than itself, which gives
+    trees; climbing by doubling finds their roots, and edges move to the roots until none is left. A root
+    that nobody hooked to has a smaller neighbour in the next round, so two rounds at least halve the
+    roots of a component, whatever its shape. All steps are written tables, so both sides of every join on a vertex
+    are shuffled and a hub is split by adaptive execution; hooks are combined before their shuffle.
     """
-    now = stage.write(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
-    before = None
-    for _ in range(max_rounds):
-        large = _neighbours_min(now, True).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        turned = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = _neighbours_min(turned, False)
-        pairs = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        nxt = stage.write(pairs, "stars")
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if before is not None:
-            stage.drop(now)
-        now = nxt
-        if state == before:
-            roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
-        before = state
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    live, left = stage.write_counting(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "edges", "true")
+    rounds: list[DataFrame] = []
+    while left:
+        tree, moved = stage.write(_hooks(live), "hooks"), 1
+        while moved:
+            higher, moved = stage.write_counting(_climb(tree), "climbed", "moved")
+            stage.drop(tree)
+            tree = higher
+        rounds.append(tree.select("v", "parent"))
+        contracted, left = stage.write_counting(_contract(live, rounds[-1]), "edges", "true")
+        stage.drop(live)
+        live = contracted
+    if not rounds:
+        return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    labels = rounds.pop()
+    for tree in reversed(rounds):  # a vertex is hooked in one round only; its root may be in a later one
+        above = labels.select(F.col("v").alias("__v"), F.col("parent").alias("__top"))
+        moved_up = tree.join(above, F.col("parent") == F.col("__v"), "left").select("v", F.coalesce("__top", "parent").alias("parent"))
+        labels = stage.write(moved_up.unionByName(labels), "labels")
+    roots = labels.select(F.col("parent").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return labels.select(F.col("v").alias("id"), F.col("parent").alias("component")).unionByName(roots)
 
 
 def cluster_stats(labels: DataFrame, giant: int = 30) -> DataFrame:
