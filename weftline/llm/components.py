@@ -13,8 +13,9 @@ every round: the final label is the smallest id of the component without a furth
 
 Only (vertex, label) rows move. The labels of each round cover only the components alive in it,
 so composing them backwards costs a geometric series. Tables are cut at a written file per step;
-a lost executor costs the tasks of one step. Joins on hot vertices have a unique label side, so
-adaptive skew handling can split the hot side freely.
+a lost executor costs the tasks of one step. Picks are minima combined before the shuffle, and
+mutual ones are found by edge. Every join on a vertex is between two written tables, so both
+sides are shuffled for it, and as the label side is unique, adaptive execution splits a hub.
 """
 
 from __future__ import annotations
@@ -43,10 +44,16 @@ def _pick(edges: DataFrame) -> DataFrame:
 
 
 def _root_pairs(picks: DataFrame) -> DataFrame:
-    """The smaller end of each mutual pick becomes a root (its own parent)."""
-    other = picks.select(F.col("v").alias("__v"), F.col("parent").alias("__back"))
-    is_root = (F.col("__back") == F.col("v")) & (F.col("v") < F.col("parent"))
-    return picks.join(other, F.col("parent") == F.col("__v")).select("v", F.when(is_root, F.col("v")).otherwise(F.col("parent")).alias("parent"))
+    """The smaller end of each mutual pick becomes a root (its own parent).
+
+    A pick is mutual if both ends picked the same edge. Picks are grouped by edge, not joined by vertex: an
+    edge is picked at most twice, so no group is large, however many vertices picked one hub.
+    """
+    edges = picks.groupBy(F.least("v", "parent").alias("lo"), F.greatest("v", "parent").alias("hi")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    row = lambda v, parent: F.struct(v.alias("v"), parent.alias("parent"))
+    lo, hi = F.col("lo"), F.col("hi")
+    once = row(F.col("v"), F.when(F.col("v") == lo, hi).otherwise(lo))
+    return edges.select(F.explode(F.when(F.col("n") == 2, F.array(row(lo, lo), row(hi, lo))).otherwise(F.array(once))).alias("r")).select("r.*")
 
 
 def _double(tree: DataFrame) -> DataFrame:
