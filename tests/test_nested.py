@@ -49,10 +49,17 @@ def test_join_form_agrees_with_the_array_form(spark):
 
 
 def test_tables_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(1, '{"a": [{"x": 1, "y": "b"}, {"x": 2}]}')], "row_id long, t string")
-    nested.write_tables(nested.settle(nested.emit_nodes(df, "s", "row_id", "t")), str(tmp_path / "t"))
-    one = spark.read.parquet(str(tmp_path / "t")).filter("tag = 'a'")
-    assert rows(nested.read_table(one, "x int, y string")) == [(1, "$.a[0]", "$", 1, "b"), (1, "$.a[1]", "$", 2, None)]
+    df = spark.createDataFrame([(1, '{"a": [{"x": 1, "y": "b", "node_path": true}, {"x": 2}, {}]}'), (2, '{"a": {"y": 7}}'), (3, None)], "row_id long, t string")
+    path = str(tmp_path / "t")
+    nested.write_tables(nested.settle(nested.emit_nodes(df, "s", "row_id", "t")), path)
+    one = nested.read_table(spark, path, "s", "a")
+    assert one.columns == ["row_id", "node_path", "parent_path", "node_path_2", "x", "y"]
+    want = [(1, "$.a[0]", "$", True, 1, "b"), (1, "$.a[1]", "$", None, 2, None), (1, "$.a[2]", "$", None, None, None), (2, "$.a[0]", "$", None, None, "7")]
+    assert rows(one) == sorted(want, key=repr)
+    typed = nested.read_table(spark, path, "s", "a", {"x": "string", "y": "int", "z": "date"})
+    assert dict(typed.dtypes)["y"] == "int" and rows(typed.select("x", "y", "z")) == sorted([("1", None, None), ("2", None, None), (None, None, None), (None, 7, None)], key=repr)
+    assert rows(nested.read_table(spark, path, "s", "").select("row_id", "node_path")) == [(1, "$"), (2, "$")]
+    assert nested.read_table(spark, path, "s", "no such tag").count() == 0
 
 
 def test_every_leaf_is_in_one_payload(spark):

@@ -123,16 +123,14 @@ def parse_unwrapped(text: str):
 
 def clean(text: str) -> str:
     """Text that UTF-8 can hold: lone surrogates, which JSON escapes can spell, become '?'."""
-    return text.encode("utf-8", "replace").decode("utf-8")
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
 def as_text(value) -> str | None:
     """A field's value as text: strings and numbers as written, other values as compact JSON."""
     if value is None:
         return None
-    if isinstance(value, str):
-        return clean(str(value))
-    return clean(dump(value))
+    return clean(str(value) if isinstance(value, str) else dump(value))
 
 
 def dump(value) -> str:

@@ -3,7 +3,7 @@
 A depth-first visitor walks each JSON text once and emits one row per object: the tag of the
 table it belongs to (its key path without list positions, repeats of a recursive key folded), its
 own path, the path of its parent, and its scalar values as a payload. Each tag is one flat table;
-``write_tables`` writes the rows partitioned by tag.
+``write_tables`` writes the rows partitioned by tag, ``read_table`` applies the schema of a tag.
 
 An object that stands alone where other rows hold a list cannot be judged from its own row. The
 visitor leaves a mark in the path at such places; the set of tags seen as lists, one entry per
@@ -15,14 +15,15 @@ elements that are no objects give no row. An empty list gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.jsontext import clean, dump, parse_unwrapped
+from weftline.operators.schema import infer_json_ddl
 
 #: Around the tag of an object that stands alone, within a path that isn't settled yet.
 OPEN, CLOSE = "\x01", "\x02"
@@ -166,11 +167,35 @@ def _lists_by_join(nodes: DataFrame, tags: DataFrame) -> DataFrame:
     return nodes.join(lists, ["src_table", "row_id", "path"], "left").withColumn("__lists", F.coalesce("__lists", F.array().cast("array<string>")))
 
 
+ROOT = "_root"
+_TABLES = "row_id long, kind string, node_path string, parent_path string, payload string, src_table string, tag string"
+
+
 def write_tables(settled: DataFrame, path: str) -> None:
-    """Write the flat tables, one folder per source table and tag."""
-    settled.withColumn("tag", F.when(F.col("tag") == "", F.lit("_root")).otherwise(F.col("tag"))).write.partitionBy("src_table", "tag").parquet(path)
+    """Write the flat tables, one folder per source table and tag (``_root`` for whole documents).
+
+    Every task writes its own rows of each tag, so a tag with most rows needs no shuffle."""
+    tag = F.when(F.col("tag") == "", F.lit(ROOT)).otherwise(F.col("tag"))
+    settled.select("row_id", "kind", "node_path", "parent_path", "payload", "src_table", tag.alias("tag")).write.partitionBy("src_table", "tag").parquet(path)
 
 
-def read_table(df: DataFrame, schema: str) -> DataFrame:
-    """Apply a schema to the payload of one tag: key columns plus one column per field."""
-    return df.select("row_id", "node_path", "parent_path", F.from_json("payload", schema, {"mode": "PERMISSIVE"}).alias("__p")).select("row_id", "node_path", "parent_path", "__p.*")
+def read_table(spark: SparkSession, path: str, table: str, tag: str, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """One flat table of those written, read by its folder alone: row_id, node_path, parent_path and a column per field.
+
+    The schema comes from all payloads of the tag. With ``fields`` (name to type) exactly these columns come out, nulls where no
+    payload has them or where a value doesn't fit the type. Objects and elements that hold no field are rows too.
+    """
+    rows = spark.read.schema(_TABLES).parquet(path).filter((F.col("src_table") == table) & (F.col("tag") == (tag or ROOT)))
+    found = T._parse_datatype_string(infer_json_ddl(rows, "payload"))
+    keys = ["row_id", "node_path", "parent_path"]
+    if fields is None:
+        wanted = found.fields
+    else:
+        wanted = [T.StructField(n, T.StringType()) for n in fields]
+    parsed = rows.select(*keys, F.from_json("payload", T.StructType(wanted), {"mode": "PERMISSIVE"}).alias("__p"))
+    own = {k.lower() for k in keys}
+    column = lambda f: F.col("__p").getField(f.name)
+    return parsed.select(
+        *keys,
+        *[(column(f) if fields is None else column(f).try_cast(fields[f.name])).alias(f"{f.name}_2" if f.name.lower() in own else f.name) for f in wanted],
+    )

@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from json.encoder import encode_basestring as _quote
 
 import pyarrow as pa
@@ -93,6 +94,7 @@ def json_fields(df: DataFrame, source: str, fields: Sequence[str], carry: Sequen
 _MARKS = re.compile(r"[\\.\[]|^\$?$")
 
 
+@lru_cache(1 << 16)
 def _field(place: str, key: str) -> str:
     own = _MARKS.sub(r"\\\g<0>", key)
     return f"{place}.{own}" if place else own
@@ -125,22 +127,26 @@ def json_cells(value) -> Iterator[tuple[str, str | None, str | None, bool]]:
     texts: dict[int, str] = {}  # of containers, those within others first
 
     def text(x) -> str:
-        return texts[id(x)] if isinstance(x, (dict, list)) else _quote(x) if type(x) is str else dump(x)
+        return _quote(x) if type(x) is str else texts[id(x)] if isinstance(x, (dict, list)) else dump(x)
 
     for v, *_ in reversed(found):
-        if isinstance(v, dict):
-            texts[id(v)] = "{" + ",".join(f"{_quote(k)}:{text(x)}" for k, x in v.items()) + "}"
+        if type(v) is dict:
+            texts[id(v)] = "{" + ",".join([f"{_quote(k)}:{text(x)}" for k, x in v.items()]) + "}"
         else:
-            texts[id(v)] = "[" + ",".join(map(text, v)) + "]"
+            texts[id(v)] = "[" + ",".join([text(x) for x in v]) + "]"
     if not root:
         yield "", "$", clean(texts[id(value)]), True
     for v, place, _, name in found:
-        if isinstance(v, dict):
+        if type(v) is dict:
             if place:
                 yield place, None, None, False
             for k, x in v.items():
-                nested = isinstance(x, (dict, list))
-                yield place, _field(place, k), clean(texts[id(x)]) if nested else as_text(x), nested
+                if type(x) is str:
+                    yield place, _field(place, k), clean(x), False
+                elif isinstance(x, (dict, list)):
+                    yield place, _field(place, k), clean(texts[id(x)]), True
+                else:
+                    yield place, _field(place, k), as_text(x), False
         else:
             for x in v:
                 if not isinstance(x, (dict, list)):

@@ -73,6 +73,23 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d, True)
 
 
+def _flat(spark: SparkSession, d: str, table: str, tag: str, fields: dict[str, str]) -> DataFrame:
+    """All flat tables written by tag, one of them read back with its schema."""
+    path = f"{Stage(spark, 'p3').path}/tables"
+    nested.write_tables(_nodes(spark, d, True), path)
+    return nested.read_table(spark, path, table, tag, fields)
+
+
+def p3_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of the receipts in the party documents."""
+    return _flat(spark, d, "elasticdump_parties", "receipts", {"receiptNumber": "string", "form": "string"})
+
+
+def p3_issuances(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table two lists down, each row with the path of the identifier it belongs to."""
+    return _flat(spark, d, "elasticdump_parties", "identifiers.issuances", {"date": "date"}).withColumnRenamed("date", "issued")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     def heavy(table: str, key: str) -> DataFrame:
         return keyed.heavy_keys(load(spark, d, table), key).select(F.lit(table).alias("src_table"), "key_value")
@@ -96,12 +113,39 @@ QUERIES = {
     "p1_profile": p1_profile,
     "p3_found": p3_found,
     "p3_tables": p3_tables,
+    "p3_receipts": p3_receipts,
+    "p3_issuances": p3_issuances,
     "p4_found": p4_found,
     "p4_identity_summary": p4_identity_summary,
     "p4_latest_matches": p4_latest_matches,
 }
 
+def _strict(s: str) -> str:
+    """Well-formed JSON: the engine lets trailing commas and NaN pass, so they are looked for outside of strings."""
+    return rf"""(json_valid({s}) AND NOT regexp_matches(regexp_replace({s}, '"(\\.|[^"\\])*"', '""', 'g'), '(?i),\s*[\]}}]|nan|inf'))"""
+
+
+#: Party documents that are well-formed; text inside a JSON string counts as that JSON.
+_DOCS = f"""
+    t0 AS (SELECT row_id, load_id, load_ts, _source AS s FROM elasticdump_parties WHERE {_strict("_source")}),
+    t1 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') ELSE s END AS s) FROM t0),
+    t2 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') ELSE s END AS s) FROM t1 WHERE {_strict("s")}),
+    docs AS (SELECT row_id, load_id, load_ts, CAST(s AS JSON) AS j FROM t2 WHERE {_strict("s")})"""
+
+
+def _elements(holder: str, path: str, key: str, parent: str) -> str:
+    """Elements that are objects in the list, or the lone object, under a key of holder's column j."""
+    return f"""SELECT row_id, {path} || '.{key}[' || i || ']' AS node_path, {parent} AS parent_path, x AS j FROM (
+      SELECT *, CASE WHEN json_type(l) = 'OBJECT' THEN l ELSE json_extract(l, '$[' || i || ']') END AS x FROM (
+        SELECT *, unnest(range(CAST(CASE json_type(l) WHEN 'ARRAY' THEN json_array_length(l) WHEN 'OBJECT' THEN 1 ELSE 0 END AS BIGINT))) AS i
+        FROM (SELECT *, json_extract(j, '$.{key}') AS l FROM {holder}))) WHERE json_type(x) = 'OBJECT'"""
+
+
 SQL = {
+    "p3_receipts": f"""WITH {_DOCS}, r AS ({_elements("docs", "'$'", "receipts", "'$'")})
+        SELECT row_id, node_path, parent_path, json_extract_string(j, '$.receiptNumber') AS receiptNumber, json_extract_string(j, '$.form') AS form FROM r""",
+    "p3_issuances": f"""WITH {_DOCS}, i AS ({_elements("docs", "'$'", "identifiers", "'$'")}), e AS ({_elements("i", "node_path", "issuances", "node_path")})
+        SELECT row_id, node_path, parent_path, TRY_CAST(json_extract_string(j, '$.date') AS DATE) AS issued FROM e""",
     "p4_found": """
         SELECT 'mv_es_party_identity' AS src_table, identity_id AS key_value FROM mv_es_party_identity
         WHERE identity_id IS NOT NULL GROUP BY identity_id
