@@ -35,10 +35,20 @@ def test_one_text_each(spark):
     assert copies[2] <= 20 and shares["a"].selected_tokens == 100
 
 
-def test_boundary_is_filled_by_smaller_texts(spark):
+def test_long_texts_at_the_boundary(spark):
     docs = [(i, "a", 1000 if i % 50 == 0 else 3) for i in range(2000)] + [(5000, "b", 10_001)]
     _, shares = run(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
-    assert abs(shares["a"].selected_tokens - 10_001) <= 3
+    assert abs(shares["a"].selected_tokens - 10_001) <= 10
+
+
+def test_the_same_texts_of_every_length_serve_once_more(spark):
+    """Length has no part in the choice: at equal hashes other lengths give a run of the circle, too."""
+    docs = [(i, "a", 1 + i % 7) for i in range(3000)] + [(5000, "b", 5000)]
+    copies, shares = run(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert abs(shares["a"].selected_tokens - 5000) <= 3
+    sizes = mixing.with_hash(spark.createDataFrame(docs, "doc_id long, source string, n_tokens long"), "doc_id", 8).filter("source = 'a'").orderBy("h").collect()
+    taken = [r.doc_id in copies for r in sizes]
+    assert sum(x != y for x, y in zip(taken, taken[1:] + taken[:1])) == 2
 
 
 def test_nothing_to_mix(spark):

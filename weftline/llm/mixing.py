@@ -3,26 +3,33 @@
 Sizes are tokens. The size of the mixture is the largest at which every source that has texts
 reaches its share with no text used more often than its source allows; shares of sources without
 texts go to the others in proportion. A source's budget is then a number of whole passes over
-its texts and a rest. Which texts serve once more is decided by a hash of their id: those below a
-threshold. The threshold comes from a histogram of tokens by source and hash bucket; the bucket
-in which the rest runs out is split again, until a bucket holds one text. Selecting is then a
-filter: nothing is sorted, and no source is gathered.
+its texts and a rest. Which texts serve once more is decided by a hash of their id, whatever their length: those
+from a start up to a threshold, hashes being a circle. The threshold comes from a histogram of tokens by source and hash bucket; only the
+bucket in which the rest runs out is split again, until it holds one text, which is taken if more than half of it is
+missing. The same histogram serves STARTS starts, each with its own threshold, and the one that comes nearest
+to the budget is kept: half of one text is the most that can be missed, and with so many starts it is a few tokens. Selecting
+is then a filter: nothing is sorted, and no source is gathered.
 
 Sums by source and bucket combine on the map side, so a source with a third of all rows costs
-no more than another. The histograms that reach the driver have at most 4096 rows per source of
-the targets, whatever the corpus. Texts without tokens (NULL, empty) are not selected: they add
-nothing to any share. Rows whose source is NULL or has no target are left out. A target source
-given twice counts with its summed share and smallest cap; a cap below 1 selects nothing.
+no more than another; per level STARTS rows per target source reach the driver. Texts without tokens
+(NULL, empty) are not selected: they add nothing to any share. Rows whose source is NULL or has
+no target are left out. A target source given twice counts with its summed share and smallest
+cap; a cap below 1 selects nothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BITS, LEVELS = 12, 5
+CIRCLE = 1 << BITS * LEVELS
+STARTS = 64
 
 
 @dataclass
@@ -34,12 +41,13 @@ class Share:
     tokens: int = 0
     passes: int = 0
     rest: int = 0
-    segments: list = field(default_factory=list)  # (lo, hi, most): texts of lo <= hash < hi and at most that many tokens serve once more
+    start: int = 0
+    length: int = 0  # texts with a hash from start on, for this length of the circle, serve once more
 
 
 def with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """df with h, a hash of the id of BITS * LEVELS bits, never negative."""
-    return df.withColumn("h", F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << BITS * LEVELS) - 1)))
+    return df.withColumn("h", F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit(CIRCLE - 1)))
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, max_sources: int = 10_000) -> list[Share]:
@@ -64,79 +72,72 @@ def budgets(sizes: DataFrame, targets: DataFrame, max_sources: int = 10_000) ->
     return shares
 
 
-def find_thresholds(sizes: DataFrame, shares: list[Share], tolerance: float = 1e-4, max_rounds: int = 8) -> None:
-    """Set each share's segments so that the texts in them hold its rest, as near as they can.
+def _first_ends(sums: DataFrame) -> DataFrame:
+    """(source, start, bucket, left, tokens, docs): for each start the first-level bucket in which the rest runs out."""
+    starts = np.arange(STARTS) << (BITS - (STARTS - 1).bit_length())
 
-    The first segment runs from 0 to the hash of the text that no longer fits. While more than
-    ``tolerance`` of a source's tokens is still missing, a further segment continues behind that
-    text with those that are small enough; on large corpora the first one is near enough.
-    """
-    wanted = {s.source: s.rest for s in shares if s.rest > 0}
+    def run(buckets: pd.DataFrame) -> pd.DataFrame:
+        b = buckets.sort_values("bucket")
+        # twice around the circle
+        upto, total = np.concatenate([np.cumsum(b.tokens), np.cumsum(b.tokens) + b.tokens.sum()]), b.tokens.sum()
+        first = np.searchsorted(b.bucket.to_numpy(), starts)
+        before = np.where(first > 0, upto[first - 1], 0)
+        goal = before + b.missing.iloc[0]
+        at = np.searchsorted(upto, goal, side="right")
+        tokens, docs = np.tile(b.tokens, 2)[at], np.tile(b.docs, 2)[at]
+        bucket = np.concatenate([b.bucket, b.bucket + (1 << BITS)])[at]
+        return pd.DataFrame({"source": b.source.iloc[0], "start": starts, "bucket": bucket, "left": goal - (upto[at] - tokens), "tokens": tokens, "docs": docs})
+
+    return sums.groupBy("source").applyInPandas(run, "source string, start long, bucket long, left long, tokens long, docs long")
+
+
+def find_thresholds(sizes: DataFrame, shares: list[Share]) -> None:
+    """Set the start and length of each share so that the texts between hold its rest as near as any of STARTS starts allows."""
     by_name = {s.source: s for s in shares}
-    start = dict.fromkeys(wanted, 0)
-    for _ in range(max_rounds):
-        if not wanted:
-            return
-        ends, left = _segment_ends(sizes, start, wanted)
-        for source in list(wanted):
-            share, most = by_name[source], wanted[source]
-            if source not in ends:  # no text fits any more
-                del wanted[source]
-                continue
-            share.segments.append((start[source], ends[source], most))
-            start[source], wanted[source] = ends[source], left[source]
-            if left[source] <= tolerance * (share.passes * share.tokens + share.rest):
-                del wanted[source]
-
-
-def _segment_ends(sizes: DataFrame, start: dict[str, int], wanted: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
-    """Where each source's tokens, from its start and of texts no larger than what is wanted, reach
-    what is wanted; and what is missing there."""
-    open_at = {s: (0, w) for s, w in wanted.items()}  # source -> (prefix of the hash, tokens still wanted)
-    ends: dict[str, int] = {}
-    left: dict[str, int] = {}
-
-    def lookup(values: dict[str, int]):
-        return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("source")).cast("long")
-
-    fitting = sizes.filter(F.col("source").isin(*wanted)).filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= lookup(wanted)) & (F.col("h") >= lookup(start)))
+    rests = [(s.source, s.rest) for s in shares if s.rest > 0]
+    if not rests:
+        return
+    spark, counted = sizes.sparkSession, sizes.filter("n_tokens > 0").select("source", "h", "n_tokens")
+    found: dict[str, list] = {}
+    sums = [F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")]
     for level in range(LEVELS):
-        if not open_at:
-            break
         shift = BITS * (LEVELS - 1 - level)
-        inside = fitting.filter(F.col("source").isin(*open_at))
-        if level:
-            inside = inside.filter(F.shiftright("h", shift + BITS) == lookup({s: p for s, (p, _) in open_at.items()}))
-        histogram = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-        buckets: dict[str, list] = {}
-        for r in histogram.collect():  # at most 2 ** BITS rows per source
-            buckets.setdefault(r.source, []).append((r.bucket, r.tokens, r.docs))
-        again = {}
-        for source, (_, missing) in open_at.items():
-            if source not in buckets:
-                continue
-            for bucket, tokens, docs in sorted(buckets[source]):
-                if missing < tokens:
-                    if docs > 1 and level < LEVELS - 1 and missing > 0:
-                        again[source] = (bucket, missing)
-                    else:
-                        ends[source], left[source] = max(bucket << shift, start[source]), missing
-                    break
-                missing -= tokens
+        bucket = F.shiftright("h", shift).alias("bucket")
+        if level == 0:
+            asked = spark.createDataFrame(rests, "source string, missing long")  # one row per target source
+            # at most 2 ** BITS rows per source
+            ends = _first_ends(counted.join(F.broadcast(asked), "source").groupBy("source", "missing", bucket).agg(*sums))
+        else:
+            # STARTS rows per target source; a prefix past the end of the circle is the one at its beginning
+            asked = spark.createDataFrame(open_at, "source string, start long, prefix long, missing long")
+            inside = counted.withColumn("__p", F.shiftright("h", shift + BITS)).join(
+                F.broadcast(asked.withColumn("__p", F.pmod("prefix", F.lit(1 << BITS * level)))), ["source", "__p"]
+            )
+            each = inside.groupBy("source", "start", "prefix", "missing", bucket).agg(*sums)
+            before = F.sum("tokens").over(W.partitionBy("source", "start").orderBy("bucket")) - F.col("tokens")
+            ends = each.withColumn("left", F.col("missing") - before).filter("left >= 0 and left < tokens")
+            ends = ends.withColumn("bucket", F.shiftleft("prefix", BITS) + F.pmod("bucket", F.lit(1 << BITS)))
+        open_at = []
+        for r in ends.select("source", "start", "bucket", "left", "tokens", "docs").collect():
+            if r.left and r.docs > 1 and level < LEVELS - 1:
+                open_at.append((r.source, r.start, r.bucket, r.left))
             else:
-                ends[source], left[source] = (max(buckets[source])[0] + 1) << shift, missing
-        open_at = again
-    return ends, left
+                over = 2 * r.left > r.tokens
+                first = r.start << BITS * (LEVELS - 1)
+                found.setdefault(r.source, []).append((r.tokens - r.left if over else r.left, first, ((r.bucket + over) << shift) - first))
+        if not open_at:
+            break
+    for source, ways in found.items():
+        _, by_name[source].start, by_name[source].length = min(ways)
 
 
 def select(sizes: DataFrame, shares: list[Share], spark: SparkSession) -> DataFrame:
     """sizes with copies, the times each text is used; texts that aren't used are left out."""
-    schema = "source string, __passes long, __segments array<struct<lo:long,hi:long,most:long>>"
-    plan = spark.createDataFrame([(s.source, s.passes, s.segments) for s in shares], schema)
-    more = F.exists("__segments", lambda g: (F.col("h") >= g["lo"]) & (F.col("h") < g["hi"]) & (F.col("n_tokens") <= g["most"]))
-    copies = F.col("__passes") + more.cast("long")
+    plan = spark.createDataFrame([(s.source, s.passes, s.start, s.length) for s in shares], "source string, __passes long, __start long, __length long")
+    more = F.pmod(F.col("h") - F.col("__start"), F.lit(CIRCLE)) < F.col("__length")
     # the plan has one row per target source
-    return sizes.filter("n_tokens > 0").join(F.broadcast(plan), "source").withColumn("copies", copies.cast("int")).filter("copies > 0").drop("__passes", "__segments")
+    chosen = sizes.filter("n_tokens > 0").join(F.broadcast(plan), "source").withColumn("copies", (F.col("__passes") + more.cast("long")).cast("int"))
+    return chosen.filter("copies > 0").drop("__passes", "__start", "__length")
 
 
 def report(chosen: DataFrame, shares: list[Share], spark: SparkSession) -> DataFrame:

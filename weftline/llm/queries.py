@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, components, lookalike, mixing, pii, survivor
@@ -37,18 +37,21 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_notes(spark, d), "row_id", P2_FIELDS, _p2_model(spark, d)[1])
 
 
-def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.long_rows(spread(load(spark, d, "rpt_bronze_party"), "record_id"), load(spark, d, "placeholder_values"), load(spark, d, "source_trust"), P5_FIELDS)
+def _p5_rows(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """Long rows of all records that have an identity, and the last day of the records."""
+    records = load(spark, d, "rpt_bronze_party")
+    wide = survivor.member_records(records, load(spark, d, "mv_es_party_identity"), load(spark, d, "source_trust"), P5_FIELDS)
+    return survivor.long_rows(wide, load(spark, d, "placeholder_values"), P5_FIELDS), records.select(F.max(F.to_date("updated_at"))).scalar()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    best = survivor.best_records(_p5_rows(spark, d), load(spark, d, "mv_es_party_identity"))
+    best = survivor.best_records(*_p5_rows(spark, d))
     return best.filter("n_records >= 2 and dominates").select("identity_id", "record_id")
 
 
 def p5_golden(spark: SparkSession, d: str) -> DataFrame:
-    last_day = load(spark, d, "rpt_bronze_party").select(F.max(F.to_date("updated_at"))).scalar()
-    return survivor.golden(_p5_rows(spark, d), load(spark, d, "mv_es_party_identity"), P5_FIELDS, last_day)
+    rows, last_day = _p5_rows(spark, d)
+    return survivor.golden(rows, P5_FIELDS, last_day)
 
 
 def _p6_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +154,7 @@ SQL = {
         WITH {_P5_ROWS},
         last_day AS (SELECT max(CAST(updated_at AS DATE)) AS day FROM rpt_bronze_party),
         votes AS (SELECT identity_id, field, norm, value, coalesce(updated_at, TIMESTAMP '0001-01-01') AS upd,
-                  {1_000_000 * survivor.HALF_AGE} // ((least(trust_rank, 99) + 1) * (coalesce(greatest(date_diff('day', CAST(updated_at AS DATE), day), 0), {survivor.UNKNOWN_AGE}) + {survivor.HALF_AGE})) AS w
+                  {1_000_000 * survivor.HALF_AGE} // ((least(trust_rank, 99) + 1) * (CASE WHEN updated_at IS NULL THEN {survivor.UNKNOWN_AGE} ELSE greatest(date_diff('day', CAST(updated_at AS DATE), day), 0) END + {survivor.HALF_AGE})) AS w
                   FROM long_rows JOIN member USING (party_id), last_day WHERE norm IS NOT NULL),
         vals AS (SELECT identity_id, field, norm, sum(w) AS w, count(*) AS n, max(ROW(upd, value)) AS s FROM votes GROUP BY ALL),
         won AS (SELECT identity_id, field, s[2] AS value FROM vals
