@@ -2,7 +2,7 @@ import pytest
 
 from weftline.llm import pii
 
-GAZ = pii.Gazetteer.of(["joren", "maren", "brook", "sage", "thesi", "fenni", "mary-wyn"], ["lundlow", "kestfeld", "quillow", "o'branick", "van der moorn", "dunmere", "jaskdale"])
+GAZ = pii.Gazetteer.of(["joren", "maren", "brook", "sage", "thesi", "fenni", "mary-wyn"], ["lundlow", "kestfeld", "quillow", "o'branick", "van der moorn", "dunmere", "jaskdale"], ["brook", "sage"])
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +17,13 @@ def model():
     counts: dict = {}
     for t in texts * 20:
         for k, _, _, v in pii.candidates(t, GAZ):
+            v = pii.with_contexts(k, v, [-1] * 4, {})
             counts[k, v] = counts.get((k, v), 0) + 1
-    return pii.fit([(k, v, n) for (k, v), n in counts.items()], GAZ)
+    return pii.fit([(k, v, n) for (k, v), n in counts.items()], {})
 
 
 def items(model, text):
-    return [(k, text[a:b]) for k, a, b in model.resolve(pii.candidates(text, GAZ))]
+    return [(k, text[a:b]) for k, a, b in model.items(text, GAZ)]
 
 
 @pytest.mark.parametrize(
@@ -51,7 +52,7 @@ def test_items(model, text, want):
 
 
 def test_redaction_keeps_the_rest(model):
-    assert model.redact("call son Joren at (834) 555-0191 on arrival\r\nfall risk") == "call son [NAME] at [PHONE] on arrival\r\nfall risk"
+    assert model.redact("call son Joren at (834) 555-0191 on arrival\r\nfall risk", GAZ) == "call son [NAME] at [PHONE] on arrival\r\nfall risk"
 
 
 def test_very_long_text(model):
@@ -65,10 +66,12 @@ def test_very_long_text(model):
 
 def test_tables(spark, model):
     df = spark.createDataFrame([(1, "ask for Thesi", None), (2, None, ""), (3, "  ", "call 555-0119 for Maren")], "row_id long, a string, b string")
-    spans = pii.find_spans(df, "row_id", ["a", "b"], GAZ)
+    words = spark.createDataFrame(list(GAZ.words.items()), "word string, bits int")
+    texts = pii.with_known(df, "row_id", ["a", "b"], words)
+    spans = pii.find_spans(texts)
     got = sorted(tuple(r) for r in pii.found(spans, model).collect())
     assert (1, "a", "name", 9) in got and {r[0] for r in got} <= {1, 3}
-    red = {r.row_id: (r.a, r.b) for r in pii.redact(df, "row_id", ["a", "b"], model).collect()}
+    red = {r.row_id: (r.a, r.b) for r in pii.redact(texts, model).collect()}
     assert red[1] == ("ask for [NAME]", None) and red[2] == (None, "")
 
 
@@ -87,4 +90,29 @@ def test_names_outside_the_gazetteer_are_candidates_in_context():
         return [t[a:b] for k, a, b, _ in candidates(t, Gazetteer.of([], [])) if k == "name"]
 
     assert names("seen by Dr. Ostquist, wife Wexick Brandal aware. POA Nordale") == ["Ostquist", "Wexick Brandal", "Nordale"]
+    assert names("ask for the driver. Zbigniew Kowalczyk rode along, Joren Ostquist too") == ["Zbigniew Kowalczyk", "Joren Ostquist"]
     assert names("case manager PICC line, Dr. Office at Mill Road, pt stable") == []
+
+
+def test_known_words_by_column_give_the_same(spark):
+    texts = [(1, "ask for Thesi", "DR. LUNDLOW re sepsis"), (2, None, "seen by Quillow, Joren, RN"), (3, "no one", ""), (4, "brook side entrance O’Branick", "x")]
+    df = spark.createDataFrame(texts, "row_id long, a string, b string")
+    words = spark.createDataFrame(list(GAZ.words.items()), "word string, bits int")
+    one, other = (pii.with_known(df, "row_id", ["a", "b"], words, limit) for limit in (1000, 0))
+    assert one.gaz is not None and other.gaz is None
+    flat = lambda t: sorted(map(repr, pii.find_spans(t).collect()))
+    assert flat(one) == flat(other) != []
+
+
+def test_rare_names_are_known_and_common_words_marked(spark):
+    texts = spark.createDataFrame([("Odd Wexick sits by the green door", "A door, a green one"), ("GREEN", None), ("joren.k@x.example Joren and joren@y.example", "")], "a string, b string")
+    names = spark.createDataFrame([("Joren", None, "van der Wexick"), ("green", "UNKNOWN", None), ("xx", None, "NoName")], "g string, m string, s string")
+    hollow = spark.createDataFrame([("s", "noname")], "field_name string, placeholder string")
+    got = {r.word: r.bits for r in pii.known_words(texts, ["a", "b"], names, ["g", "m"], ["s"], hollow).collect()}
+    assert got["joren"] == pii.GIVEN and got["wexick"] == pii.SUR and got["green"] == pii.GIVEN | pii.COMMON and got["door"] == pii.COMMON
+    assert not {"unknown", "noname", "odd", "xx"} & set(got)
+
+
+def test_contexts_vote_by_seeds_and_by_variety():
+    sums = [("name", 1, 1, 500, 200, 8), ("name", 1, 2, 500, 0, 400), ("name", 1, 3, 500, 0, 9), ("name", 1, 4, 3, 0, 3), ("phone", 1, 5, 300, 280, 300), ("phone", 1, 6, 300, 0, 300)]
+    assert pii.context_votes(sums) == {("name", 1, 1): "+", ("name", 1, 2): "-", ("name", 1, 3): "+", ("phone", 1, 5): "+", ("phone", 1, 6): "-"}

@@ -23,18 +23,21 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-def _p2_model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
-    gaz = pii.build_gazetteer(load(spark, d, "rpt_bronze_party"), ["firstName", "middleName"], ["lastName"])
-    spans = Stage(spark, "p2").write(pii.find_spans(_notes(spark, d), "row_id", P2_FIELDS, gaz), "spans")
-    return spans, pii.fit_on(spans, gaz)
+def _p2_model(spark: SparkSession, d: str) -> tuple[pii.Texts, DataFrame, pii.Model]:
+    stage, notes = Stage(spark, "p2"), _notes(spark, d)
+    words = stage.write(pii.known_words(notes, P2_FIELDS, load(spark, d, "rpt_bronze_party"), ["firstName", "middleName"], ["lastName"], load(spark, d, "placeholder_values")), "words")
+    texts = pii.with_known(notes, "row_id", P2_FIELDS, words)
+    spans = stage.write(pii.find_spans(texts), "spans")
+    return texts, spans, pii.fit_on(spans)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(*_p2_model(spark, d))
+    return pii.found(*_p2_model(spark, d)[1:])
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(_notes(spark, d), "row_id", P2_FIELDS, _p2_model(spark, d)[1])
+    texts, _, model = _p2_model(spark, d)
+    return pii.redact(texts, model)
 
 
 def _p5_rows(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
