@@ -141,8 +141,8 @@ _NAME_RIGHT = re.compile(rf"(?:['’]s\b)?\"?(?:,?\s*{_CREDENTIAL}\b|\s*\(?\s?(?
 _NOT_NAME_RIGHT = re.compile(rf"(?:['’]s)?[ \t]+{_THING}\b", _I)
 _NOT_NAME_LEFT = re.compile(rf"(?:\b(?:in|at|near|toward|towards|into|via|hx|h/o|history of|s/p|dx|r/o|stage|use|{_SUFFIX}\.?,)|\d,?)\s*$", _I)
 #: Words that a person's name follows, whatever the name; and those that it often follows.
-_ROLE_LEFT = re.compile(rf"\b{_ROLE} ?[:=]? *\Z", _I)
-_PERSON_LEFT = re.compile(rf"(?:\b{_TITLE}\.?|\b(?:poa|nok|next of kin|emergency contact|escort|witness)|\b{_REL}(?: is)?|\b(?:signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named)) ?[:=]? *\Z", _I)
+_ROLE_AT = re.compile(rf"\b{_ROLE} ?[:=]? *(?=\w)", _I)
+_PERSON_AT = re.compile(rf"\b(?:{_TITLE}\.?|poa|nok|next of kin|emergency contact|escort|witness|{_REL}(?: is\b)?|signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named) ?[:=]? *(?=\w)(?<!\w)", _I)
 _PARTICLES = {"van", "der", "den", "de", "la", "del", "von", "di", "da", "le", "el", "al", "bin", "ibn", "san", "st"}
 _TITLES = re.compile(rf"\b{_TITLE}\.?\s*$", _I)
 _THINGS = re.compile(rf"{_THING}\Z", _I)
@@ -299,12 +299,14 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         a, b, w, _ = tokens[i]
         return caps and len(w) > 1 and t[a].isupper() and not t[a:b].isupper() and not _NO_PERSON.match(w)
 
+    # where a word that a person's name follows ends
+    persons, roles = {m.end() for m in _PERSON_AT.finditer(t)}, {m.end() for m in _ROLE_AT.finditer(t)}
+
     def unknown_run(i: int) -> int:
         """End index of a run of up to three words that may be a name without a known part, or i."""
-        a = tokens[i][0]
-        left = t[max(0, a - 40) : a]
-        announced = _PERSON_LEFT.search(left) or (_ROLE_LEFT.search(left) and _NAME_RIGHT.match(t, tokens[i][1]))
-        if tokens[i][2] == "" or (announced is None and not capital(i)):
+        a, b, w, _ = tokens[i]
+        announced = a in persons or (a in roles and _NAME_RIGHT.match(t, b))
+        if w == "" or not (announced or (caps and t[a].isupper() and capital(i))):
             return i
         j = i
         if caps:
@@ -315,9 +317,16 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
                 j += 1
         return j if announced or j - i > 1 else i
 
-    i = 0
-    while i < n:
-        j = i
+    def may_begin(i: int) -> bool:
+        a, b, w, bits = tokens[i]
+        return bool(bits & (GIVEN | SUR)) or b - a == 1 or a in persons or a in roles or (caps and t[a].isupper()) or w in _PARTICLES
+
+    begins = [i for i in range(n) if may_begin(i)]
+    i = -1
+    for at in begins:
+        if at < i:
+            continue  # within the last run
+        i = j = at
         has_given = has_sur = False
         bits = parts = 0
         # initials and given names, then a surname
@@ -342,7 +351,6 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
             j = unknown_run(i)
             parts = j - i
             if not parts:
-                i += 1
                 continue
         elif not has_sur and j < n and joined(j - 1) and capital(j) and not tokens[j][3] & COMMON and not initial(j - 1):
             j, parts = j + 1, parts + 1  # a surname that isn't known behind a given name that is
