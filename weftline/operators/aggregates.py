@@ -136,6 +136,25 @@ def auc_ap(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def auc_by(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """(by, n_pos, n_neg, auc, ap) per group, for scores with few distinct values such as sums of level weights.
+
+    Rows shrink to counts per group and score; only those are put in order. For scores that hardly repeat use ``auc_ap``.
+    A group without matches, or without others, has no auc.
+    """
+    counts = (
+        df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("__s"))
+        .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    )
+    upto = W.partitionBy(*by).orderBy(F.desc("__s"))
+    run = counts.withColumn("pu", F.sum("p").over(upto)).withColumn("qu", F.sum("q").over(upto))
+    return run.groupBy(*by).agg(
+        F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
+        F.round(F.try_divide(F.sum(F.col("q").cast("double") * (F.col("pu") - F.col("p") / 2.0)), F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"),
+        F.round(F.try_divide(F.sum(F.col("p").cast("double") * F.col("pu") / (F.col("pu") + F.col("qu"))), F.sum("p")), 6).alias("ap"),
+    )
+
+
 def running_totals(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, buckets: int = 256) -> DataFrame:
     """df with <value>_upto, the inclusive running sum of each value over all rows in order.
 

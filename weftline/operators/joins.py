@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.tables import small
+
 
 def suffixed(df: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
     """Every column renamed with a suffix, but those in keep."""
@@ -70,11 +72,36 @@ def negatives(df: DataFrame, id_col: str, group: str, cells: int = 4) -> DataFra
     return grid_join(a, b, (F.col("id_1") < F.col("id_2")) & (F.col("g_1") != F.col("g_2")), cells).select("id_1", "id_2")
 
 
+#: Rows of one block that a part of it holds.
+PART_ROWS = 2_000
+
+
+def pairs_within(rows: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """(keys, id_1, id_2, other columns _1 and _2), id_1 < id_2: all pairs of rows (id, keys, ...) that share the keys.
+
+    Null keys pair with nothing. A block with more than part_rows rows is split: its left rows are dealt to parts by a hash
+    of their id, its right rows are copied to each, so no task holds the pairs of a hot block; the pairs are the same.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > part_rows)
+    split = rows.join(small(sizes), list(keys), "left").withColumn("__parts", F.coalesce(F.ceil(F.col("__n") / part_rows), F.lit(1)).cast("int")).drop("__n")
+    keep = [*keys, "__part"]
+    a = suffixed(split.withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).drop("__parts"), "_1", keep)
+    b = suffixed(split.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts"), "_2", keep)
+    return a.join(b, keep).filter("id_1 < id_2").drop("__part")
+
+
+def random_pairs(df: DataFrame, id_col: str, n_rows: int, seed: int = 1) -> DataFrame:
+    """(columns _1 and _2) of about n_rows / 2 pairs of different rows, drawn alike on every run: rows whose two hashes meet."""
+    slots = F.lit(max(n_rows, 1))
+    at = lambda s: F.pmod(F.xxhash64(F.lit(seed + s), F.col(id_col)), slots)
+    a, b = suffixed(df.withColumn("__slot", at(0)), "_1", ["__slot"]), suffixed(df.withColumn("__slot", at(1)), "_2", ["__slot"])
+    return a.join(b, "__slot").filter(F.col(f"{id_col}_1") < F.col(f"{id_col}_2")).drop("__slot")
+
+
 def blocked_negatives(df: DataFrame, id_col: str, group: str, block: Column) -> DataFrame:
     """(id_1, id_2, block): pairs of different groups that share a block key."""
     rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("g"), block.alias("block"))
-    a, b = suffixed(rows, "_1", ["block"]), suffixed(rows, "_2", ["block"])
-    return a.join(b, "block").filter("id_1 < id_2 and g_1 <> g_2").select("id_1", "id_2", "block")
+    return pairs_within(rows, ["block"]).filter("g_1 <> g_2").select("id_1", "id_2", "block")
 
 
 def blocking_pairs(df: DataFrame, id_col: str, rules: Mapping[str, Sequence[Column]]) -> DataFrame:
@@ -88,8 +115,7 @@ def blocking_pairs(df: DataFrame, id_col: str, rules: Mapping[str, Sequence[Colu
         for i, ks in enumerate(rules.values())
     ]
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(*keys)).alias("k")).select("id", "k.*").filter("key is not null")
-    a, b = suffixed(rows, "_1", ["rule", "key"]), suffixed(rows, "_2", ["rule", "key"])
-    pairs = a.join(b, ["rule", "key"]).filter("id_1 < id_2").groupBy("id_1", "id_2").agg(F.sort_array(F.collect_set("rule")).alias("r"))
+    pairs = pairs_within(rows, ["rule", "key"]).groupBy("id_1", "id_2").agg(F.sort_array(F.collect_set("rule")).alias("r"))
     names = F.array(*map(F.lit, rules))
     return pairs.select("id_1", "id_2", F.array_join(F.transform("r", lambda i: F.get(names, i)), "+").alias("rules"))
 

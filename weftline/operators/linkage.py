@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.expr import first_match
 
@@ -18,6 +20,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(missing, F.lit(-1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def exact(a: Column, b: Column) -> Column:
+    """1.0 where both values are the same, 0.0 where they differ; -1 where a side is null or blank."""
+    missing = (F.coalesce(F.trim(a), F.lit("")) == "") | (F.coalesce(F.trim(b), F.lit("")) == "")
+    return F.when(missing, F.lit(-1.0)).otherwise((a == b).cast("double"))
+
+
 def token_cosine(a: Column, b: Column) -> Column:
     """Cosine of the sets of words of two names; -1 where a side is missing."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != ""))
@@ -53,7 +61,7 @@ def score_pairs(pairs: DataFrame, features: Sequence[str], weights: DataFrame, p
 
     Weights are one row per feature and level: they become one small map, not a join per feature.
     """
-    table = weights.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "feature", F.col("level").cast("string")), F.col("weight")))).alias("m")).select("m").scalar()
+    table = _as_map(weights)
     total = prior if isinstance(prior, Column) else F.lit(float(prior))
     for f in features:
         total = total + F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{f}:"), F.col(f).cast("string"))), F.lit(0.0))
@@ -61,6 +69,54 @@ def score_pairs(pairs: DataFrame, features: Sequence[str], weights: DataFrame, p
     return pairs.withColumn("match_weight", total).withColumn("match_probability", 1 / (1 + F.pow(F.lit(2.0), -w)))
 
 
+def weigh(pairs: DataFrame, features: Sequence[str], weights: DataFrame) -> DataFrame:
+    """pairs with w_<feature>, the weight of each feature's level; a level without a weight counts 0."""
+    table = _as_map(weights)
+    return pairs.select("*", *[F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{f}:"), F.col(f).cast("string"))), F.lit(0.0)).alias(f"w_{f}") for f in features])
+
+
+def _as_map(weights: DataFrame) -> Column:
+    entry = F.struct(F.concat_ws(":", "feature", F.col("level").cast("string")), F.col("weight"))
+    return weights.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select("m").scalar()
+
+
+def level_shares(pairs: DataFrame, features: Sequence[str], levels: int = 4, alpha: float = 0.5) -> dict[str, list[float]]:
+    """Smoothed share of each level of each feature among pairs: at random pairs, the chance of agreeing by accident."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("level")) for f in features]))
+    counts = {(r.feature, r.level): r.n for r in pairs.select(cells.alias("c")).groupBy("c.feature", "c.level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {f: sum(counts.get((f, i), 0) for i in range(levels)) for f in features}
+    return {f: [(counts.get((f, i), 0) + alpha) / (total[f] + alpha * levels) for i in range(levels)] for f in features}
+
+
+def with_name_match(pairs: DataFrame, left: str, right: str, cutoff: float) -> DataFrame:
+    """pairs with name_score and name_good: for each word of the left name the best ratio of matching blocks to a word of the right one.
+
+    The score is their mean, good means that each reaches the cutoff. A name without words scores 0 and isn't good. Ratios of word
+    pairs are kept within a batch, as words repeat.
+    """
+    schema = T.StructType([T.StructField("name_score", T.DoubleType()), T.StructField("name_good", T.BooleanType())])
+
+    @F.pandas_udf(schema)
+    def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        known: dict[tuple[str, str], float] = {}
+
+        def ratio(x: str, y: str) -> float:
+            if (x, y) not in known:
+                known[x, y] = 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+            return known[x, y]
+
+        out = []
+        for l, r in zip(a, b):
+            mine, theirs = (l or "").upper().split(), (r or "").upper().split()
+            best = [max(ratio(x, y) for y in theirs) for x in mine] if mine and theirs else []
+            out.append((sum(best) / len(best) if best else 0.0, bool(best) and min(best) >= cutoff))
+        return pd.DataFrame(out, columns=["name_score", "name_good"])
+
+    return pairs.withColumn("__m", match.asNondeterministic()(F.col(left), F.col(right))).select(*pairs.columns, "__m.name_score", "__m.name_good")
+
+
 def log_prior(pairs: DataFrame, label: str) -> Column:
     """log2(p / (1 - p)) of the share of matches, as a scalar."""
     p = F.avg((F.col(label) == 1).cast("double"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import expr
 from weftline.operators import aggregates, joins, linkage, mapping, nested, schema, text, windows
 from weftline.plans.registry import Registry
-from weftline.plans.relations import _levels, _links, _person
+from weftline.plans.linkages import links, person
 from weftline.runtime import Stage, load
 from weftline.sources import io
 from weftline.streaming import windows as streams
@@ -66,35 +66,6 @@ def place_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select("n_nationkey", expr.title_place(raw, {"tx": "Texas"}).alias("place"))
 
 
-@R.query()
-def leakage_auc(spark: SparkSession, d: str) -> DataFrame:
-    """max(auc, 1 - auc) of each feature alone: a value near 1 says the label leaks into it."""
-    levels = Stage(spark, "leak").write(_levels(spark, d), "levels")
-    out = None
-    for f in ("dob", "first", "ssn"):
-        row = aggregates.auc_ap(levels, f, "label").select(F.lit(f).alias("feature"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("auc"))
-        out = row if out is None else out.union(row)
-    return out
-
-
-@R.query()
-def supervised_model(spark: SparkSession, d: str) -> DataFrame:
-    """Logistic regression over one-hot levels, its metrics on the held-out quarter."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    df = Stage(spark, "model").write(_levels(spark, d).withColumn("k", F.pmod(F.xxhash64("party_id_1", "party_id_2"), F.lit(1_000_003))), "levels")
-    hot = [(F.col(f) == i).cast("double").alias(f"{f}_{i}") for f in ("dob", "first", "ssn") for i in range(4)]
-    split = windows.stratified_split(df, "k", "label", 0.75).select("split", "label", *hot)
-    names = [c for c in split.columns if c[-2] == "_"]
-    wide = VectorAssembler(inputCols=names, outputCol="features").transform(split)
-    model = LogisticRegression(labelCol="label", maxIter=20, regParam=0.01).fit(wide.filter("split = 'train'"))
-    # the fitted weights as one expression: the score stays in generated code
-    z = sum((F.col(c) * float(w) for c, w in zip(names, model.coefficients)), F.lit(float(model.intercept)))
-    scored = split.filter("split = 'test'").select("label", (1 / (1 + F.exp(-z))).alias("score"))
-    return aggregates.auc_ap(scored, "score", "label")
-
-
 @R.query("""WITH f AS (SELECT row_id, regexp_matches(lower(coalesce(ClinicalData, '')), 'bedbound|sit upright') AS a, regexp_matches(lower(coalesce(ClinicalData, '')), 'walker|wheelchair acceptable') AS b, length(coalesce(ClinicalData, '')) > 100 AS c FROM tripmaster)
             SELECT row_id, CASE WHEN a AND NOT b THEN 'supported' WHEN a AND b THEN 'conflicting' WHEN b THEN 'not supported' ELSE 'undetermined' END AS determination,
                    CAST(greatest(0.05, least(0.99, 0.5 + CASE WHEN a THEN 0.3 ELSE 0 END - CASE WHEN b THEN 0.3 ELSE 0 END + CASE WHEN c THEN 0.2 ELSE 0 END)) AS DOUBLE) AS confidence FROM f""")
@@ -111,8 +82,8 @@ def determination(spark: SparkSession, d: str) -> DataFrame:
             p AS (SELECT party_id, min(dob) AS dob, min(lastName) AS lastName FROM rpt_bronze_party GROUP BY 1)
             SELECT pr1, pr2, a.dob AS dob_1, a.lastName AS lastName_1, b.dob AS dob_2, b.lastName AS lastName_2 FROM links JOIN p a ON pr1 = a.party_id JOIN p b ON pr2 = b.party_id""")
 def pair_assembly(spark: SparkSession, d: str) -> DataFrame:
-    p = _person(spark, d).select("party_id", "dob", "lastName")
-    j = _links(spark, d).join(joins.suffixed(p, "_1"), F.col("pr1") == F.col("party_id_1")).join(joins.suffixed(p, "_2"), F.col("pr2") == F.col("party_id_2"))
+    p = person(spark, d).select("party_id", "dob", "lastName")
+    j = links(spark, d).join(joins.suffixed(p, "_1"), F.col("pr1") == F.col("party_id_1")).join(joins.suffixed(p, "_2"), F.col("pr2") == F.col("party_id_2"))
     return j.drop("party_id_1", "party_id_2")
 
 
@@ -237,25 +208,6 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
-@R.query()
-def similarity_features(spark: SparkSession, d: str) -> DataFrame:
-    """Name cosine and edit similarities of linked pairs, -1 where a side is missing."""
-    p = _person(spark, d).select("party_id", "firstName", "lastName", "ssn")
-    j = joins.two_sided(_links(spark, d), p, "party_id", "pr1", "pr2")
-    full = lambda s: F.concat_ws(" ", f"firstName_{s}", f"lastName_{s}")
-    return j.select(
-        "pr1", "pr2", F.round(linkage.token_cosine(full("l"), full("r")), 6).alias("f_name"),
-        F.round(linkage.similarity(F.col("firstName_l"), F.col("firstName_r")), 6).alias("f_first"), F.round(linkage.similarity(F.col("ssn_l"), F.col("ssn_r")), 6).alias("f_ssn"),
-    )
-
-
-@R.query("SELECT count(*) AS n FROM (SELECT DISTINCT party_id, dob FROM (SELECT party_id, min(dob) AS dob FROM rpt_bronze_party GROUP BY 1))")
-def pairs_to_records(spark: SparkSession, d: str) -> DataFrame:
-    p = _person(spark, d).select("party_id", "dob")
-    wide = p.select(F.col("party_id").alias("party_id_1"), F.col("dob").alias("dob_1"), F.col("party_id").alias("party_id_2"), F.col("dob").alias("dob_2"))
-    return linkage.to_records(wide, ["party_id", "dob"]).agg(F.count(F.lit(1)).alias("n"))
-
-
 @R.query("SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1")
 def map_in_pandas(spark: SparkSession, d: str) -> DataFrame:
     """Partial sums per batch in pandas, merged in the JVM."""

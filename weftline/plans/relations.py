@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import expr
-from weftline.operators import aggregates, graph, joins, linkage, mapping, schema, text
+from weftline.operators import joins, linkage, mapping, schema, text
+from weftline.plans.linkages import LINKS, PERSON, links, person
 from weftline.plans.registry import Registry
 from weftline.runtime import Stage, load, spread
 from weftline.sources import io
@@ -17,26 +18,13 @@ R = Registry()
 # ---------------------------------------------------------------- joins
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "anm_training_data_matches").filter("label = 1")
-    return df.select(F.upper(F.trim("pr1")).alias("pr1"), F.upper(F.trim("pr2")).alias("pr2")).filter("pr1 <> pr2").distinct()
-
-
-_LINKS = "links AS (SELECT DISTINCT upper(trim(pr1)) AS pr1, upper(trim(pr2)) AS pr2 FROM anm_training_data_matches WHERE label = 1 AND upper(trim(pr1)) <> upper(trim(pr2)))"
-_PERSON = "person AS (SELECT party_id, min(dob) AS dob, min(ssn) AS ssn, min(cob) AS cob, min(lastName) AS lastName, min(firstName) AS firstName FROM rpt_bronze_party GROUP BY 1)"
-
-
-def _person(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "rpt_bronze_party").groupBy("party_id").agg(*[F.min(c).alias(c) for c in ("dob", "ssn", "cob", "lastName", "firstName")])
-
-
-_AGREED = f"""{_LINKS}, {_PERSON}, j AS (SELECT l.pr1, l.pr2, CASE WHEN a.dob IS NULL OR b.dob IS NULL THEN NULL ELSE CAST(a.dob = b.dob AS INTEGER) END AS agree_dob,
+_AGREED = f"""{LINKS}, {PERSON}, j AS (SELECT l.pr1, l.pr2, CASE WHEN a.dob IS NULL OR b.dob IS NULL THEN NULL ELSE CAST(a.dob = b.dob AS INTEGER) END AS agree_dob,
     CASE WHEN a.ssn IS NULL OR b.ssn IS NULL THEN NULL ELSE CAST(a.ssn = b.ssn AS INTEGER) END AS agree_ssn, CASE WHEN a.cob IS NULL OR b.cob IS NULL THEN NULL ELSE CAST(a.cob = b.cob AS INTEGER) END AS agree_cob
     FROM links l LEFT JOIN person a ON l.pr1 = a.party_id LEFT JOIN person b ON l.pr2 = b.party_id)"""
 
 
 def _agreed(spark: SparkSession, d: str) -> DataFrame:
-    j = joins.two_sided(_links(spark, d), _person(spark, d), "party_id", "pr1", "pr2")
+    j = joins.two_sided(links(spark, d), person(spark, d).select("party_id", "dob", "ssn", "cob"), "party_id", "pr1", "pr2")
     return j.select("pr1", "pr2", *[expr.agree(F.col(f"{c}_l"), F.col(f"{c}_r")).alias(f"agree_{c}") for c in ("dob", "ssn", "cob")])
 
 
@@ -264,140 +252,20 @@ def tiered_scores(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer").select("c_custkey", s.cast("long").alias("score")).orderBy(F.desc("score"), "c_custkey").limit(40)
 
 
-# ---------------------------------------------------------------- linkage and graph
-
-_FS = f"""{_LINKS}, {_PERSON}, cand AS (SELECT a.party_id AS x, b.party_id AS y, a.dob AS d1, b.dob AS d2, a.firstName AS f1, b.firstName AS f2, a.ssn AS s1, b.ssn AS s2 FROM person a JOIN person b ON a.cob = b.cob AND a.lastName = b.lastName AND a.party_id < b.party_id),
-    lab AS (SELECT c.*, CAST(EXISTS (SELECT 1 FROM (SELECT least(pr1, pr2) AS p, greatest(pr1, pr2) AS q FROM links) l WHERE l.p = x AND l.q = y) AS INTEGER) AS label FROM cand c)"""
-
-
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    p = _person(spark, d)
-    a, b = joins.suffixed(p, "_1", ["cob", "lastName"]), joins.suffixed(p, "_2", ["cob", "lastName"])
-    cand = a.join(b, ["cob", "lastName"]).filter("party_id_1 < party_id_2")
-    true = _links(spark, d).select(F.least("pr1", "pr2").alias("p"), F.greatest("pr1", "pr2").alias("q")).distinct().withColumn("label", F.lit(1))
-    out = cand.join(true, (F.col("party_id_1") == F.col("p")) & (F.col("party_id_2") == F.col("q")), "left")
-    return out.withColumn("label", F.coalesce("label", F.lit(0))).drop("p", "q")
-
-
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    f = _labelled(spark, d)
-    return f.select(
-        "party_id_1", "party_id_2", "label", linkage.level(linkage.similarity(F.col("dob_1"), F.col("dob_2"))).alias("dob"),
-        linkage.level(linkage.similarity(F.col("firstName_1"), F.col("firstName_2"))).alias("first"), linkage.level(linkage.similarity(F.col("ssn_1"), F.col("ssn_2"))).alias("ssn"),
-    )
-
-
-def _sim(a: str, b: str) -> str:
-    s = f"CASE WHEN trim(coalesce({a}, '')) = '' OR trim(coalesce({b}, '')) = '' THEN -1.0 ELSE 1 - levenshtein({a}, {b}) * 1.0 / greatest(length({a}), length({b})) END"
-    return f"CASE WHEN ({s}) < 0 THEN 0 WHEN ({s}) >= 0.95 THEN 1 WHEN ({s}) >= 0.8 THEN 2 ELSE 3 END"
-
-
-@R.query()
-def comparison_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d)
-
-
-@R.query(f"""WITH {_FS}, l AS (SELECT label, {_sim('d1', 'd2')} AS dob, {_sim('s1', 's2')} AS ssn FROM lab), c AS (SELECT label, 'dob' AS feature, dob AS level FROM l UNION ALL SELECT label, 'ssn', ssn FROM l),
-             t AS (SELECT feature, count(*) FILTER (label = 1) AS tm, count(*) FILTER (label <> 1) AS tu FROM c GROUP BY 1), g AS (SELECT feature, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS level, tm, tu FROM t),
-             s AS (SELECT feature, level, count(*) FILTER (label = 1) AS nm, count(*) FILTER (label <> 1) AS nu FROM c GROUP BY 1, 2)
-             SELECT feature, level, round((coalesce(nm, 0) + 0.5) / (tm + 2.0), 9) AS m, round((coalesce(nu, 0) + 0.5) / (tu + 2.0), 9) AS u, round(log2(((coalesce(nm, 0) + 0.5) / (tm + 2.0)) / ((coalesce(nu, 0) + 0.5) / (tu + 2.0))), 6) AS weight
-             FROM g LEFT JOIN s USING (feature, level)""")
-def fs_supervised(spark: SparkSession, d: str) -> DataFrame:
-    w = linkage.fit_weights(_levels(spark, d), ["dob", "ssn"], "label")
-    return w.select("feature", "level", F.round("m", 9).alias("m"), F.round("u", 9).alias("u"), F.round("weight", 6).alias("weight"))
-
-
-@R.query()
-def fs_scored_auc(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the held-out quarter of the pairs under weights from the rest, and their AUC."""
-    from weftline.operators import windows
-
-    pairs = Stage(spark, "fs").write(_levels(spark, d).withColumn("k", F.pmod(F.xxhash64("party_id_1", "party_id_2"), F.lit(1_000_003))), "pairs")
-    split = windows.stratified_split(pairs, "k", "label", 0.75)
-    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    w = linkage.fit_weights(train, ["dob", "first", "ssn"], "label")
-    scored = linkage.score_pairs(test, ["dob", "first", "ssn"], w, linkage.log_prior(train, "label"))
-    return aggregates.auc_ap(scored, "match_probability", "label")
-
-
-@R.query()
-def fs_unsupervised(spark: SparkSession, d: str) -> DataFrame:
-    model = linkage.em_weights(_levels(spark, d), ["dob", "first", "ssn"])
-    rows = [(f, i, float(model["m"][f][i]), float(model["u"][f][i])) for f in model["m"] for i in range(4)]
-    return spark.createDataFrame(rows, "feature string, level int, m double, u double")
-
-
-@R.query(f"""WITH {_FS}, p AS (SELECT label, d1 = d2 AS dob, coalesce(f1 = f2, false) AS first FROM lab)
-             SELECT 'dob' AS rule, round(avg(CAST(coalesce(dob, false) AS INTEGER)) FILTER (label = 1), 6) AS recall, count(*) FILTER (dob) AS candidates FROM p UNION ALL
-             SELECT 'first', round(avg(CAST(first AS INTEGER)) FILTER (label = 1), 6), count(*) FILTER (first) FROM p""")
-def blocking_recall(spark: SparkSession, d: str) -> DataFrame:
-    p = _labelled(spark, d).select("label", F.coalesce(F.col("dob_1") == F.col("dob_2"), F.lit(False)).alias("dob"), F.coalesce(F.col("firstName_1") == F.col("firstName_2"), F.lit(False)).alias("first"))
-    long = p.unpivot(["label"], ["dob", "first"], "rule", "hit")
-    return long.groupBy("rule").agg(F.round(F.avg(F.when(F.col("label") == 1, F.col("hit").cast("int"))), 6).alias("recall"), F.count_if("hit").alias("candidates"))
-
-
-@R.query()
-def scenario_slices(spark: SparkSession, d: str) -> DataFrame:
-    """AUC of feature sets on all pairs and on pairs without a shared strong id."""
-    levels = Stage(spark, "slices").write(_levels(spark, d), "levels")
-    out = None
-    for scenario, features in (("all", ["dob", "first", "ssn"]), ("no_ssn", ["dob", "first"]), ("only_dob", ["dob"])):
-        w = linkage.fit_weights(levels, features, "label")
-        scored = linkage.score_pairs(levels, features, w, 0.0)
-        for name, rows in (("everyone", scored), ("no_strong_id", scored.filter("ssn = 0"))):
-            row = aggregates.auc_ap(rows, "match_weight", "label").select(F.lit(scenario).alias("scenario"), F.lit(name).alias("slice"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
-@R.query(f"""WITH {_FS}, c AS (SELECT 'dob' AS field, d1 AS l, d2 AS r FROM lab UNION ALL SELECT 'firstName', f1, f2 FROM lab), k AS (SELECT * FROM c WHERE l IS NOT NULL AND r IS NOT NULL),
-             t AS (SELECT field, l FROM k WHERE l = r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, l) = 1)
-             SELECT field, count(*) AS comparable, count(*) FILTER (k.l = k.r) AS agreeing, round(count(*) FILTER (k.l = k.r) / count(*), 6) AS rate, any_value(t.l) AS top_shared FROM k LEFT JOIN t USING (field) GROUP BY field""")
-def field_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.field_agreement(_labelled(spark, d), {"dob": ("dob_1", "dob_2"), "firstName": ("firstName_1", "firstName_2")})
-
+# ---------------------------------------------------------------- dates
 
 _DATE_REL = """CASE WHEN a.dob IS NULL OR b.dob IS NULL THEN 'n/a' WHEN a.dob = b.dob THEN 'exact' WHEN length(a.dob) = length(b.dob) AND hamming(CASE WHEN length(a.dob) = length(b.dob) THEN a.dob ELSE '' END, CASE WHEN length(a.dob) = length(b.dob) THEN b.dob ELSE '' END) = 1 THEN 'digit_flip'
     WHEN abs(date_diff('day', try_strptime(a.dob, '%Y-%m-%d'), try_strptime(b.dob, '%Y-%m-%d'))) <= 186 THEN 'near' ELSE 'differs' END"""
 
 
-@R.query(f"""WITH {_LINKS}, p AS (SELECT party_id, nullif(trim(min(dob)), '') AS dob FROM rpt_bronze_party GROUP BY 1)
+@R.query(f"""WITH {LINKS}, p AS (SELECT party_id, nullif(trim(min(dob)), '') AS dob FROM rpt_bronze_party GROUP BY 1)
              SELECT {_DATE_REL} AS relation, count(*) AS n FROM links l JOIN p a ON l.pr1 = a.party_id JOIN p b ON l.pr2 = b.party_id GROUP BY 1""")
 def date_relations(spark: SparkSession, d: str) -> DataFrame:
-    p = _person(spark, d).select("party_id", "dob")
-    j = _links(spark, d).join(joins.suffixed(p, "_1"), F.col("pr1") == F.col("party_id_1")).join(joins.suffixed(p, "_2"), F.col("pr2") == F.col("party_id_2"))
+    p = person(spark, d).select("party_id", "dob")
+    j = links(spark, d).join(joins.suffixed(p, "_1"), F.col("pr1") == F.col("party_id_1")).join(joins.suffixed(p, "_2"), F.col("pr2") == F.col("party_id_2"))
     return j.groupBy(linkage.date_relation(F.col("dob_1"), F.col("dob_2")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edge_list(_links(spark, d), "pr1", "pr2")
-
-
-@R.query()
-def components_min_label(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(_edges(spark, d), Stage(spark, "graph"))
-
-
-@R.query()
-def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
-    stage = Stage(spark, "stats")
-    return graph.cluster_stats(stage.write(graph.components(_edges(spark, d), stage), "labels"))
-
-
-@R.query()
-def net_gain(spark: SparkSession, d: str) -> DataFrame:
-    stage = Stage(spark, "gain")
-    return graph.net_gain(stage.write(graph.components(_edges(spark, d), stage), "labels"), load(spark, d, "mv_es_party_identity"), "party_id", "identity_id")
-
-
-@R.query()
-def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Component figures as weaker links (rarer pairs) are let in."""
-    stage = Stage(spark, "sweep")
-    df = load(spark, d, "anm_training_data_matches").filter("label = 1").groupBy(F.upper(F.trim("pr1")).alias("pr1"), F.upper(F.trim("pr2")).alias("pr2")).agg((F.count(F.lit(1)) / 4.0).alias("score"))
-    return graph.threshold_sweep(stage.write(df, "scored"), "pr1", "pr2", "score", [0.25, 0.5, 0.75], stage)
-
-
 # ---------------------------------------------------------------- JSON
 
 
