@@ -144,7 +144,20 @@ _P5_ROWS = f"""
       FROM cells LEFT JOIN trust USING (source_system) LEFT JOIN hollow h ON field = h.field_name AND upper(value) = h.p),
     member AS (SELECT DISTINCT identity_id, party_id FROM mv_es_party_identity WHERE identity_id IS NOT NULL AND party_id IS NOT NULL)"""
 
+_P6_LABELS = f"""
+    ends0 AS (SELECT upper({_trim("pr1")}) AS x, upper({_trim("pr2")}) AS y FROM anm_training_data_matches WHERE label = 1),
+    ends AS (SELECT x AS a, y AS b FROM ends0 WHERE x <> '' AND y <> '' AND x <> y UNION SELECT y, x FROM ends0 WHERE x <> '' AND y <> '' AND x <> y),
+    labels(party_id, group_id) USING KEY (party_id) AS (SELECT a, min(least(a, b)) FROM ends GROUP BY a
+      UNION SELECT e.b, min(l.group_id) FROM labels l JOIN ends e ON l.party_id = e.a JOIN recurring.labels r ON r.party_id = e.b WHERE l.group_id < r.group_id GROUP BY e.b)"""
+
 SQL = {
+    "p6_found": f"WITH RECURSIVE {_P6_LABELS} SELECT party_id, group_id FROM labels",
+    "p6_identity_span": f"""
+        WITH RECURSIVE {_P6_LABELS},
+        member AS (SELECT DISTINCT upper(trim(party_id)) AS party_id, identity_id FROM mv_es_party_identity WHERE identity_id IS NOT NULL),
+        reached AS (SELECT group_id, count(DISTINCT identity_id) AS n_identities FROM labels JOIN member USING (party_id) GROUP BY 1),
+        sizes AS (SELECT group_id, count(*) AS n_parties FROM labels GROUP BY 1)
+        SELECT group_id, n_parties, coalesce(n_identities, 0) AS n_identities FROM sizes LEFT JOIN reached USING (group_id)""",
     "p5_found": f"""
         WITH {_P5_ROWS},
         rec AS (SELECT record_id, party_id, coalesce(updated_at, TIMESTAMP '0001-01-01') AS upd, trust_rank, count(norm) AS filled
