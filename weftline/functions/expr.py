@@ -7,6 +7,7 @@ backslash would be unescaped.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -149,9 +150,16 @@ def mask_digits(c: Column, keep: int = 4) -> Column:
     return F.regexp_replace(c, rf"\d(?=(?:\D*\d){{{keep}}})", "*")
 
 
+def _marked() -> dict[str, str]:
+    """Latin letters with marks and the letters below them."""
+    pairs = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    return {c: base for c, base in pairs.items() if base.isascii() and base.isalpha()}
+
+
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks: a fixed table of Latin letters, by position."""
-    return F.translate(c, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+    """Letters without their marks, be those part of a Latin letter or characters of their own."""
+    marked = _marked()
+    return F.regexp_replace(F.translate(c, "".join(marked), "".join(marked.values())), r"\p{Mn}+", "")
 
 
 def token_shape(c: Column) -> Column:

@@ -30,7 +30,12 @@ def infer_json_ddl(df: DataFrame, source: str) -> str:
 
 
 def parse_json(df: DataFrame, source: str, ddl: str, alias: str = "doc") -> DataFrame:
-    return df.withColumn(alias, F.from_json(source, ddl, {"mode": "PERMISSIVE"}))
+    """df with the parsed text as a structure.
+
+    A text that isn't well formed, or repeats a key, gives null, not the part before the fault; a value
+    that doesn't fit its field gives null there.
+    """
+    return df.withColumn(alias, F.from_json(F.when(F.try_parse_json(source).isNotNull(), F.col(source)), ddl, {"mode": "PERMISSIVE"}))
 
 
 Path = tuple[str, ...]

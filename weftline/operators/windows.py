@@ -51,6 +51,11 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> Data
     return df.filter(portable_hash(F.col(key), seed) < int(fraction * 1_000_003))
 
 
+def random_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows, or all if there are fewer, by hash order: the same on every engine and run."""
+    return df.withColumn("__h", portable_hash(F.col(key), seed)).orderBy("__h", key).limit(n).drop("__h")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """df with split 'train' or 'test': exactly floor(fraction * n) of each label train.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import expr
 from weftline.operators import aggregates, joins, linkage, mapping, nested, schema, text, windows
+from weftline.plans.problems import docs_sql
 from weftline.plans.registry import Registry
 from weftline.plans.linkages import links, person
-from weftline.runtime import Stage, load
+from weftline.runtime import Stage, load, spread
 from weftline.sources import io
 from weftline.streaming import windows as streams
 
@@ -37,12 +38,21 @@ def bottleneck(spark: SparkSession, d: str) -> DataFrame:
     return a.select("event_type", expr.first_match([(F.col("slow") * 4 > F.col("n"), "server"), (F.col("fast") * 4 > F.col("n"), "client"), (F.col("m") > 50, "queue")], "none").alias("bottleneck"))
 
 
-@R.query()
+@R.query(f"""WITH {docs_sql("tripmaster", "LosQuestions")},
+    t AS (SELECT row_id, t.type, t.value FROM docs, json_tree(j) t)
+    SELECT row_id, count(*) FILTER (type = 'OBJECT') AS objects, count(*) FILTER (type NOT IN ('OBJECT', 'ARRAY')) AS leaves,
+           coalesce(round(sum(CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) END), 6), 0) AS number_sum FROM t GROUP BY 1 HAVING objects + leaves > 0""")
 def json_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Objects and scalar leaves of each document, at any depth."""
-    nodes = nested.emit_nodes(load(spark, d, "tripmaster"), "tripmaster", "row_id", "LosQuestions")
-    leaves = F.size(F.map_keys(F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>"))))
-    return nodes.groupBy("row_id").agg(F.count_if(F.col("kind") != "value").alias("objects"), F.sum(leaves).alias("leaves"))
+    """Objects and scalar leaves of each document, at any depth, and the sum of the leaves that are numbers."""
+    notes = spread(load(spark, d, "tripmaster").select("row_id", "LosQuestions"), "row_id")
+    nodes = nested.emit_nodes(notes, "tripmaster", "row_id", "LosQuestions")
+    values = F.from_json("payload", "map<string,string>")
+    leaves = F.coalesce(values, F.create_map().cast("map<string,string>"))
+    # as text a number and a string that looks like one are alike, so quoted strings are taken out first
+    bare = F.regexp_replace("payload", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    numbers = F.aggregate(F.regexp_extract_all(bare, F.lit(r"[-+.eE0-9]*[0-9][-+.eE0-9]*"), F.lit(0)), F.lit(0.0), lambda s, x: s + F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    counts = nodes.select("row_id", F.col("kind"), F.size(F.map_keys(leaves)).alias("leaves"), numbers.alias("number"))
+    return counts.groupBy("row_id").agg(F.count_if(F.col("kind") != "value").alias("objects"), F.sum("leaves").alias("leaves"), F.round(F.sum("number"), 6).alias("number_sum"))
 
 
 @R.query("""SELECT o_orderpriority, CAST(r AS DOUBLE) AS rate, CAST(count(*) * r AS DOUBLE) AS converted FROM orders, (SELECT unnest([0.05, 0.1, 0.2]) AS r) GROUP BY o_orderpriority, r""")

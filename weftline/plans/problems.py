@@ -120,17 +120,21 @@ QUERIES = {
     "p4_latest_matches": p4_latest_matches,
 }
 
-def _strict(s: str) -> str:
+def strict_sql(s: str) -> str:
     """Well-formed JSON: the engine lets trailing commas and NaN pass, so they are looked for outside of strings."""
     return rf"""(json_valid({s}) AND NOT regexp_matches(regexp_replace({s}, '"(\\.|[^"\\])*"', '""', 'g'), '(?i),\s*[\]}}]|nan|inf'))"""
 
 
-#: Party documents that are well-formed; text inside a JSON string counts as that JSON.
-_DOCS = f"""
-    t0 AS (SELECT row_id, load_id, load_ts, _source AS s FROM elasticdump_parties WHERE {_strict("_source")}),
-    t1 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') ELSE s END AS s) FROM t0),
-    t2 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') ELSE s END AS s) FROM t1 WHERE {_strict("s")}),
-    docs AS (SELECT row_id, load_id, load_ts, CAST(s AS JSON) AS j FROM t2 WHERE {_strict("s")})"""
+def docs_sql(table: str, column: str, carry: str = "row_id") -> str:
+    """CTE docs (carry, j): the well-formed JSON of a column; text inside a JSON string counts as that JSON."""
+    inner = "CASE WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') ELSE s END"
+    return f"""t0 AS (SELECT {carry}, {column} AS s FROM {table} WHERE {strict_sql(column)}),
+    t1 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' AND {strict_sql("json_extract_string(s, '$')")} THEN {inner} ELSE s END AS s) FROM t0),
+    t2 AS (SELECT * REPLACE (CASE WHEN json_type(s) = 'VARCHAR' AND {strict_sql("json_extract_string(s, '$')")} THEN {inner} ELSE s END AS s) FROM t1),
+    docs AS (SELECT {carry}, CAST(s AS JSON) AS j FROM t2)"""
+
+
+_DOCS = docs_sql("elasticdump_parties", "_source")
 
 
 def _elements(holder: str, path: str, key: str, parent: str) -> str:
@@ -141,7 +145,33 @@ def _elements(holder: str, path: str, key: str, parent: str) -> str:
         FROM (SELECT *, json_extract(j, '$.{key}') AS l FROM {holder}))) WHERE json_type(x) = 'OBJECT'"""
 
 
+#: A value without white space around it.
+_TRIMMED = "regexp_replace(value, '^[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+$', '', 'g')"
+
 SQL = {
+    "p1_found": f"""
+        WITH {docs_sql("elasticdump_parties", "_source", "row_id, load_id, load_ts")},
+        raw AS (SELECT 'elasticdump_parties' AS src_table, row_id, load_id, load_ts, unnest([{", ".join(f"'{f}'" for f in P1_FIELDS)}]) AS field_name,
+                       unnest([{", ".join(f"json_extract_string(j, '$.{f}')" for f in P1_FIELDS)}]) AS value FROM docs
+                UNION ALL SELECT 'tripmaster', row_id, load_id, load_ts, 'ClinicalData', ClinicalData FROM tripmaster),
+        cells AS (SELECT *, coalesce({_TRIMMED} <> '', false) AS filled FROM raw),
+        shaped AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(value, '\\p{{Nd}}', '9', 'g'), '\\p{{Lu}}', 'A', 'g'), '\\p{{Ll}}', 'a', 'g') AS form FROM cells WHERE filled AND src_table = 'elasticdump_parties' AND field_name <> 'recordStatus'),
+        modal AS (SELECT field_name, form AS modal FROM shaped GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY field_name ORDER BY count(*) DESC, form) = 1),
+        loads AS (SELECT src_table, field_name, load_id, count(*) AS n, count(*) FILTER (filled) AS f, coalesce(sum(length(value)) FILTER (filled), 0) AS c FROM cells GROUP BY ALL),
+        whole AS (SELECT src_table, field_name, sum(n) AS na, sum(f) AS fa, sum(c) AS ca FROM loads GROUP BY ALL),
+        both_of AS (SELECT * FROM loads JOIN whole USING (src_table, field_name)),
+        vals AS (SELECT src_table, field_name, value, load_id, count(*) AS k FROM cells WHERE filled AND field_name IN ('recordStatus', 'countryOfBirth') GROUP BY ALL),
+        all_vals AS (SELECT src_table, field_name, value, sum(k) AS ka FROM vals GROUP BY ALL),
+        mix AS (SELECT b.src_table, b.field_name, b.load_id FROM both_of b JOIN all_vals a USING (src_table, field_name) LEFT JOIN vals v ON v.field_name = a.field_name AND v.value = a.value AND v.load_id = b.load_id
+                WHERE b.f > 0 GROUP BY ALL HAVING 2 * sum(abs(coalesce(v.k, 0) * b.fa - a.ka * b.f)) > any_value(b.f * b.fa))
+        SELECT 'elasticdump_parties' AS src_table, '_source' AS field_name, 'unreadable' AS finding, CAST(row_id AS VARCHAR) AS item_key FROM elasticdump_parties WHERE _source IS NOT NULL AND NOT coalesce({strict_sql("_source")}, false)
+        UNION ALL SELECT src_table, field_name, 'form', CAST(row_id AS VARCHAR) FROM shaped JOIN modal USING (field_name) WHERE form <> modal
+        UNION ALL SELECT src_table, field_name, 'form', CAST(row_id AS VARCHAR) FROM cells WHERE src_table = 'tripmaster' AND filled AND regexp_matches(value, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]')
+        UNION ALL SELECT src_table, field_name, 'range', CAST(row_id AS VARCHAR) FROM shaped JOIN modal USING (field_name) WHERE field_name = 'dateOfBirth' AND form = modal AND modal = '9999-99-99'
+          AND (try_cast(value AS DATE) IS NULL OR try_cast(value AS DATE) < DATE '1900-01-01' OR try_cast(value AS DATE) > CAST(load_ts AS DATE))
+        UNION ALL SELECT src_table, field_name, 'null_rate', CAST(load_id AS VARCHAR) FROM both_of WHERE 5 * abs(f * na - fa * n) > n * na
+        UNION ALL SELECT src_table, field_name, 'mean_length', CAST(load_id AS VARCHAR) FROM both_of WHERE src_table = 'tripmaster' AND f > 0 AND 4 * abs(c * fa - ca * f) > ca * f
+        UNION ALL SELECT src_table, field_name, 'mix', CAST(load_id AS VARCHAR) FROM mix""",
     "p3_receipts": f"""WITH {_DOCS}, r AS ({_elements("docs", "'$'", "receipts", "'$'")})
         SELECT row_id, node_path, parent_path, json_extract_string(j, '$.receiptNumber') AS receiptNumber, json_extract_string(j, '$.form') AS form FROM r""",
     "p3_issuances": f"""WITH {_DOCS}, i AS ({_elements("docs", "'$'", "identifiers", "'$'")}), e AS ({_elements("i", "node_path", "issuances", "node_path")})

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import expr
-from weftline.operators import joins, linkage, mapping, schema, text
+from weftline.operators import joins, linkage, mapping, schema, text, windows
 from weftline.plans.linkages import LINKS, PERSON, links, person
+from weftline.plans.problems import docs_sql, strict_sql
 from weftline.plans.registry import Registry
+from weftline.plans.reports import hash_sql
 from weftline.runtime import Stage, load, spread
 from weftline.sources import io
 
@@ -72,9 +74,13 @@ def star_pairs(spark: SparkSession, d: str) -> DataFrame:
     return joins.star_pairs(load(spark, d, "mv_es_party_identity").filter("party_id is not null"), "identity_id", "party_id")
 
 
-@R.query("SELECT a.s_suppkey AS id_1, b.s_suppkey AS id_2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey <> b.s_nationkey")
+_SAMPLED = f"(SELECT * FROM supplier ORDER BY {hash_sql('s_suppkey', 0)}, s_suppkey LIMIT 1000)"
+
+
+@R.query(f"SELECT a.s_suppkey AS id_1, b.s_suppkey AS id_2 FROM {_SAMPLED} a JOIN {_SAMPLED} b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey <> b.s_nationkey")
 def theta_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return joins.negatives(load(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+    """Pairs of different groups within a sample of a thousand: the operator is one on samples, as its work is quadratic."""
+    return joins.negatives(windows.random_sample(load(spark, d, "supplier"), "s_suppkey", 1000), "s_suppkey", "s_nationkey")
 
 
 @R.query("""SELECT a.p_partkey AS id_1, b.p_partkey AS id_2, upper(substr(a.p_type, 1, 4)) || a.p_size AS block FROM part a JOIN part b
@@ -275,21 +281,43 @@ def json_flatten(spark: SparkSession, d: str) -> DataFrame:
     return schema.flatten(schema.parse_json(df, "props", schema.infer_json_ddl(df, "props")).drop("props"))
 
 
+_FLAT = {"partySource_partyId": "partySource.partyId", "partySource_system": "partySource.system", "birth_place_city": "birth.place.city", "birth_place_country": "birth.place.country", "matching_run": "matching.run", "recordStatus": "recordStatus"}
+
+
+@R.query(f"""WITH ok AS (SELECT row_id, CASE WHEN {strict_sql("_source")} AND json_type(_source) = 'OBJECT' THEN _source END AS j FROM elasticdump_parties)
+             SELECT row_id, {", ".join(f"json_extract_string(j, '$.{p}') AS doc_{c}" for c, p in _FLAT.items())} FROM ok""")
+def json_flatten_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Party documents flattened by the schema of all of them; some of the columns that come out."""
+    df = load(spark, d, "elasticdump_parties").select("row_id", "_source")
+    flat = schema.flatten(schema.parse_json(df, "_source", schema.infer_json_ddl(df, "_source")).drop("_source"))
+    return flat.select("row_id", *[F.col(f"doc_{c}").cast("string") if f"doc_{c}" in flat.columns else F.lit(None).cast("string").alias(f"doc_{c}") for c in _FLAT])
+
+
 @R.query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")
 def json_path(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
 
 
-@R.query()
+@R.query(f"""WITH ok AS (SELECT row_id, CAST(_source AS JSON) AS j FROM elasticdump_parties WHERE {strict_sql("_source")} AND json_type(_source) = 'OBJECT'),
+             c AS (SELECT row_id, json_extract_string(j, '$.matching.run') AS run, unnest(json_extract(j, '$.matching.candidates[*]')) AS x FROM ok WHERE json_type(j, '$.matching.candidates') = 'ARRAY')
+             SELECT row_id, run AS doc_matching_run, json_extract_string(x, '$.candidatePartyId') AS doc_matching_candidates_candidatePartyId, TRY_CAST(json_extract_string(x, '$.score') AS DOUBLE) AS doc_matching_candidates_score
+             FROM c WHERE TRY_CAST(json_extract_string(x, '$.score') AS DOUBLE) IS NOT NULL""")
 def json_scores_exploded(spark: SparkSession, d: str) -> DataFrame:
     """One row per scored candidate: only the array that leads to a score is exploded."""
     df = load(spark, d, "elasticdump_parties").select("row_id", "_source")
-    ddl = "STRUCT<matching: STRUCT<run: STRING, candidates: ARRAY<STRUCT<candidatePartyId: STRING, score: DOUBLE>>>, names: ARRAY<STRUCT<firstName: STRING, lastName: STRING>>>"
-    parsed = schema.parse_json(df, "_source", ddl).drop("_source")
-    return schema.explode_for(parsed, "score").drop("doc_names").filter("doc_matching_candidates_score is not null")
-
-
-@R.query()
+    ddl = "STRUCT<matching: STRUCT<run: STRING, candidates: ARRAY<STRUCT<candidatePartyId: STRING, score: STRING>>>, names: ARRAY<STRUCT<firstName: STRING, lastName: STRING>>>"
+    rows = schema.explode_for(schema.parse_json(df, "_source", ddl).drop("_source"), "score").drop("doc_names")
+    return rows.withColumn("doc_matching_candidates_score", F.col("doc_matching_candidates_score").try_cast("double")).filter("doc_matching_candidates_score is not null")
+
+
+@R.query(f"""WITH {docs_sql("tripmaster", "LosQuestions")},
+    o AS (SELECT row_id, t.id, CAST(t.value AS JSON) AS v FROM docs, json_tree(j) t WHERE t.type = 'OBJECT'),
+    q AS (SELECT row_id, id, CASE WHEN json_type(v, '$.questionText') = 'VARCHAR' THEN json_extract_string(v, '$.questionText') WHEN json_type(v, '$.q') = 'VARCHAR' THEN json_extract_string(v, '$.q') END AS question,
+                 CASE WHEN json_exists(v, '$.answer') THEN json_extract(v, '$.answer') ELSE json_extract(v, '$.a') END AS a FROM o),
+    k AS (SELECT *, coalesce(json_type(a), 'NULL') AS kind, first_value(coalesce(json_type(a), 'NULL')) OVER w AS first_kind, row_number() OVER w AS i FROM q WHERE question IS NOT NULL WINDOW w AS (PARTITION BY row_id, question ORDER BY id)),
+    r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY row_id, question ORDER BY CASE WHEN first_kind IN ('BOOLEAN', 'NULL') AND kind NOT IN ('BOOLEAN', 'NULL', 'OBJECT', 'ARRAY') THEN 0 ELSE 1 END, i) = 1),
+    f AS (SELECT row_id, question, CASE WHEN kind = 'NULL' THEN NULL WHEN kind = 'VARCHAR' THEN json_extract_string(a, '$') ELSE CAST(a AS VARCHAR) END AS answer FROM r)
+    SELECT row_id, question, answer, answer IS NOT NULL AND lower(trim(answer)) NOT IN ({", ".join(f"'{x}'" for x in sorted(text.EMPTY_ANSWERS))}) AS answered FROM f""")
 def qa_recursive(spark: SparkSession, d: str) -> DataFrame:
     df = spread(load(spark, d, "tripmaster").select("row_id", "LosQuestions"), "row_id")
     qa = text.question_answers(df, "LosQuestions", ["questionText", "q"], ["answer", "a"])
@@ -299,13 +327,16 @@ def qa_recursive(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- scalar functions
 
 
-@R.query("""WITH n AS (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN lastName || ', ' || firstName ELSE firstName || ' ' || lastName END AS full FROM rpt_bronze_party WHERE regexp_full_match(firstName, '[A-Za-z]+') AND regexp_full_match(lastName, '[A-Za-z]+'))
-            SELECT record_id, upper(firstName[1]) || lower(firstName[2:]) AS first, upper(lastName[1]) || lower(lastName[2:]) AS last FROM n JOIN rpt_bronze_party USING (record_id)""")
+_CAP = lambda w: f"upper({w}[1]) || lower({w}[2:])"
+
+
+@R.query(f"""WITH n AS (SELECT record_id, trim(regexp_replace(coalesce(CASE WHEN record_id % 2 = 0 THEN lastName || ', ' || firstName ELSE firstName || ' ' || lastName END, ''), '\\s+', ' ', 'g')) AS t FROM rpt_bronze_party),
+            w AS (SELECT record_id, string_split(CASE WHEN contains(t, ',') THEN trim(concat_ws(' ', trim(string_split(t, ',')[-1]), trim(string_split(t, ',')[1]))) ELSE t END, ' ') AS w FROM n)
+            SELECT record_id, {_CAP("w[1]")} AS first, CASE WHEN len(w) > 1 THEN {_CAP("w[-1]")} ELSE '' END AS last FROM w""")
 def name_split(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "rpt_bronze_party").filter(F.col("firstName").rlike("^[A-Za-z]+$") & F.col("lastName").rlike("^[A-Za-z]+$"))
     full = F.when(F.col("record_id") % 2 == 0, F.concat("lastName", F.lit(", "), "firstName")).otherwise(F.concat("firstName", F.lit(" "), "lastName"))
     first, last = expr.split_name(full)
-    return df.select("record_id", first.alias("first"), last.alias("last"))
+    return load(spark, d, "rpt_bronze_party").select("record_id", first.alias("first"), last.alias("last"))
 
 
 @R.query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN printf('%.2f', c_acctbal) ELSE printf('%.2f', c_acctbal) END AS amount FROM customer""")
@@ -323,21 +354,24 @@ def age_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", expr.age_years(t).alias("age"))
 
 
-@R.query("""SELECT record_id, CASE WHEN regexp_full_match(dob, '\\d{4}-\\d{2}-\\d{2}') THEN coalesce(strftime(try_strptime(dob, '%Y-%m-%d'), '%m/%d/%Y'), '') ELSE '' END AS dob_text FROM rpt_bronze_party WHERE dob IS NULL OR regexp_full_match(dob, '[12]\\d{3}-\\d{2}-\\d{2}|\\s*')""")
+_LAYOUTS = {"\\d{4}-\\d{2}-\\d{2}": "%Y-%m-%d", "\\d{2}/\\d{2}/\\d{4}": "%m/%d/%Y", "\\d{8}": "%Y%m%d", "\\d{2}-(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-\\d{4}": "%d-%b-%Y"}
+
+
+@R.query("SELECT record_id, coalesce(strftime(CASE " + " ".join(f"WHEN regexp_full_match(trim(dob), '{p}') THEN try_strptime(trim(dob), '{f}')" for p, f in _LAYOUTS.items()) + " END, '%m/%d/%Y'), '') AS dob_text FROM rpt_bronze_party")
 def lenient_dates(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "rpt_bronze_party").filter(F.col("dob").isNull() | F.col("dob").rlike(r"^([12]\d{3}-\d{2}-\d{2}|\s*)$"))
-    return df.select("record_id", expr.us_date_text(F.col("dob")).alias("dob_text"))
+    return load(spark, d, "rpt_bronze_party").select("record_id", expr.us_date_text(F.col("dob")).alias("dob_text"))
 
 
-@R.query("""SELECT record_id, regexp_replace(ssn, '\\d', '*', 'g') AS masked FROM rpt_bronze_party WHERE length(regexp_replace(ssn, '\\D', '', 'g')) <= 9""")
+@R.query("""SELECT record_id, regexp_replace(ssn, '\\d', '*', 'g') AS hidden,
+            array_to_string(list_transform(range(1, length(ssn) + 1), lambda i: CASE WHEN regexp_matches(ssn[i], '\\d') AND length(regexp_replace(ssn[i + 1:], '\\D', '', 'g')) >= 4 THEN '*' ELSE ssn[i] END), '') AS masked FROM rpt_bronze_party""")
 def mask_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "rpt_bronze_party").filter(F.length(F.regexp_replace("ssn", r"\D", "")) <= 9).select("record_id", expr.mask_digits(F.col("ssn"), 0).alias("masked"))
+    """Every digit hidden, and all but the last four."""
+    return load(spark, d, "rpt_bronze_party").select("record_id", expr.mask_digits(F.col("ssn"), 0).alias("hidden"), expr.mask_digits(F.col("ssn")).alias("masked"))
 
 
-@R.query("""SELECT lastName AS name, regexp_replace(regexp_replace(regexp_replace(strip_accents(lastName), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n FROM rpt_bronze_party
-            WHERE regexp_full_match(lastName, '[ -~áéíóúñö]*') GROUP BY 1, 2""")
+@R.query("""SELECT lastName AS name, regexp_replace(regexp_replace(regexp_replace(strip_accents(lastName), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n FROM rpt_bronze_party GROUP BY 1, 2""")
 def name_shapes(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "rpt_bronze_party").filter(F.col("lastName").rlike("^[ -~áéíóúñö]*$"))
+    df = load(spark, d, "rpt_bronze_party")
     return df.groupBy(F.col("lastName").alias("name"), expr.token_shape(expr.strip_accents(F.col("lastName"))).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -173,23 +173,23 @@ def stable_priority_top(spark: SparkSession, d: str) -> DataFrame:
     return windows.top_n(df, "o_custkey", [F.col("priority"), F.col("o_orderkey")], 3).drop("rank")
 
 
-def _hash_sql(key: str, seed: int) -> str:
+def hash_sql(key: str, seed: int) -> str:
     return f"((({key} % 1000003) * 7919 + {seed * 104729 + 12345}) % 1000003 * 6007 + 31) % 1000003"
 
 
-@R.query(f"SELECT o_orderkey FROM orders WHERE {_hash_sql('o_orderkey', 3)} < {int(0.1 * 1_000_003)}")
+@R.query(f"SELECT o_orderkey FROM orders WHERE {hash_sql('o_orderkey', 3)} < {int(0.1 * 1_000_003)}")
 def portable_hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return windows.hash_sample(load(spark, d, "orders"), "o_orderkey", 0.1, 3).select("o_orderkey")
 
 
-@R.query(f"""WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_hash_sql('o_orderkey', 0)}, o_orderkey) AS r,
+@R.query(f"""WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey', 0)}, o_orderkey) AS r,
              count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
              SELECT o_orderkey, o_orderstatus, CASE WHEN r <= floor(n * 0.75) THEN 'train' ELSE 'test' END AS split FROM r""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return windows.stratified_split(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 0.75)
 
 
-@R.query(f"""SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_hash_sql('o_orderkey', 5)}, o_orderkey) <= 20""")
+@R.query(f"""SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {hash_sql('o_orderkey', 5)}, o_orderkey) <= 20""")
 def stratified_sample_exact(spark: SparkSession, d: str) -> DataFrame:
     return windows.stratified_sample(load(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 20, 5)
 
