@@ -55,7 +55,7 @@ def test_auc_with_ties_and_one_class(spark):
 
 def test_running_totals_match_a_plain_sum(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("s"), (F.col("id") % 5).alias("p"))
-    got = {r.s: r.p_upto for r in aggregates.running_totals(df, "s", ["p"], buckets=16).collect()}
+    got = {r.s: r.p_upto for r in aggregates.running_totals(df, "s", ["p"], parts=16).collect()}
     total, want = 0, {}
     for s, p in sorted((r.s, r.p) for r in df.collect()):
         total += p

@@ -67,34 +67,69 @@ def crosstab_margins(df: DataFrame, rows: str, cols: str, values: Sequence[str],
     return counts.withColumn(rows, F.when(F.col("__t") == 1, F.lit(label)).otherwise(F.col(rows).cast("string"))).drop("__t")
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float], buckets: int = 256) -> DataFrame:
-    """Percentile by rank: element min(n, max(1, round(p / 100 * n + 0.5))) of the sorted values.
+def _cuts(value: str, parts: int) -> Column:
+    """Values that cut the rows into about equal parts, from a bounded summary combined on the map side."""
+    return F.percentile_approx(value, [(i + 1) / parts for i in range(parts - 1)], 20 * parts)
+
+
+def _part(value: Column, cuts: Column) -> Column:
+    """Number of cuts below the value."""
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def _placed(df: DataFrame, by: Sequence[str], value: str, parts: int = 64) -> DataFrame:
+    """(by, __v, __c, __n, __upto): distinct values with their frequency, the rows of the group and those up to the value.
 
-    by names at least one column. Rounding is half to even; NULL values don't count. Rows shrink to counts per distinct value and
-    those to counts per range of values (``buckets`` of equal width per group). The range that holds a
-    rank is known from at most ``buckets`` sums per group, and only inside that range are values put in
-    order, so a hot group is ordered by many tasks, each a part of it.
+    Rows shrink to counts per distinct value. Groups are cut into ranges of about equal numbers of rows, wherever
+    the values lie, and only inside a range are values put in order, so a hot group is ordered by many tasks. NULL
+    values don't count; by names at least one column.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    span = counts.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
+    filled = df.filter(F.col(value).isNotNull())
+    counts = filled.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    span = filled.groupBy(*by).agg(_cuts(value, parts).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
     where = [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in by]
-    keyed = span.select(*[F.col(k).alias(f"__s_{k}") for k in by], "__lo", "__hi", "__n")
-    width = (F.col("__hi") - F.col("__lo")).cast("double") / buckets
-    cut = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")).cast("double") / width), F.lit(buckets - 1))).otherwise(F.lit(0).cast("long"))
-    rows = counts.join(keyed, where).select(*by, "__v", "__c", "__n", cut.alias("__b"))
+    keyed = span.select(*[F.col(k).alias(f"__s_{k}") for k in by], "__cuts", "__n")
+    rows = counts.join(keyed, where).select(*by, "__v", "__c", "__n", _part(F.col("__v"), F.col("__cuts")).alias("__b"))
     sums = rows.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
     before = sums.withColumn("__before", F.sum("__bc").over(W.partitionBy(*by).orderBy("__b")) - F.col("__bc"))
     side = before.select(*[F.col(k).alias(f"__s_{k}") for k in by], F.col("__b").alias("__s_b"), "__before")
-    placed = rows.join(side, where + [F.col("__b") == F.col("__s_b")]).withColumn("__upto", F.col("__before") + F.sum("__c").over(W.partitionBy(*by, "__b").orderBy("__v")))
+    placed = rows.join(side, where + [F.col("__b") == F.col("__s_b")])
+    return placed.withColumn("__upto", F.col("__before") + F.sum("__c").over(W.partitionBy(*by, "__b").orderBy("__v"))).select(*by, "__v", "__c", "__n", "__upto")
+
+
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
+    """Percentile by rank: element min(n, max(1, round(p / 100 * n + 0.5))) of the sorted values.
+
+    Rounding is half to even; NULL values don't count; by names at least one column.
+    """
     rank = lambda p: F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(F.lit(p / 100.0) * F.col("__n") + 0.5, 0).cast("long")))
-    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col("__v"))).alias(f"p{p:g}") for p in percents])
+    return _placed(df, by, value).groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col("__v"))).alias(f"p{p:g}") for p in percents])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """(by, one column per name): exact quantiles with linear interpolation, as a median at 0.5.
+
+    Groups without a value give no row. by may be empty: one row, or none for an empty table.
+    """
+    keys = list(by) or ["__all"]
+    rows = _placed(df if by else df.select(F.lit(1).alias("__all"), value), keys, value)
+    at = {n: F.lit(s) * (F.col("__n") - 1) for n, s in shares.items()}
+    reached = lambda k: F.min(F.when(F.col("__upto") >= k + 1, F.col("__v").cast("double")))
+    ends = rows.groupBy(*keys).agg(
+        *[c for n, x in at.items() for c in (reached(F.floor(x)).alias(f"__lo_{n}"), reached(F.ceil(x)).alias(f"__hi_{n}"), F.max(x - F.floor(x)).alias(f"__f_{n}"))]
+    )
+    return ends.select(*by, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in shares])
 
 
-def modal_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, n): the most frequent value that isn't null; ties go to the smallest."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*by).orderBy(F.desc("n"), F.col(value))
-    return counts.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+def modal_value(df: DataFrame, by: Sequence[str], value: str, first_by: str | None = None) -> DataFrame:
+    """(by, value, n): the most frequent value that isn't null.
+
+    Ties go to the smallest value or, with first_by, an order of the rows, to the value seen first.
+    """
+    first = F.min(first_by) if first_by else F.lit(0)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), first.alias("__first"))
+    top = counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("neg"), "__first", F.col(value).alias("v"))).alias("__t"))
+    return top.select(*by, F.col("__t.v").alias(value), (-F.col("__t.neg")).alias("n"))
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:
@@ -155,21 +190,20 @@ def auc_by(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFram
     )
 
 
-def running_totals(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, parts: int = 256) -> DataFrame:
     """df with <value>_upto, the inclusive running sum of each value over all rows in order.
 
-    order must be unique and numeric. Rows are put into ranges of equal width between the least and
-    greatest value; each range keeps its own running sum, and the sums of the ranges before it (at
-    most ``buckets`` rows) are added.
+    order must be unique and numeric. Rows are cut into ranges of about equal numbers of rows; each range keeps its own
+    running sum, and the sums of the ranges before it (at most ``parts`` rows) are added.
     """
-    lo, hi = df.select(F.min(order)).scalar(), df.select(F.max(order)).scalar()
-    width = F.when(hi > lo, (hi - lo).cast("double") / buckets).otherwise(F.lit(1.0))
-    cut = df.withColumn("__b", F.least(F.floor((F.col(order) - lo).cast("double") / width), F.lit(buckets - 1)))
+    cuts = df.agg(_cuts(order, parts).alias("c")).select("c").scalar()
+    none = F.array().cast(f"array<{dict(df.dtypes)[order]}>")
+    cut = df.withColumn("__cuts", cuts).withColumn("__b", _part(F.col(order), F.coalesce("__cuts", none))).drop("__cuts")
     o, b = (F.desc(order), F.desc("__b")) if descending else (F.asc(order), F.asc("__b"))
     sums = cut.groupBy("__b").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     before = sums.select("__b", *[(F.sum(f"__{v}").over(W.partitionBy(F.lit(0)).orderBy(b)) - F.col(f"__{v}")).alias(f"__{v}") for v in values])
     inside = cut.select("*", *[F.sum(v).over(W.partitionBy("__b").orderBy(o)).alias(f"{v}_upto") for v in values])
-    joined = inside.join(F.broadcast(before), "__b")  # at most `buckets` rows
+    joined = inside.join(F.broadcast(before), "__b")  # at most `parts` rows
     return joined.select(*df.columns, *[(F.col(f"{v}_upto") + F.col(f"__{v}")).alias(f"{v}_upto") for v in values])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import first_match
+from weftline.operators.aggregates import quantiles
 from weftline.runtime import Stage
 
 
@@ -70,10 +71,11 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
 def cluster_stats(labels: DataFrame, giant: int = 30) -> DataFrame:
     """One row: clusters, members, largest, mean and 99th percentile size, giants."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    p99 = quantiles(sizes, [], "size", {"p": 0.99}).select(F.round("p", 6)).scalar()
     return sizes.agg(
         F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("members"), F.max("size").alias("largest"), F.round(F.avg("size"), 6).alias("mean_size"),
-        F.round(F.percentile("size", 0.99), 6).alias("p99_size"), F.count_if(F.col("size") >= giant).alias("giants"),
-    )
+        F.count_if(F.col("size") >= giant).alias("giants"),
+    ).select("clusters", "members", "largest", "mean_size", p99.alias("p99_size"), "giants")
 
 
 def gain_category(gain: Column) -> Column:

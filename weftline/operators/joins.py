@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.tables import small
+from weftline.operators.windows import row_numbers
 
 
 def suffixed(df: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -19,14 +19,16 @@ def suffixed(df: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c if c in keep else f"{c}{suffix}") for c in df.columns])
 
 
-def two_sided(pairs: DataFrame, attributes: DataFrame, key: str, left: str, right: str) -> DataFrame:
+def two_sided(pairs: DataFrame, attributes: DataFrame, key: str, left: str, right: str, broadcast_rows: int = 0) -> DataFrame:
     """Left-join the attributes of both ends of each pair, as <column>_l and <column>_r.
 
     Attributes are first reduced to the ids that occur in pairs. Ids without attributes keep NULLs;
-    an id with several attribute rows multiplies its pairs.
+    an id with several attribute rows multiplies its pairs. Attributes of at most broadcast_rows rows are
+    broadcast, with the same result.
     """
     ids = pairs.select(F.col(left).alias(key)).union(pairs.select(F.col(right).alias(key))).distinct()
     used = attributes.join(ids, key, "left_semi")
+    used = small(used, broadcast_rows) if broadcast_rows else used
     a, b = suffixed(used, "_l"), suffixed(used, "_r")
     return pairs.join(a, F.col(left) == F.col(f"{key}_l"), "left").join(b, F.col(right) == F.col(f"{key}_r"), "left").drop(f"{key}_l", f"{key}_r")
 
@@ -177,15 +179,24 @@ def pair_key(a: Column, b: Column) -> Column:
 def count_aligned(rows: DataFrame, targets: DataFrame, key: str, order: str, target: str) -> DataFrame:
     """Rows of each key repeated in a cycle, or cut, to the key's target count.
 
-    Keys without rows, or without a target, give nothing. position counts from 1.
+    Keys without rows, or without a target, give nothing. position counts from 1. order is numeric and unique within a key.
     """
-    numbered = rows.withColumn("__i", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    numbered = row_numbers(rows, key, order, "__i")
     sized = numbered.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m")), key).join(targets.select(key, target), key)
     # row i serves positions i, i + m, i + 2m, ... up to the target
     copies = F.when(F.col(target) >= F.col("__i"), F.sequence(F.col("__i").cast("long"), F.col(target).cast("long"), F.col("__m").cast("long")))
     return sized.withColumn("position", F.explode(copies)).drop("__i", "__m", target)
 
 
+def rated(rows: DataFrame, card: DataFrame, key: str, card_key: str) -> DataFrame:
+    """rows with the columns of a card of rates (one row per key) and no_rate, true where the card lacks the key.
+
+    Every row stays, one with a null key too. A card that is small is broadcast; a card row with a null key serves nothing.
+    """
+    marked = small(card.filter(F.col(card_key).isNotNull()).withColumn("__rated", F.lit(True)))
+    return rows.join(marked, F.col(key) == F.col(card_key), "left").withColumn("no_rate", F.col("__rated").isNull()).drop("__rated", card_key)
+
+
 def replace_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old, those of keys that occur in new replaced by the rows of new."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import expr
+from weftline.operators.aggregates import quantiles
 
 
 def column_rules(df: DataFrame, rules: Mapping[str, tuple[str, str | None]]) -> DataFrame:
@@ -84,7 +85,7 @@ def coverage(df: DataFrame, entity: str, category: str, categories: Sequence[str
     """Rows per entity and category as columns, completeness, and whether below half the median."""
     counts = df.groupBy(entity).agg(*[F.count_if(F.col(category) == c).alias(c) for c in categories], F.count(F.lit(1)).alias("total"))
     have = sum(((F.col(f"`{c}`") > 0).cast("int") for c in categories), F.lit(0))
-    half = counts.select(F.median("total") / 2).scalar()
+    half = quantiles(counts, [], "total", {"m": 0.5}).select(F.col("m") / 2).scalar()
     return counts.select("*", F.round(have / len(categories), 6).alias("completeness"), (F.col("total") < half).alias("low"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.tables import small
 from weftline.operators import keyed
 
 
@@ -28,6 +29,24 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return first.select(*[F.col(f"`{c}`") if c in by else F.col(f"__m.`{c}`").alias(c) for c in df.columns])
 
 
+def row_numbers(df: DataFrame, by: str, order: str, name: str, hot_rows: int = 1_000_000, parts: int = 64) -> DataFrame:
+    """df with the number of each row within its key, from 1, in the order of a numeric column unique within the key.
+
+    A key with more than hot_rows rows is cut into ranges of about equal numbers of rows, which are numbered apart and
+    moved on by the rows before them, so no task orders a hot key as a whole. Rows with a NULL key are a key of their own, not cut.
+    """
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > hot_rows) & F.col(by).isNotNull()).select(by)
+    hot = df.join(small(sizes), by, "left_semi")
+    cuts = hot.groupBy(by).agg(F.percentile_approx(order, [(i + 1) / parts for i in range(parts - 1)], 20 * parts).alias("__cuts"))
+    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
+    marked = df.join(small(cuts), by, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part))
+    in_part = marked.filter("__cuts is not null").groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = in_part.withColumn("__before", F.sum("__n").over(W.partitionBy(by).orderBy("__part")) - F.col("__n")).drop("__n")
+    numbered = marked.withColumn("__rn", F.row_number().over(W.partitionBy(by, "__part").orderBy(order)))
+    joined = numbered.join(small(before), [by, "__part"], "left")
+    return joined.select(*df.columns, (F.col("__rn") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
+
+
 def dense_ranks(df: DataFrame, by: str, order: Column, name: str = "wave") -> DataFrame:
     """df with the dense rank of ``order`` within each key; NULL orders rank first.
 

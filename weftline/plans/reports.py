@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import expr
-from weftline.operators import aggregates, windows
+from weftline.operators import aggregates, joins, windows
 from weftline.plans.registry import Registry
 from weftline.runtime import load
 
@@ -68,8 +68,8 @@ def percent_of_row(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def percentile_linear(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", q), 6)
-    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    q = aggregates.quantiles(load(spark, d, "events"), ["event_type"], "value", {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "p95", "p99")])
 
 
 @R.query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -214,7 +214,8 @@ def quarterly_mix(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, round(median(o_totalprice), 6) AS median_price FROM orders GROUP BY 1")
 def quarterly_median(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "orders").groupBy(F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter")).agg(F.round(F.median("o_totalprice"), 6).alias("median_price"))
+    df = load(spark, d, "orders").select(F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter"), "o_totalprice")
+    return aggregates.quantiles(df, ["quarter"], "o_totalprice", {"m": 0.5}).select("quarter", F.round("m", 6).alias("median_price"))
 
 
 @R.query("""SELECT o_orderpriority, count(*) AS n, count(DISTINCT date_trunc('month', o_orderdate)) AS months, round(count(*) * 12.0 / count(DISTINCT date_trunc('month', o_orderdate)), 4) AS per_year FROM orders GROUP BY 1""")
@@ -279,6 +280,33 @@ def majority_value(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.modal_value(load(spark, d, "orders"), ["o_custkey"], "o_orderpriority")
 
 
+@R.query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS first_seen FROM orders GROUP BY 1, 2)
+            SELECT o_custkey, o_orderpriority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, first_seen) = 1""")
+def majority_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """As majority_value, ties to the value seen first."""
+    return aggregates.modal_value(load(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey")
+
+
+@R.query(f"SELECT o_orderkey FROM orders ORDER BY {hash_sql('o_orderkey', 5)}, o_orderkey LIMIT 500")
+def random_sample_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly 500 orders, by hash order."""
+    return windows.random_sample(load(spark, d, "orders"), "o_orderkey", 500, 5).select("o_orderkey")
+
+
+@R.query("""WITH rates AS (SELECT c_custkey, CAST(c_custkey % 7 AS DOUBLE) / 10 AS per_order, 1.0 + c_custkey % 3 AS per_item, 20.0 AS least FROM customer WHERE c_custkey % 5 <> 0),
+            o AS (SELECT o_orderkey, o_custkey, count(l_orderkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+            SELECT o_orderkey, CASE WHEN per_order IS NOT NULL THEN round(greatest(per_order + items * per_item, least), 2) END AS charge, per_order IS NULL AS no_rate FROM o LEFT JOIN rates ON o_custkey = c_custkey""")
+def rate_card(spark: SparkSession, d: str) -> DataFrame:
+    """Charge of each order by a card of rates per customer; orders without a rate have none and are marked."""
+    k = F.col("c_custkey")
+    card = load(spark, d, "customer").filter(k % 5 != 0).select("c_custkey", ((k % 7).cast("double") / 10).alias("per_order"), (k % 3 + 1.0).alias("per_item"), F.lit(20.0).alias("least"))
+    items = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("items"))
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(items, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    rated = joins.rated(orders, card, "o_custkey", "c_custkey")
+    # greatest passes over nulls, a charge without a rate must stay null
+    charge = F.when(~F.col("no_rate"), F.round(F.greatest(F.col("per_order") + F.col("items") * F.col("per_item"), "least"), 2))
+    return rated.select("o_orderkey", charge.alias("charge"), "no_rate")
+
 @R.query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 1")
 def set_to_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), ",").alias("statuses"), F.count_distinct("o_orderpriority").alias("priorities"))
@@ -351,7 +379,7 @@ def outcome_taxonomy(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH m AS (SELECT median(value) AS m FROM events) SELECT event_id, round(CASE WHEN m < 3 THEN value * 1440 ELSE value END, 6) AS minutes FROM events, m""")
 def unit_fix(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events")
-    m = df.select(F.median("value")).scalar()
+    m = aggregates.quantiles(df, [], "value", {"m": 0.5}).select("m").scalar()
     return df.select("event_id", F.round(F.when(m < 3, F.col("value") * 1440).otherwise(F.col("value")), 6).alias("minutes"))
 
 
