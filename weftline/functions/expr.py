@@ -184,6 +184,15 @@ def key_value(text: Column, key: str, default: str = "") -> Column:
     return F.when(F.coalesce(hit, F.lit("")) == "", F.lit(default)).otherwise(hit)
 
 
+def fenced_json(text: Column) -> Column:
+    """The JSON in an answer: as it is, between code fences, or from the first bracket to the last; NULL where none is well formed."""
+    t = F.trim(text)
+    fenced = F.regexp_extract(t, r"(?s)```[A-Za-z]*\s*(.*?)\s*```", 1)
+    inside = F.regexp_extract(t, r"(?s)(\{.*\}|\[.*\])", 1)
+    good = lambda c: F.when(F.coalesce(c, F.lit("")).rlike(r"^\s*[\[{]") & F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(good(t), good(fenced), good(inside))
+
+
 def longest_prefix(c: Column, prefixes: Mapping[str, str]) -> Column:
     """Value of the longest prefix that c starts with."""
     return first_match([(c.startswith(p), v) for p, v in sorted(prefixes.items(), key=lambda kv: (-len(kv[0]), kv[0]))])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +53,55 @@ def column_rules(df: DataFrame, rules: Mapping[str, tuple[str, str | None]]) ->
     return df.select(*[build(op, source).alias(name) for name, (op, source) in rules.items()])
 
 
+def header_signature(columns: Sequence[str]) -> str:
+    """Twelve characters that stand for a header, whatever its case and the blanks around its names."""
+    return hashlib.sha1("|".join(c.strip().lower() for c in columns).encode(), usedforsecurity=False).hexdigest()[:12]
+
+
+class RuleCache:
+    """Rule sets by header signature, kept as files in a shared folder: a header seen before costs no new building.
+
+    A file is written whole under another name and then moved, so a reader never sees half of one; of two builders at once one wins.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        self._fs = self._path("x").getFileSystem(conf)
+        self.built = 0
+
+    def rules(self, columns: Sequence[str], build: Callable[[Sequence[str]], Mapping[str, tuple[str, str | None]]]) -> dict[str, tuple[str, str | None]]:
+        at = self._path(f"{header_signature(columns)}.json")
+        if self._fs.exists(at):
+            stream = self._fs.open(at)
+            text = bytes(stream.readAllBytes()).decode()
+            stream.close()
+        else:
+            self.built += 1
+            text = json.dumps(build(columns))
+            part = self._path(f".{header_signature(columns)}-{uuid.uuid4().hex}")
+            stream = self._fs.create(part)
+            stream.write(bytearray(text.encode()))
+            stream.close()
+            if not self._fs.rename(part, at):
+                self._fs.delete(part, False)
+        return {k: tuple(v) for k, v in json.loads(text).items()}
+
+
+def fill_tokens(templates: DataFrame, tokens: DataFrame, keys: Sequence[str], copy: str = "=") -> DataFrame:
+    """(keys, template, filled): each template with its key's tokens put in.
+
+    tokens has keys, seq, token, value and, as source, the text of the row; the value with the highest seq wins, a null one leaves the token
+    in place. Where the template is the copy sign, the filled text is the row's source as it is. Templates without tokens stay.
+    """
+    last = tokens.groupBy(*keys, "token").agg(F.max_by("value", "seq").alias("v"), F.max_by("source", "seq").alias("s"))
+    entry = F.when(F.col("v").isNotNull(), F.struct(F.col("token"), F.col("v")))
+    per = last.groupBy(*keys).agg(F.map_from_entries(F.array_compact(F.sort_array(F.collect_list(entry)))).alias("__t"), F.max("s").alias("__s"))
+    joined = templates.join(per, list(keys), "left")
+    filled = F.when(F.col("template") == copy, F.col("__s")).when(F.col("__t").isNull(), F.col("template")).otherwise(expr.fill_template(F.col("template"), F.col("__t")))
+    return joined.select(*keys, "template", filled.alias("filled"))
+
+
 def lookup_precedence(df: DataFrame, text: str, code_pattern: str, lookup: DataFrame) -> DataFrame:
     """df with (target, matched_by) from a lookup (key, target): the code in the text, then the exact
     name, the longest name followed by '.', the longest keyword contained.
@@ -99,11 +151,12 @@ def map_partitions(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFram
     return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
 
 
-def enrich(df: DataFrame, inputs: Sequence[str], call: Callable[[dict], dict], schema: str, retries: int = 3, workers: int = 16) -> DataFrame:
+def enrich(df: DataFrame, inputs: Sequence[str], call: Callable[[dict], dict], schema: str, retries: int = 3, workers: int = 16, valid: Callable[[dict], str | None] | None = None) -> DataFrame:
     """df with the answer fields of an injected call per row, and status, attempts, error.
 
     Calls of a batch run in a bounded pool of threads; a call that raises is retried with growing
-    pauses and then reported in status and error, never as a failed job.
+    pauses and then reported in status and error, never as a failed job. valid names what is wrong with an
+    answer, or None; a wrong answer is asked for again and in the end has status invalid and no fields.
     """
     fields = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
     extra = [T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
@@ -113,16 +166,18 @@ def enrich(df: DataFrame, inputs: Sequence[str], call: Callable[[dict], dict], s
     def one(row: dict) -> list:
         import time
 
-        error = None
+        error, status = None, "failed"
         for attempt in range(1, retries + 1):
             try:
                 answer = call(row)
-                return [answer.get(n) for n in names] + ["ok", attempt, None]
+                error, status = valid(answer) if valid else None, "invalid"
+                if error is None:
+                    return [answer.get(n) for n in names] + ["ok", attempt, None]
             except Exception as e:  # noqa: BLE001 - any failure of the injected call is data here
-                error = f"{type(e).__name__}: {e}"
-                if attempt < retries:
-                    time.sleep(0.05 * 2**attempt)
-        return [None] * len(names) + ["failed", retries, error]
+                error, status = f"{type(e).__name__}: {e}", "failed"
+            if attempt < retries:
+                time.sleep(0.05 * 2**attempt)
+        return [None] * len(names) + [status, retries, error]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor

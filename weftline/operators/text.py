@@ -157,6 +157,32 @@ def log_records(df: DataFrame, text: str, start: str) -> DataFrame:
     return df.select("*", F.posexplode(parts).alias("position", "record"))
 
 
+def segment_blocks(df: DataFrame, text: str, anchor: str, head: str, go_on: str, back: int = 3) -> DataFrame:
+    """df with one row per line in which anchor occurs: block, first_line, last_line, lines (all counted from 0).
+
+    A block begins at its anchor, or up to ``back`` lines before it: lines that begin with go_on are walked over, one that begins with
+    head ends the walk and belongs to the block, any other ends it and doesn't. It ends where the next one begins. A text without an
+    anchor gives no rows. A block may be empty if the next one begins at the same line.
+    """
+    lines = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
+    at = lambda i: F.get("__lines", i)
+    begins = lambda i, p: F.coalesce(at(i).rlike(f"^(?:{p})"), F.lit(False)) & (i >= 0)
+
+    def start(i: Column) -> Column:
+        out = i - back
+        for k in range(back, 0, -1):
+            line = i - k
+            out = F.when(begins(line, head), line).when(begins(line, go_on), out if k < back else line).otherwise(i - (k - 1))
+        return out
+
+    split = df.withColumn("__lines", lines)
+    anchors = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: at(i).rlike(anchor))
+    starts = split.withColumn("__anchors", anchors).filter(F.size("__anchors") > 0).withColumn("__starts", F.transform("__anchors", start))
+    rows = starts.select(*df.columns, "__lines", "__starts", F.posexplode("__starts").alias("block", "first_line"))
+    end = F.coalesce(F.get("__starts", F.col("block") + 1), F.size("__lines")) - 1
+    return rows.withColumn("last_line", end).withColumn("lines", F.slice("__lines", F.col("first_line") + 1, F.greatest(end - F.col("first_line") + 1, F.lit(0)))).drop("__lines", "__starts")
+
+
 def reconcile_blocks(lines: DataFrame, block: str, amount: str, subtotal: Column, tolerance: float = 0.01) -> DataFrame:
     """(block, total, subtotal, ok): line totals against the block's own subtotal line."""
     out = lines.groupBy(block).agg(F.sum(F.when(~subtotal, F.col(amount))).alias("total"), F.max(F.when(subtotal, F.col(amount))).alias("subtotal"))

@@ -125,16 +125,6 @@ def block_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", F.round("total", 2).alias("total"), F.round("subtotal", 2).alias("subtotal"), "ok")
 
 
-@R.query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y') AS VARCHAR) AS period FROM orders WHERE o_orderstatus = 'P'")
-def union_files_tagged(spark: SparkSession, d: str) -> DataFrame:
-    """One file per year, read together, the year taken from the file's path."""
-    path = Stage(spark, "files").path
-    years = load(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"))
-    years.write.partitionBy("y").parquet(path)
-    read = spark.read.schema("o_orderkey long").option("recursiveFileLookup", "true").parquet(path)
-    return read.select("o_orderkey", F.regexp_extract(F.col("_metadata.file_path"), r"y=(\d{4})", 1).alias("period"))
-
-
 @R.query("SELECT 'new' AS version, count(*) AS n FROM nation")
 def newest_file(spark: SparkSession, d: str) -> DataFrame:
     path = Stage(spark, "newest").path
@@ -145,23 +135,6 @@ def newest_file(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(found).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("SELECT r_regionkey, CAST(r_regionkey AS VARCHAR) AS order_key, r_name AS order_name FROM region")
-def two_row_header(spark: SparkSession, d: str) -> DataFrame:
-    path = Stage(spark, "header").path
-    rows = [("order", ""), ("key", "name")] + [(str(r.r_regionkey), r.r_name) for r in load(spark, d, "region").limit(100).collect()]
-    spark.createDataFrame(rows, "a string, b string").coalesce(1).write.csv(path, header=False, emptyValue="")
-    return io.read_two_row_header(spark, path).select(F.col("order_key").cast("int").alias("r_regionkey"), "order_key", "order_name")
-
-
-@R.query("SELECT 'documents' AS sheet, 3 AS resolved")
-def best_sheet(spark: SparkSession, d: str) -> DataFrame:
-    """Among several tables of one delivery, the one that resolves most of the wanted fields."""
-    wanted = {"id": ["doc_id"], "body": ["text"], "origin": ["source"]}
-    found = {n: sum(v is not None for v in schema.resolve(load(spark, d, n).columns, wanted).values()) for n in ("region", "documents", "nation")}
-    best = max(found, key=lambda n: (found[n], n))
-    return spark.createDataFrame([(best, found[best])], "sheet string, resolved int")
-
-
 @R.query("SELECT doc_id, count(*) AS records FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, chr(13), ''), '(ERROR|WARN|baseline) ')) FROM documents WHERE source = 'search_log') GROUP BY 1")
 def log_records(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").filter("source = 'search_log'").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"))

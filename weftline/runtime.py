@@ -29,15 +29,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``.
+    """Folder that all executors share, from ``spark.checkpoint.dir`` or the checkpoint folder set on the context.
 
-    Only where the session names none (tests, one machine) a folder of our own is made, and
-    set as the checkpoint folder as well.
+    Only a local session that names none (tests, one machine) gets a folder of our own, set as the checkpoint folder as
+    well; on a cluster it would be another disk on every machine, so there it raises.
     """
     global _LOCAL_ROOT
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        given = spark.sparkContext.getCheckpointDir()
+        if given:
+            return given.rstrip("/")
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _LOCAL_ROOT is None:
         _LOCAL_ROOT = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, _LOCAL_ROOT, ignore_errors=True)
@@ -45,6 +50,19 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT}"
 
 
+_STAGES: set[Stage] = set()
+
+
+def clean() -> None:
+    """Delete the tables of all queries run so far. Their results can't be read any more afterwards; a long
+    session calls this between queries, and the end of the interpreter does."""
+    for stage in list(_STAGES):
+        stage.close()
+
+
+atexit.register(clean)
+
+
 class Stage:
     """Intermediate tables of one query run, written as Parquet to the shared folder.
 
@@ -56,7 +74,7 @@ class Stage:
         self.spark = spark
         self.path = f"{shared_root(spark)}/weftline/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(self._drop_all)
+        _STAGES.add(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read back."""
@@ -86,7 +104,9 @@ class Stage:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def _drop_all(self) -> None:
+    def close(self) -> None:
+        """Delete all tables of the run; what was read from them can't be read again."""
+        _STAGES.discard(self)
         try:
             self._delete(self.path)
         except Exception:  # the session may have ended before the interpreter does
