@@ -61,3 +61,18 @@ def test_members_and_names(spark):
     df = spark.createDataFrame([("Smith, Ann B", "0"), ("Bo", "(12.5)"), (None, ""), ("Ann  Li ", "x")], "n string, m string")
     got = mapping.column_rules(df, {"f": ("name_first", "n"), "l": ("name_last", "n"), "c": ("member_count", "m")})
     assert [tuple(r) for r in got.collect()] == [("Ann", "Smith", "1"), ("Bo", "", "-1"), ("", "", ""), ("Ann", "Li", "")]
+
+
+def test_envelopes(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, None), ("b", 2, "z"), ("b", 3, "q"), (None, 5, "n")], "l string, i int, v string")
+    got = {r.l: r.payload for r in io.json_envelope(df, "l", ["i", "v"], max_rows=2).collect()}
+    assert got == {"a": '{"load_id":"a","results":[{"i":1,"v":"x"},{"i":2,"v":"y"}]}', "b": None, None: '{"results":[{"i":5,"v":"n"}]}'}
+    io.write_envelopes(df, "l", ["i", "v"], str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e" / "load_id=b")).count() == 3
+
+
+def test_materialized_by_source_and_columns(spark, tmp_path):
+    one, two = spark.createDataFrame([(1, "a")], "x int, y string"), spark.createDataFrame([(2, "b")], "x int, y string")
+    first = io.materialized(one, str(tmp_path), ["x", "y"], "one")
+    assert rows(first) == [(1, "a")] == rows(io.materialized(two, str(tmp_path), ["y", "x"], "one").select("x", "y"))
+    assert rows(io.materialized(two, str(tmp_path), ["x", "y"], "two")) == [(2, "b")]

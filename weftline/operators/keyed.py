@@ -28,7 +28,7 @@ def heavy_keys(df: DataFrame, key: str, share: tuple[int, int] = (1, 50)) -> Dat
     NULL is no key, but its rows count in the total. The comparison is exact (integers).
     """
     counts = key_counts(df, key)
-    total = counts.select(F.sum("n")).scalar()
+    total = df.select(F.count(F.lit(1))).scalar()  # reads no column
     part, whole = share
     return counts.filter(F.col("key_value").isNotNull() & (F.col("n") * F.lit(whole) >= total * F.lit(part)))
 
@@ -50,16 +50,18 @@ def key_summary(df: DataFrame, key: str, distinct: Sequence[str], first_last: st
     return out
 
 
-def top_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, salts: int = 32) -> DataFrame:
+def top_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, n_rows: int = 0) -> DataFrame:
     """The first k rows of each key in the given order, hot keys included.
 
     Two rounds of row_number: within (key, salt), where the salt is a hash of the whole row, so
-    that a hot key is ranked by ``salts`` tasks; then within the key among at most k * salts rows.
+    that a hot key is ranked by many tasks; then within the key among at most k rows per salt. There is a salt per
+    million of n_rows, the rows expected in all, and 32 at least.
     ``order`` must end in a unique column for a defined result among ties. Rows with a NULL key
     form a group of their own.
     """
     from pyspark.sql import Window as W
 
+    salts = max(32, n_rows // 1_000_000)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
     first = salted.withColumn("__rn", F.row_number().over(W.partitionBy(key, "__salt").orderBy(*order))).filter(F.col("__rn") <= k)
     return (

@@ -123,7 +123,7 @@ def list_tags(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind = 'element'").select("src_table", "tag").distinct()
 
 
-def settle(nodes: DataFrame, max_tags: int = 20_000) -> DataFrame:
+def settle(nodes: DataFrame, max_tags: int = 300) -> DataFrame:
     """Nodes with final node_path and parent_path; objects that stand alone in no list are
     marked by kind 'object' and belong to their parent's row.
 

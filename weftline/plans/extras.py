@@ -154,7 +154,7 @@ def materialized_reuse(spark: SparkSession, d: str) -> DataFrame:
     """The second request for the same columns reads the copy written by the first."""
     folder, columns = Stage(spark, "cache").path, ["o_orderkey", "o_orderstatus", "o_totalprice"]
     for _ in range(2):
-        df = io.materialized(load(spark, d, "orders"), folder, columns)
+        df = io.materialized(load(spark, d, "orders"), folder, columns, f"{d}/orders")
     return df.filter("o_totalprice > 400000")
 
 

@@ -103,9 +103,10 @@ def p4_identity_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_latest_matches(spark: SparkSession, d: str) -> DataFrame:
     """The three latest distinct matches of each identity, hot identities included."""
-    rows = load(spark, d, "anm_training_data_matches").filter("identityid is not null").distinct()
+    matches = load(spark, d, "anm_training_data_matches")
+    rows = matches.filter("identityid is not null").distinct()
     order = [F.col("matched_at").desc_nulls_last(), F.col("pr1").asc_nulls_last(), F.col("pr2").asc_nulls_last(), F.col("label").asc_nulls_last()]
-    return keyed.top_per_key(rows, "identityid", order, 3).select("identityid", "rank", "pr1", "pr2", "label", "matched_at")
+    return keyed.top_per_key(rows, "identityid", order, 3, matches.count()).select("identityid", "rank", "pr1", "pr2", "label", "matched_at")
 
 
 QUERIES = {
@@ -120,6 +121,9 @@ QUERIES = {
     "p4_latest_matches": p4_latest_matches,
 }
 
+#: A value without white space around it.
+_TRIMMED = "regexp_replace(value, '^[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+$', '', 'g')"
+
 def strict_sql(s: str) -> str:
     """Well-formed JSON: the engine lets trailing commas and NaN pass, so they are looked for outside of strings."""
     return rf"""(json_valid({s}) AND NOT regexp_matches(regexp_replace({s}, '"(\\.|[^"\\])*"', '""', 'g'), '(?i),\s*[\]}}]|nan|inf'))"""
@@ -145,8 +149,71 @@ def _elements(holder: str, path: str, key: str, parent: str) -> str:
         FROM (SELECT *, json_extract(j, '$.{key}') AS l FROM {holder}))) WHERE json_type(x) = 'OBJECT'"""
 
 
-#: A value without white space around it.
-_TRIMMED = "regexp_replace(value, '^[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+$', '', 'g')"
+def _p3_sql() -> str:
+    """Elements of lists by two walks: one finds the places that hold lists of objects, one writes the paths."""
+    inner = "json_extract_string(s, '$')"
+    unwrap = f"CASE WHEN json_type(s) = 'VARCHAR' AND {strict_sql(inner)} THEN {inner} ELSE s END"
+    kids = "unnest(CASE json_type(j) WHEN 'OBJECT' THEN json_keys(j) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k"
+    child = "CASE WHEN json_type(j) = 'OBJECT' THEN json_extract(j, '$.\"' || k || '\"') ELSE json_extract(j, '$[' || k || ']') END AS x"
+    keyed_by = "json_type(j) = 'OBJECT'"
+    tag = f"CASE WHEN {keyed_by} AND k <> last_key THEN (CASE WHEN tag = '' THEN k ELSE tag || '.' || k END) ELSE tag END"
+    last = f"CASE WHEN {keyed_by} THEN k ELSE last_key END"
+    return f"""WITH RECURSIVE t0 AS (SELECT 'elasticdump_parties' AS src_table, row_id, _source AS s FROM elasticdump_parties WHERE {strict_sql("_source")}
+            UNION ALL SELECT 'tripmaster', row_id, LosQuestions FROM tripmaster WHERE {strict_sql("LosQuestions")}),
+        docs AS (SELECT src_table, row_id, CAST({unwrap} AS JSON) AS j FROM (SELECT src_table, row_id, {unwrap} AS s FROM t0)),
+        walk AS (SELECT src_table, row_id, j, '' AS tag, '' AS last_key, 'root' AS place FROM docs
+            UNION ALL SELECT src_table, row_id, x, {tag}, {last}, CASE WHEN {keyed_by} THEN 'key' ELSE 'list' END
+            FROM (SELECT *, {child} FROM (SELECT *, {kids} FROM walk)) WHERE json_type(x) IN ('OBJECT', 'ARRAY')),
+        tags AS (SELECT DISTINCT src_table, tag FROM walk WHERE place = 'list' AND json_type(j) = 'OBJECT'),
+        nodes AS (SELECT src_table, row_id, j, '' AS tag, '' AS last_key, '$' AS path, '$' AS parent, '$' AS holder, false AS element FROM docs
+            UNION ALL SELECT src_table, row_id, x, new_tag, new_last, CASE WHEN element AND is_key THEN p || '[0]' ELSE p END, holder,
+                             CASE WHEN element AND is_key THEN p || '[0]' WHEN element THEN p ELSE holder END, element
+            FROM (SELECT c.*, p, json_type(x) = 'OBJECT' AND (NOT is_key OR t.tag IS NOT NULL) AS element
+                  FROM (SELECT src_table, row_id, x, holder, {keyed_by} AS is_key, {tag} AS new_tag, {last} AS new_last, path || CASE WHEN {keyed_by} THEN '.' || k ELSE '[' || k || ']' END AS p
+                        FROM (SELECT *, {child} FROM (SELECT *, {kids} FROM nodes)) WHERE json_type(x) IN ('OBJECT', 'ARRAY')) c
+                  LEFT JOIN tags t ON t.src_table = c.src_table AND t.tag = c.new_tag))
+        SELECT src_table, row_id, path AS node_path, parent AS parent_path FROM nodes WHERE element"""
+
+
+def _p1_profile_sql() -> str:
+    """The profile from a walk over all containers; distributions are compared on the grid of loads and values."""
+    kids = "unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k"
+    child = "CASE WHEN obj THEN json_extract(v, '$.\"' || k || '\"') ELSE json_extract(v, '$[' || k || ']') END AS x, CASE WHEN place = '' THEN k ELSE place || '.' || k END AS f"
+    children = f"(SELECT *, json_type(x) IN ('OBJECT', 'ARRAY') AS nested FROM (SELECT *, {child} FROM (SELECT *, json_type(v) = 'OBJECT' AS obj, {kids} FROM box)))"
+    text = "CASE json_type(x) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string(x, '$') ELSE CAST(x AS VARCHAR) END"
+    plain = ", ".join(f"'{f}'" for f in P1_FIELDS)
+    form = "regexp_replace(regexp_replace(regexp_replace(value, '\\p{Nd}', '9', 'g'), '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g')"
+    return f"""WITH RECURSIVE {docs_sql("elasticdump_parties", "_source", "row_id, load_id")},
+        box AS (SELECT load_id, j AS v, CASE WHEN json_type(j) = 'OBJECT' THEN '' ELSE '$' END AS place, '' AS last_key, '$[]' AS name FROM docs WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+            UNION ALL SELECT load_id, x, CASE WHEN obj AND k <> last_key THEN f ELSE place END, CASE WHEN obj THEN k ELSE last_key END,
+                             CASE WHEN obj THEN f || '[]' WHEN json_type(x) = 'ARRAY' THEN name || '[]' ELSE name END FROM {children} WHERE nested),
+        held AS (SELECT load_id, holder, count(*) AS n FROM (SELECT load_id, '' AS holder FROM docs UNION ALL SELECT load_id, place FROM box WHERE json_type(v) = 'OBJECT' AND place <> ''
+            UNION ALL SELECT load_id, name FROM {children} WHERE NOT obj AND NOT nested) GROUP BY ALL),
+        found AS (SELECT load_id, '' AS holder, '$' AS field_name, {text} AS value, json_type(x) = 'ARRAY' AS nested FROM (SELECT load_id, j AS x FROM docs) WHERE json_type(x) <> 'OBJECT'
+            UNION ALL SELECT load_id, place, f, {text}, nested AND f NOT IN ({plain}) FROM {children} WHERE obj
+            UNION ALL SELECT load_id, name, name, {text}, false FROM {children} WHERE NOT obj AND NOT nested),
+        whole_rows AS (SELECT 'elasticdump_parties' AS src_table, field_name, load_id, n AS n_rows FROM (SELECT DISTINCT holder, field_name FROM found) JOIN held USING (holder)
+            UNION ALL SELECT 'tripmaster', 'ClinicalData', load_id, count(*) FROM tripmaster GROUP BY load_id),
+        cells AS (SELECT 'elasticdump_parties' AS src_table, field_name, load_id, value, nested, length(value) AS chars, CAST(NULL AS BOOLEAN) AS control FROM found WHERE {_TRIMMED} <> ''
+            UNION ALL SELECT 'tripmaster', 'ClinicalData', load_id, sha256(value), false, length(value), regexp_matches(value, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]')
+            FROM (SELECT load_id, ClinicalData AS value FROM tripmaster) WHERE {_TRIMMED} <> ''),
+        vals AS (SELECT src_table, field_name, load_id, value, nested, any_value(chars) AS chars, count(*) AS c, count(control) AS marked, count(*) FILTER (control) AS controls FROM cells GROUP BY ALL),
+        figures AS (SELECT src_table, field_name, load_id, sum(c) AS f, count(DISTINCT value) AS d, min(value) FILTER (NOT nested) AS lo, max(value) FILTER (NOT nested) AS hi, min(chars) AS lo_c, max(chars) AS hi_c, sum(chars * c) AS chars, max(c) AS top,
+                           CASE WHEN sum(marked) > 0 THEN sum(controls) END AS controls FROM vals GROUP BY ALL),
+        shapes AS (SELECT src_table, field_name, load_id, {form} AS form, sum(c) AS c FROM vals WHERE NOT nested AND src_table <> 'tripmaster' GROUP BY ALL),
+        modal AS (SELECT src_table, field_name, form AS modal_form FROM (SELECT src_table, field_name, form, sum(c) AS c FROM shapes GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src_table, field_name ORDER BY c DESC, form) = 1),
+        shaped AS (SELECT src_table, field_name, load_id, c AS n_in_form FROM shapes JOIN modal USING (src_table, field_name) WHERE form = modal_form),
+        overall AS (SELECT src_table, field_name, value, sum(c) AS a FROM vals GROUP BY ALL), filled AS (SELECT src_table, field_name, sum(a) AS n FROM overall GROUP BY ALL),
+        counted AS (SELECT src_table, field_name, load_id, value, sum(c) AS c FROM vals GROUP BY ALL),
+        moved AS (SELECT g.src_table, g.field_name, g.load_id, sum(abs(coalesce(c.c, 0) / g.f - o.a / n.n)) / 2 AS tv,
+                         sum((coalesce(c.c, 0) - o.a * g.f / n.n) ** 2 / (o.a * g.f / n.n)) AS chi2,
+                         sum(((coalesce(c.c, 0) + 0.5) / (g.f + 0.5) - (o.a + 0.5) / (n.n + 0.5)) * ln(((coalesce(c.c, 0) + 0.5) / (g.f + 0.5)) / ((o.a + 0.5) / (n.n + 0.5)))) AS psi
+                  FROM figures g JOIN filled n USING (src_table, field_name) JOIN overall o USING (src_table, field_name)
+                  LEFT JOIN counted c ON c.src_table = g.src_table AND c.field_name = g.field_name AND c.load_id = g.load_id AND c.value = o.value GROUP BY ALL)
+        SELECT src_table, field_name, load_id, n_rows, CAST(coalesce(f, 0) AS BIGINT) AS n_filled, round(1 - coalesce(f, 0) / n_rows, 6) AS null_rate, coalesce(d, 0) AS n_distinct, lo AS min_value, hi AS max_value, lo_c AS min_chars, hi_c AS max_chars,
+               round(chars / f, 6) AS mean_chars, top AS n_most_frequent, CAST(controls AS BIGINT) AS n_control, modal_form, CAST(coalesce(n_in_form, 0) AS BIGINT) AS n_in_form, round(tv, 6) AS total_variation, round(psi, 6) AS psi, round(chi2, 4) AS chi2
+        FROM whole_rows LEFT JOIN figures USING (src_table, field_name, load_id) LEFT JOIN moved USING (src_table, field_name, load_id) LEFT JOIN shaped USING (src_table, field_name, load_id) LEFT JOIN modal USING (src_table, field_name)"""
+
 
 SQL = {
     "p1_found": f"""
@@ -172,6 +239,8 @@ SQL = {
         UNION ALL SELECT src_table, field_name, 'null_rate', CAST(load_id AS VARCHAR) FROM both_of WHERE 5 * abs(f * na - fa * n) > n * na
         UNION ALL SELECT src_table, field_name, 'mean_length', CAST(load_id AS VARCHAR) FROM both_of WHERE src_table = 'tripmaster' AND f > 0 AND 4 * abs(c * fa - ca * f) > ca * f
         UNION ALL SELECT src_table, field_name, 'mix', CAST(load_id AS VARCHAR) FROM mix""",
+    "p1_profile": _p1_profile_sql(),
+    "p3_found": _p3_sql(),
     "p3_receipts": f"""WITH {_DOCS}, r AS ({_elements("docs", "'$'", "receipts", "'$'")})
         SELECT row_id, node_path, parent_path, json_extract_string(j, '$.receiptNumber') AS receiptNumber, json_extract_string(j, '$.form') AS form FROM r""",
     "p3_issuances": f"""WITH {_DOCS}, i AS ({_elements("docs", "'$'", "identifiers", "'$'")}), e AS ({_elements("i", "node_path", "issuances", "node_path")})

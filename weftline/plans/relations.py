@@ -221,26 +221,30 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
 _RES = """res AS (SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ids, min(o_orderkey) AS expected FROM orders GROUP BY 1)"""
 
 
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), F.col("o_orderkey").alias("k")))), lambda s: s["k"])
-    return load(spark, d, "orders").groupBy("o_custkey").agg(ids.alias("ids"), F.min("o_orderkey").alias("expected"))
+def _results(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(o_custkey, ids, expected): the k dearest orders of each customer in order, and the one looked for."""
+    orders = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    top = windows.top_n(orders, "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], k)
+    # at most k rows per customer
+    ids = top.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "o_orderkey"))), lambda s: s["o_orderkey"]).alias("ids"))
+    return orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("expected")).join(ids, "o_custkey")
 
 
 @R.query(f"WITH {_RES} SELECT o_custkey, CAST(nullif(list_position(ids[1:10], expected), 0) AS BIGINT) AS rank FROM res")
 def expected_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _results(spark, d).select("o_custkey", text.rank_of(F.col("expected"), F.slice("ids", 1, 10)).alias("rank"))
+    return _results(spark, d, 10).select("o_custkey", text.rank_of(F.col("expected"), F.col("ids")).alias("rank"))
 
 
 @R.query(f"WITH {_RES}, r AS (SELECT nullif(list_position(ids[1:10], expected), 0) AS rank FROM res) SELECT count(*) AS n, count(rank) AS found, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(rank), 6) AS mean_rank FROM r")
 def rank_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = _results(spark, d).select(text.rank_of(F.col("expected"), F.slice("ids", 1, 10)).alias("rank"))
+    r = _results(spark, d, 10).select(text.rank_of(F.col("expected"), F.col("ids")).alias("rank"))
     return r.agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("found"), F.round(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
 
 @R.query(f"""WITH {_RES} SELECT CASE WHEN list_position(ids[1:3], expected) = 1 THEN 'rank_1' WHEN list_position(ids[1:3], expected) > 1 THEN 'lower_rank' WHEN list_has_any(ids[1:3], [expected + 1, expected - 1]) THEN 'other_id' ELSE 'absent' END AS reason, count(*) AS n FROM res GROUP BY 1""")
 def miss_reasons(spark: SparkSession, d: str) -> DataFrame:
-    reason = linkage.miss_reason(F.col("expected"), F.slice("ids", 1, 3), F.array(F.col("expected") + 1, F.col("expected") - 1))
-    return _results(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    reason = linkage.miss_reason(F.col("expected"), F.col("ids"), F.array(F.col("expected") + 1, F.col("expected") - 1))
+    return _results(spark, d, 3).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("""WITH p AS (SELECT o_custkey AS k, o_orderpriority AS path, max(o_orderkey) AS top FROM orders GROUP BY 1, 2)
