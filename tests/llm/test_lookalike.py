@@ -66,3 +66,20 @@ def test_all_pairs_of_a_large_class(spark, monkeypatch):
     assert pairs(spark, texts) == want
     monkeypatch.setattr("weftline.llm.lookalike.PART_PAIRS", 2)  # salted
     assert pairs(spark, texts) == want
+
+
+def test_other_scripts_letter_by_letter():
+    from weftline.llm import lookalike as la
+
+    for letters in (la.GREEK, la.CYRILLIC, la.ARMENIAN, la.CHEROKEE):
+        for far, near in letters.items():
+            assert la.look(f"x{far}x") == la.look(f"x{near}x") and la.canonical(f"x{far}x") == la.canonical(f"x{near}x")
+
+
+def test_words_of_other_scripts_stay_in_theirs():
+    from weftline.llm.lookalike import canonical
+
+    for word in ("αλήθεια", "ρυθμός", "утро", "ветер", "հայերեն", "ᏣᎳᎩ"):
+        assert canonical(word) == canonical(canonical(word))
+        assert not any(c.isascii() and c.isalpha() for c in canonical(word))
+    assert canonical("ветер") == "ветер" and canonical("αλήθεια") == "αλήθεια"

@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters of other scripts that look like a Latin letter, and that letter.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTXaesijopcyxhdqwl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"))
-_LATIN = CYRILLIC | GREEK
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝӏҮүѴѵԚԜ", "ABESIJKMHOPCTXaesijopcyxhdqwlYyVvQW"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳαιρυ", "ABEZHIKMNOPTYXovcjaipu"))
+ARMENIAN = dict(zip("ՕՍՏԼօոսհզցյ", "OUSLonuhqgj"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+#: Each script with the ranges of its letters.
+_SCRIPTS = (("Ͱ-Ͽἀ-῿", GREEK), ("Ѐ-ԯ", CYRILLIC), ("԰-֏", ARMENIAN), ("Ꭰ-᏿ꭰ-ꮿ", CHEROKEE))
+_LATIN = {k: v for _, letters in _SCRIPTS for k, v in letters.items()}
 _FOREIGN = re.compile(f"[{''.join(_LATIN)}]")
-_BACK = {"CYRILLIC": str.maketrans({v: k for k, v in CYRILLIC.items()}), "GREEK": str.maketrans({v: k for k, v in GREEK.items()})}
-_OTHER = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
+#: Back to a script; of two letters for one Latin letter the first in the list.
+_BACK = [(re.compile(f"[{ranges}]"), str.maketrans({v: k for k, v in reversed(letters.items())})) for ranges, letters in _SCRIPTS]
+_OTHER = re.compile(f"[{''.join(ranges for ranges, _ in _SCRIPTS)}]")
 #: A word with its combining marks.
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
 _BLANKS = re.compile(r" {2,}")
@@ -127,7 +132,7 @@ def _own_script(text: str) -> str:
         other = _OTHER.search(word)
         if not other:
             return word
-        return word.translate(_BACK["GREEK" if other.group() < "Ѐ" or other.group() >= "ἀ" else "CYRILLIC"])
+        return word.translate(next(table for script, table in _BACK if script.match(other.group())))
 
     return unicodedata.normalize("NFC", _WORD.sub(back, unicodedata.normalize("NFD", text)))
 
