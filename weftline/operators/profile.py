@@ -366,7 +366,7 @@ def profile(values: DataFrame, free_text: Sequence[str] = (), keep: Callable[[Da
         F.round(F.col("n_chars").cast("double") / F.when(n_filled > 0, n_filled), 6).alias("mean_chars"),
         "n_most_frequent", "n_control", "modal_form", F.coalesce("n_in_form", F.lit(0)).alias("n_in_form"),
         F.round(F.col("tv_twice_scaled").cast("double") / 2 / n_filled / F.col("all_filled").cast("double"), 6).alias("total_variation"),
-        F.round("psi", 6).alias("psi"), F.round("chi2", 4).alias("chi2"),
+        F.round("psi", 6).alias("psi"), F.round("chi2", 6).alias("chi2"),
     )
 
 

@@ -211,7 +211,7 @@ def _p1_profile_sql() -> str:
                   FROM figures g JOIN filled n USING (src_table, field_name) JOIN overall o USING (src_table, field_name)
                   LEFT JOIN counted c ON c.src_table = g.src_table AND c.field_name = g.field_name AND c.load_id = g.load_id AND c.value = o.value GROUP BY ALL)
         SELECT src_table, field_name, load_id, n_rows, CAST(coalesce(f, 0) AS BIGINT) AS n_filled, round(1 - coalesce(f, 0) / n_rows, 6) AS null_rate, coalesce(d, 0) AS n_distinct, lo AS min_value, hi AS max_value, lo_c AS min_chars, hi_c AS max_chars,
-               round(chars / f, 6) AS mean_chars, top AS n_most_frequent, CAST(controls AS BIGINT) AS n_control, modal_form, CAST(coalesce(n_in_form, 0) AS BIGINT) AS n_in_form, round(tv, 6) AS total_variation, round(psi, 6) AS psi, round(chi2, 4) AS chi2
+               round(chars / f, 6) AS mean_chars, top AS n_most_frequent, CAST(controls AS BIGINT) AS n_control, modal_form, CAST(coalesce(n_in_form, 0) AS BIGINT) AS n_in_form, round(tv, 6) AS total_variation, round(psi, 6) AS psi, round(chi2, 6) AS chi2
         FROM whole_rows LEFT JOIN figures USING (src_table, field_name, load_id) LEFT JOIN moved USING (src_table, field_name, load_id) LEFT JOIN shaped USING (src_table, field_name, load_id) LEFT JOIN modal USING (src_table, field_name)"""
 
 
