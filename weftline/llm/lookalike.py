@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 #: Letters of other scripts that look like a Latin letter, and that letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝӏҮүѴѵԚԜ", "ABESIJKMHOPCTXaesijopcyxhdqwlYyVvQW"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳαιρυ", "ABEZHIKMNOPTYXovcjaipu"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳαιρυ", "ABEZHIKMNOPTYXovjaipu"))
 ARMENIAN = dict(zip("ՕՍՏԼօոսհզցյ", "OUSLonuhqgj"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
 #: Each script with the ranges of its letters.
