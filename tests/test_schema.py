@@ -43,3 +43,9 @@ def test_only_the_arrays_on_the_way_are_exploded(spark):
 def test_explode_without_such_a_field_or_array(spark):
     df = spark.createDataFrame([(1, (2,), [[3, 4], []])], "id int, s struct<score: int>, n array<array<int>>")
     assert rows(schema.explode_for(df, "missing")) == [(1, 2, [[3, 4], []])] == rows(schema.explode_for(df, "score"))
+
+
+def test_names_and_alternatives():
+    assert schema.canonical_names(["A b", "a-B", "", "--"]) == ["a_b", "a_b_2", "column", "column_2"]
+    kinds = {"long": ["id", "x", "y"], "short": ["id"]}
+    assert schema.first_schema(["id", "x", "y", "z"], kinds) == "long" and schema.first_schema(["id"], kinds) == "short" and schema.first_schema([], kinds) is None

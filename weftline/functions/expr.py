@@ -173,11 +173,6 @@ def sanitize(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
-def strip_html(c: Column) -> Column:
-    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]*>", " "), r"\s+", " "))
-
-
 def key_value(text: Column, key: str, default: str = "") -> Column:
     """Value of ``key=value`` or ``key: value`` in a log line."""
     hit = F.regexp_extract(text, rf"(?i)\b{key}\s*[=:]\s*\"?([^\s,\"}}]*)", 1)

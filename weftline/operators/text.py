@@ -189,40 +189,11 @@ def reconcile_blocks(lines: DataFrame, block: str, amount: str, subtotal: Column
     return out.withColumn("ok", F.coalesce(F.abs(F.col("total") - F.col("subtotal")) < tolerance, F.lit(False)))
 
 
-def fuzzy_best(df: DataFrame, left: str, candidates: str, cutoff: float) -> DataFrame:
-    """df with best and ratio: the candidate of an array column most like the text.
-
-    The ratio is that of matching blocks (Ratcliff and Obershelp); candidates should come from a
-    blocking step. Below the cutoff both are NULL; ties go to the candidate that sorts first.
-    """
-    schema = T.StructType([T.StructField("best", T.StringType()), T.StructField("ratio", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def best(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        out, known = [], {}
-        for text, options in zip(texts, lists):
-            top = (None, None)
-            for option in sorted(o for o in (options if options is not None else []) if o is not None):
-                if text is None:
-                    break
-                key = (text, option)
-                if key not in known:
-                    known[key] = SequenceMatcher(None, text, option).ratio()
-                r = known[key]
-                if r >= cutoff and (top[1] is None or r > top[1]):
-                    top = (option, r)
-            out.append(top)
-        return pd.DataFrame(out, columns=["best", "ratio"])
-
-    return df.withColumn("__b", best.asNondeterministic()(F.col(left), F.col(candidates))).select(*df.columns, "__b.best", "__b.ratio")
-
-
 def fuzzy_best_of(df: DataFrame, left: str, options: Sequence[str], cutoff: float) -> DataFrame:
-    """As ``fuzzy_best``, with one list of candidates for all rows, which travels with each task.
+    """df with best and ratio: the option most like the text. The list of options travels with each task.
 
-    No candidate is lost: only those are passed over whose letters in common, in any order, are too few
+    The ratio is that of matching blocks (Ratcliff and Obershelp). Below the cutoff both are NULL; ties go to the option that
+    sorts first. No candidate is lost: only those are passed over whose letters in common, in any order, are too few
     for the cutoff or the best ratio so far.
     """
     schema = T.StructType([T.StructField("best", T.StringType()), T.StructField("ratio", T.DoubleType())])

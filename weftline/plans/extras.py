@@ -108,7 +108,13 @@ def explode_arrays(spark: SparkSession, d: str) -> DataFrame:
     return schema.explode_all(lists)
 
 
-@R.query("SELECT 'party_id' AS logical, 'party_id' AS physical UNION ALL SELECT 'birth', 'dob' UNION ALL SELECT 'licence', 'driversLicense' UNION ALL SELECT 'eye_colour', NULL UNION ALL SELECT 'nine_digits', 'fin'")
+_NINE = "regexp_matches({c}, '^\\s*\\d{{9,10}}\\s*$')"
+
+
+@R.query(f"""WITH s AS (SELECT {", ".join(f"avg(CAST({_NINE.format(c=c)} AS INTEGER)) AS {c}" for c in ("cob", "fin", "lastName"))} FROM rpt_bronze_party),
+            u AS (SELECT unnest(['cob', 'fin', 'lastName']) AS physical, unnest([cob, fin, lastName]) AS share FROM s)
+            SELECT 'party_id' AS logical, 'party_id' AS physical UNION ALL SELECT 'birth', 'dob' UNION ALL SELECT 'licence', 'driversLicense' UNION ALL SELECT 'eye_colour', NULL
+            UNION ALL SELECT 'nine_digits', (SELECT physical FROM u WHERE share > 0 ORDER BY share DESC LIMIT 1)""")
 def column_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Columns found by name, and one by what its values look like."""
     df = load(spark, d, "rpt_bronze_party")
@@ -141,11 +147,18 @@ def log_records(spark: SparkSession, d: str) -> DataFrame:
     return text.log_records(docs, "text", "(?:ERROR|WARN|baseline) ").groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
 
 
-@R.query("SELECT 'weft_scan_orders' AS table_name, 'o_orderdate' AS column_name")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "rpt_bronze_party", "mv_es_party_identity", "tripmaster")
+
+
+@R.query(f"""SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in _TABLES)}) AND regexp_matches(lower(column_name), 'date|_at$|_id$')""")
 def metadata_scan(spark: SparkSession, d: str) -> DataFrame:
-    load(spark, d, "orders").createOrReplaceTempView("weft_scan_orders")
-    rows = [(t, c) for t, c, _ in io.find_columns(spark, "orderdate") if t == "weft_scan_orders"]
-    spark.catalog.dropTempView("weft_scan_orders")
+    """Columns of the catalog by what their names hold, over all tables."""
+    views = {f"weft_scan_{t}": t for t in _TABLES}
+    for view, t in views.items():
+        load(spark, d, t).createOrReplaceTempView(view)
+    rows = [(views[v], c) for v, c, _ in io.find_columns(spark, "date|_at$|_id$") if v in views]
+    for view in views:
+        spark.catalog.dropTempView(view)
     return spark.createDataFrame(rows, "table_name string, column_name string")
 
 

@@ -373,6 +373,19 @@ def mask_numbers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "rpt_bronze_party").select("record_id", expr.mask_digits(F.col("ssn"), 0).alias("hidden"), expr.mask_digits(F.col("ssn")).alias("masked"))
 
 
+@R.query("""SELECT record_id, regexp_replace(concat_ws(' ', firstName, middleName, lastName), '(\\p{L})\\p{L}+', '\\1.', 'g') AS masked FROM rpt_bronze_party""")
+def mask_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names as initials."""
+    return load(spark, d, "rpt_bronze_party").select("record_id", expr.mask_name(F.concat_ws(" ", "firstName", "middleName", "lastName")).alias("masked"))
+
+
+@R.query("SELECT row_id, round((epoch_us(load_ts) - epoch_us(RequestDateTime)) / 6e7, 4) AS minutes FROM tripmaster")
+def elapsed_between(spark: SparkSession, d: str) -> DataFrame:
+    """Minutes from the request to its load."""
+    at = lambda c: F.col(c).cast("timestamp")
+    return load(spark, d, "tripmaster").select("row_id", F.round(expr.minutes_between(at("RequestDateTime"), at("load_ts")), 4).alias("minutes"))
+
+
 @R.query("""SELECT lastName AS name, regexp_replace(regexp_replace(regexp_replace(strip_accents(lastName), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n FROM rpt_bronze_party GROUP BY 1, 2""")
 def name_shapes(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "rpt_bronze_party")
