@@ -149,15 +149,25 @@ def _elements(holder: str, path: str, key: str, parent: str) -> str:
         FROM (SELECT *, json_extract(j, '$.{key}') AS l FROM {holder}))) WHERE json_type(x) = 'OBJECT'"""
 
 
-def _p3_sql() -> str:
-    """Elements of lists by two walks: one finds the places that hold lists of objects, one writes the paths."""
+def _p3_sql(whole: bool) -> str:
+    """Elements of lists by two walks: one finds the places that hold lists of objects, one writes the paths. whole: all
+    objects and scalars in lists, with payloads."""
     inner = "json_extract_string(s, '$')"
     unwrap = f"CASE WHEN json_type(s) = 'VARCHAR' AND {strict_sql(inner)} THEN {inner} ELSE s END"
-    kids = "unnest(CASE json_type(j) WHEN 'OBJECT' THEN json_keys(j) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k"
-    child = "CASE WHEN json_type(j) = 'OBJECT' THEN json_extract(j, '$.\"' || k || '\"') ELSE json_extract(j, '$[' || k || ']') END AS x"
+    keys = "CASE json_type(j) WHEN 'OBJECT' THEN json_keys(j) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END"
+    at = "json_extract(j, '$.\"' || k || '\"')"
+    kids, child = f"unnest({keys}) AS k", f"CASE WHEN json_type(j) = 'OBJECT' THEN {at} ELSE json_extract(j, '$[' || k || ']') END AS x"
     keyed_by = "json_type(j) = 'OBJECT'"
     tag = f"CASE WHEN {keyed_by} AND k <> last_key THEN (CASE WHEN tag = '' THEN k ELSE tag || '.' || k END) ELSE tag END"
     last = f"CASE WHEN {keyed_by} THEN k ELSE last_key END"
+    scalars = "list_filter(json_keys(j), lambda k: json_type(json_extract(j, '$.\"' || k || '\"')) NOT IN ('OBJECT', 'ARRAY'))"
+    payload = f"""CASE WHEN json_type(j) = 'OBJECT' THEN '{{' || array_to_string(list_transform({scalars}, lambda k: '"' || k || '":' || CAST({at} AS VARCHAR)), ',') || '}}' ELSE '{{"value":' || CAST(j AS VARCHAR) || '}}' END"""
+    also = " OR (NOT is_key AND json_type(x) NOT IN ('OBJECT', 'ARRAY'))" if whole else ""
+    kind = "CASE WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY') THEN 'value' WHEN root THEN 'root' WHEN element THEN 'element' ELSE 'object' END"
+    out = (
+        f"SELECT src_table, row_id, tag || CASE WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY') AND NOT root THEN '[]' ELSE '' END AS tag, {kind} AS kind, path AS node_path, parent AS parent_path, {payload} AS payload FROM nodes WHERE json_type(j) <> 'ARRAY'"
+        if whole else "SELECT src_table, row_id, path AS node_path, parent AS parent_path FROM nodes WHERE element"
+    )
     return f"""WITH RECURSIVE t0 AS (SELECT 'elasticdump_parties' AS src_table, row_id, _source AS s FROM elasticdump_parties WHERE {strict_sql("_source")}
             UNION ALL SELECT 'tripmaster', row_id, LosQuestions FROM tripmaster WHERE {strict_sql("LosQuestions")}),
         docs AS (SELECT src_table, row_id, CAST({unwrap} AS JSON) AS j FROM (SELECT src_table, row_id, {unwrap} AS s FROM t0)),
@@ -165,14 +175,14 @@ def _p3_sql() -> str:
             UNION ALL SELECT src_table, row_id, x, {tag}, {last}, CASE WHEN {keyed_by} THEN 'key' ELSE 'list' END
             FROM (SELECT *, {child} FROM (SELECT *, {kids} FROM walk)) WHERE json_type(x) IN ('OBJECT', 'ARRAY')),
         tags AS (SELECT DISTINCT src_table, tag FROM walk WHERE place = 'list' AND json_type(j) = 'OBJECT'),
-        nodes AS (SELECT src_table, row_id, j, '' AS tag, '' AS last_key, '$' AS path, '$' AS parent, '$' AS holder, false AS element FROM docs
+        nodes AS (SELECT src_table, row_id, j, '' AS tag, '' AS last_key, '$' AS path, '$' AS parent, '$' AS holder, false AS element, true AS root FROM docs
             UNION ALL SELECT src_table, row_id, x, new_tag, new_last, CASE WHEN element AND is_key THEN p || '[0]' ELSE p END, holder,
-                             CASE WHEN element AND is_key THEN p || '[0]' WHEN element THEN p ELSE holder END, element
+                             CASE WHEN element AND is_key THEN p || '[0]' WHEN element THEN p ELSE holder END, element, false
             FROM (SELECT c.*, p, json_type(x) = 'OBJECT' AND (NOT is_key OR t.tag IS NOT NULL) AS element
                   FROM (SELECT src_table, row_id, x, holder, {keyed_by} AS is_key, {tag} AS new_tag, {last} AS new_last, path || CASE WHEN {keyed_by} THEN '.' || k ELSE '[' || k || ']' END AS p
-                        FROM (SELECT *, {child} FROM (SELECT *, {kids} FROM nodes)) WHERE json_type(x) IN ('OBJECT', 'ARRAY')) c
-                  LEFT JOIN tags t ON t.src_table = c.src_table AND t.tag = c.new_tag))
-        SELECT src_table, row_id, path AS node_path, parent AS parent_path FROM nodes WHERE element"""
+                        FROM (SELECT *, {child} FROM (SELECT *, {kids} FROM nodes))) c
+                  LEFT JOIN tags t ON t.src_table = c.src_table AND t.tag = c.new_tag WHERE json_type(x) IN ('OBJECT', 'ARRAY'){also}))
+        {out}"""
 
 
 def _p1_profile_sql() -> str:
@@ -240,7 +250,8 @@ SQL = {
         UNION ALL SELECT src_table, field_name, 'mean_length', CAST(load_id AS VARCHAR) FROM both_of WHERE src_table = 'tripmaster' AND f > 0 AND 4 * abs(c * fa - ca * f) > ca * f
         UNION ALL SELECT src_table, field_name, 'mix', CAST(load_id AS VARCHAR) FROM mix""",
     "p1_profile": _p1_profile_sql(),
-    "p3_found": _p3_sql(),
+    "p3_found": _p3_sql(False),
+    "p3_tables": _p3_sql(True),
     "p3_receipts": f"""WITH {_DOCS}, r AS ({_elements("docs", "'$'", "receipts", "'$'")})
         SELECT row_id, node_path, parent_path, json_extract_string(j, '$.receiptNumber') AS receiptNumber, json_extract_string(j, '$.form') AS form FROM r""",
     "p3_issuances": f"""WITH {_DOCS}, i AS ({_elements("docs", "'$'", "identifiers", "'$'")}), e AS ({_elements("i", "node_path", "issuances", "node_path")})
