@@ -114,5 +114,8 @@ def test_rare_names_are_known_and_common_words_marked(spark):
 
 
 def test_contexts_vote_by_seeds_and_by_variety():
-    sums = [("name", 1, 1, 500, 200, 8), ("name", 1, 2, 500, 0, 400), ("name", 1, 3, 500, 0, 9), ("name", 1, 4, 3, 0, 3), ("phone", 1, 5, 300, 280, 300), ("phone", 1, 6, 300, 0, 300)]
-    assert pii.context_votes(sums) == {("name", 1, 1): "+", ("name", 1, 2): "-", ("name", 1, 3): "+", ("phone", 1, 5): "+", ("phone", 1, 6): "-"}
+    sums = [
+        ("name", 1, 1, 500, 200, 500, 8), ("name", 1, 2, 500, 0, 500, 400), ("name", 1, 3, 500, 0, 400, 9), ("name", 1, 4, 3, 0, 3, 3), ("name", 1, 7, 500, 0, 100, 1),
+        ("phone", 1, 5, 300, 280, 0, 0), ("phone", 1, 6, 300, 0, 0, 0),
+    ]
+    assert pii.context_votes(sums) == {("name", 1, 1): "+", ("name", 1, 2): "-", ("name", 1, 3): "+", ("name", 1, 7): "-", ("phone", 1, 5): "+", ("phone", 1, 6): "-"}

@@ -143,7 +143,7 @@ _NOT_NAME_LEFT = re.compile(rf"(?:\b(?:in|at|near|toward|towards|into|via|hx|h/o
 #: Words that a person's name follows, whatever the name; and those that it often follows.
 _ROLE_AT = re.compile(rf"\b{_ROLE} ?[:=]? *(?=\w)", _I)
 _PERSON_AT = re.compile(rf"\b(?:{_TITLE}\.?|poa|nok|next of kin|emergency contact|escort|witness|{_REL}(?: is\b)?|signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named) ?[:=]? *(?=\w)(?<!\w)", _I)
-_PARTICLES = {"van", "der", "den", "de", "la", "del", "von", "di", "da", "le", "el", "al", "bin", "ibn", "san", "st"}
+_PARTICLES = {"van", "ter", "ten", "der", "den", "de", "la", "del", "von", "di", "da", "le", "el", "al", "bin", "ibn", "san", "st"}
 _TITLES = re.compile(rf"\b{_TITLE}\.?\s*$", _I)
 _THINGS = re.compile(rf"{_THING}\Z", _I)
 
@@ -152,7 +152,7 @@ LABELERS = {
     "phone": ("separators", "exchange", "words before", "words behind", "no number of things", "name before"),
     "id_number": ("format", "words before", "plausible length", "no number of things", "holder before"),
     "address": ("suffix, box or words of residing", "street name", "words before", "words behind", "box"),
-    "name": ("given name", "surname", "two parts", "words before", "words behind", "no place or thing", "capital", "no common word"),
+    "name": ("given name", "surname", "two parts", "words before", "words behind", "no place or thing", "capital", "no common word", "some support"),
 }
 #: Two learned labelers follow those of each kind.
 LEARNED = ("context left", "context right")
@@ -306,20 +306,25 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         """End index of a run of up to three words that may be a name without a known part, or i."""
         a, b, w, _ = tokens[i]
         announced = a in persons or (a in roles and _NAME_RIGHT.match(t, b))
-        if w == "" or not (announced or (caps and t[a].isupper() and capital(i))):
+        if w == "":
             return i
         j = i
-        if caps:
-            while j < n and j - i < 3 and capital(j) and (announced or not tokens[j][3] & COMMON) and (j == i or gap(j - 1) == " "):
+        if announced and caps:
+            while j < n and j - i < 3 and capital(j) and (j == i or gap(j - 1) == " "):
                 j += 1
-        else:
-            while j < n and j - i < 2 and len(tokens[j][2]) > 2 and not tokens[j][3] & COMMON and not _NO_PERSON.match(tokens[j][2]) and (j == i or gap(j - 1) == " "):
-                j += 1
-        return j if announced or j - i > 1 else i
+            return j
+        # else words that are neither known nor common: whether they are names is left to what is around them
+        while j < n and j - i < 3 and odd(j) and (j == i or gap(j - 1) == " "):
+            j += 1
+        return j
+
+    def odd(i: int) -> bool:
+        a, b, w, bits = tokens[i]
+        return len(w) > 2 and not bits and (not caps or (t[a].isupper() and not t[a:b].isupper())) and not _NO_PERSON.match(w)
 
     def may_begin(i: int) -> bool:
         a, b, w, bits = tokens[i]
-        return bool(bits & (GIVEN | SUR)) or b - a == 1 or a in persons or a in roles or (caps and t[a].isupper()) or w in _PARTICLES
+        return bool(bits & (GIVEN | SUR)) or b - a == 1 or a in persons or a in roles or w in _PARTICLES or (not bits and (not caps or t[a].isupper()))
 
     begins = [i for i in range(n) if may_begin(i)]
     i = -1
@@ -370,7 +375,7 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         a, b = tokens[i][0], tokens[j - 1][1]
         left, first = t[max(0, a - 40) : a], t[a]
         not_left = bool(_NOT_NAME_LEFT.search(left)) and not _TITLES.search(left)
-        thing = any(_THINGS.match(tokens[x][2]) for x in range(i, j))
+        thing = any(_THINGS.match(tokens[x][2]) and tokens[x][2] not in _PARTICLES for x in range(i, j))
         not_right, right = thing or bool(_NOT_NAME_RIGHT.match(t, b)), bool(_NAME_RIGHT.match(t, b))
         common = all(tokens[x][3] & COMMON for x in range(i, j))
         yield "name", a, b, (
@@ -379,6 +384,7 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
             + _vote(False, (not_left and not right and parts == 1) or not_right)
             + _vote(caps and first.isupper())
             + _vote(False, common)
+            + _vote(False, not (has_given or has_sur) and a not in persons and a not in roles and not (caps and parts > 1))
         )
         i = j
 
@@ -460,32 +466,33 @@ def _interval(hits: int, n: int) -> tuple[float, float]:
 ONE_NAME = 0.1
 
 
-def context_votes(sums: Iterable[tuple[str, int, int, int, int, int]]) -> dict[tuple[str, int, int], str]:
-    """The vote of each context from (kind, slot, bucket, candidates, seeds, candidates of the most frequent text).
+def context_votes(sums: Iterable[tuple[str, int, int, int, int, int, int]]) -> dict[tuple[str, int, int], str]:
+    """The vote of each context from (kind, slot, bucket, candidates, seeds, candidates with a known name, those of the most frequent one).
 
-    Yes where the share of seeds is surely no smaller than a fifth of the kind's, and where many different names occur, none of them
-    often: a place or thing that shares its name with persons keeps coming back. No where both are surely
+    Yes where the share of seeds is surely no smaller than a fifth of the kind's, and where most candidates are known names, many
+    different ones, none of them often: a place or thing that shares its name with persons keeps coming back. No where both are surely
     not so. All by the 95 % intervals of shares, so rare contexts say nothing. Numbers and addresses hardly ever repeat, so for
     them only seeds count.
     """
     rows = list(sums)
     whole: dict[str, list[int]] = {}
-    for kind, slot, _, n, seeds, _ in rows:
+    for kind, slot, _, n, seeds, *_ in rows:
         if slot == 1:
             w = whole.setdefault(kind, [0, 0])
             w[0] += n
             w[1] += seeds
     out = {}
-    for kind, slot, bucket, n, seeds, top in rows:
+    for kind, slot, bucket, n, seeds, named, top in rows:
         total, all_seeds = whole.get(kind, (0, 0))
         base = all_seeds / total if total else 0.0
         if bucket < 0 or base == 0:
             continue
         low, high = _interval(seeds, n)
-        few, many = _interval(top, n)
-        if low >= base / 5 or (kind == "name" and many < ONE_NAME):
+        few, many = _interval(top, named) if named else (1.0, 1.0)
+        varied = kind == "name" and 2 * named >= n and many < ONE_NAME
+        if low >= base / 5 or varied:
             out[kind, slot, bucket] = "+"
-        elif high < base / 5 and (kind != "name" or few > ONE_NAME):
+        elif high < base / 5 and (kind != "name" or few > ONE_NAME or 2 * named < n):
             out[kind, slot, bucket] = "-"
     return out
 
@@ -493,11 +500,15 @@ def context_votes(sums: Iterable[tuple[str, int, int, int, int, int]]) -> dict[t
 def with_contexts(kind: str, votes: str, ctx: list[int], known: Mapping) -> str:
     """votes and those of the learned labelers: two pieces of context before one.
 
-    A number and a word without anything of an address are no address outside the contexts of addresses.
+    A number and a word without anything of an address are no address outside the contexts of addresses, and words
+    of which nothing is known no name unless names stand on both sides.
     """
     both = [known.get((kind, wide, ctx[wide])) or known.get((kind, near, ctx[near])) or "0" for near, wide in ((0, 1), (2, 3))]
     if kind == "address" and votes[0] == "0" and "+" not in both:
         votes = "-" + votes[1:]
+    # unknown words: a name only with both sides, or as two capitalised words or behind a word for persons with neither side against it
+    if kind == "name" and votes[:2] == "00" and (both != ["+", "+"] if votes[8] == "-" else "-" in both):
+        votes = votes[:5] + "-" + votes[6:]
     return votes + "".join(both)
 
 
@@ -696,7 +707,7 @@ def find_spans(texts: Texts) -> DataFrame:
                 for row, text, g in zip(ids, b.column(c).to_pylist(), known):
                     if text and (found := candidates(text, g)):
                         rows.append(row)
-                        spans.append([{"kind": k, "a": x, "b": y, "votes": v, "seed": _seed(k, v), "text": zlib.crc32(text[x:y].lower().encode()) if k == "name" else 0, "ctx": e} for (k, x, y, v), e in zip(found, contexts(text, found))])
+                        spans.append([{"kind": k, "a": x, "b": y, "votes": v, "seed": _seed(k, v), "text": zlib.crc32(text[x:y].lower().encode()) if k == "name" and "+" in v[:2] else -1, "ctx": e} for (k, x, y, v), e in zip(found, contexts(text, found))])
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([name] * len(rows), pa.string()), pa.array(spans, _SPAN_TYPE)], names=["row_id", "field_name", "spans"])
 
     return texts.df.select(F.col(texts.id_col).cast("long").alias("row_id"), *fields, "__known").mapInArrow(run, _SPANS)
@@ -710,7 +721,7 @@ def _span_rows(b: pa.RecordBatch) -> Iterator[tuple]:
 def fit_on(spans: DataFrame) -> Model:
     each = spans.select(F.explode("spans").alias("s")).select("s.kind", F.col("s.seed").cast("int").alias("seed"), "s.text", F.posexplode("s.ctx").alias("slot", "bucket"))
     by_text = each.filter("bucket >= 0").groupBy("kind", "slot", "bucket", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds"))
-    sums = by_text.groupBy("kind", "slot", "bucket").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"), F.max("n").alias("top"))
+    sums = by_text.groupBy("kind", "slot", "bucket").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"), F.sum(F.when(F.col("text") >= 0, F.col("n")).otherwise(0)).alias("named"), F.max(F.when(F.col("text") >= 0, F.col("n")).otherwise(0)).alias("top"))
     known = context_votes(tuple(r) for r in sums.collect())  # at most 2 ** CONTEXT_BITS rows per kind and slot
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
