@@ -172,8 +172,8 @@ SQL = {
         votes AS (SELECT identity_id, field, norm, value, coalesce(updated_at, TIMESTAMP '0001-01-01') AS upd,
                   {1_000_000 * survivor.HALF_AGE} // ((least(trust_rank, 99) + 1) * (CASE WHEN updated_at IS NULL THEN {survivor.UNKNOWN_AGE} ELSE greatest(date_diff('day', CAST(updated_at AS DATE), day), 0) END + {survivor.HALF_AGE})) AS w
                   FROM long_rows JOIN member USING (party_id), last_day WHERE norm IS NOT NULL),
-        vals AS (SELECT identity_id, field, norm, sum(w) AS w, count(*) AS n, max(ROW(upd, value)) AS s FROM votes GROUP BY ALL),
-        won AS (SELECT identity_id, field, s[2] AS value FROM vals
+        vals AS (SELECT identity_id, field, norm, sum(w) AS w, count(*) AS n, max(ROW(upd, CASE WHEN value = norm THEN '' ELSE value END)) AS s FROM votes GROUP BY ALL),
+        won AS (SELECT identity_id, field, CASE WHEN s[2] = '' THEN norm ELSE s[2] END AS value FROM vals
                 QUALIFY row_number() OVER (PARTITION BY identity_id, field ORDER BY w DESC, n DESC, norm DESC) = 1)
         SELECT identity_id, """
     + ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in P5_FIELDS)
