@@ -84,7 +84,7 @@ _NUMBERED = (
 )
 _COUNTED = r"(?:day|hour|hr|min|minute|week|month|year|lb|kg|mg|ml|cm|mm|ft|step|stair|person|pt|pound|inch|unit|lead|point|time|mile|bed|room|liter|litre|l|lpm|percent|x)s?"
 _NO_PERSON = re.compile(
-    rf"(?:{_REL}|{_ROLE}|{_VERB}|and|or|the|a|an|at|on|in|to|of|for|with|not|no|yes|none|unknown|staff|facility|office|same|present|home|phone|tel|fax|cell|both|her|his|their|he|she|they|who|this|that|from|by|per|ok|side|left|right|if|when|then|also|please|name|test|mrn|ssn|dob|order|ordering|pending|scheduled"
+    rf"(?:{_REL}|{_ROLE}|{_VERB}|and|or|the|a|an|at|on|in|to|of|for|with|not|no|yes|none|unknown|staff|facility|office|same|present|home|phone|tel|fax|cell|both|her|his|their|he|she|they|who|this|that|from|by|per|ok|side|left|right|if|when|then|also|please|name|test|mrn|ssn|dob|order|ordering|pending|scheduled|care|goes|going|went|seen|done|need|have|were|been|are|its|into|out|down|after|before|during|until|only|own|via|due|new|old|all|any|each|some|more|less|than|now|here|there|where|which|what|was|you|your|our|their|them|him|home"
     rf"|{_TITLE}|{_THING}|january|february|march|april|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\Z",
     _I,
 )
@@ -265,12 +265,17 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
     inside = sorted((a, b) for kind, a, b, v in others if (kind == "email" and v[1] == "+") or (kind == "address" and "-" not in v))
     tokens, at = [], 0
     known = gaz.words
+    low = t.replace("’", "'").lower()
+    same = len(low) == len(t)
     for m in _TOKEN.finditer(t):
-        while at < len(inside) and inside[at][1] <= m.start():
-            at += 1
-        apart = at < len(inside) and inside[at][0] <= m.start()
-        w = "" if apart else m.group().lower().replace("’", "'")
-        tokens.append((m.start(), m.end(), w, known.get(w, 0)))
+        a, b = m.span()
+        w = low[a:b] if same else t[a:b].replace("’", "'").lower()
+        if inside:
+            while at < len(inside) and inside[at][1] <= a:
+                at += 1
+            if at < len(inside) and inside[at][0] <= a:
+                w = ""
+        tokens.append((a, b, w, known.get(w, 0)))
     n = len(tokens)
     caps = t != t.upper() and t != t.lower()
 
@@ -373,6 +378,11 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
                 bits |= tokens[j][3] & (GIVEN | GIVEN_WELL)
                 j, has_given, parts = k, True, parts + 1
         a, b = tokens[i][0], tokens[j - 1][1]
+        unknown = not (has_given or has_sur)
+        bare = unknown and a not in persons and a not in roles and not (caps and parts > 1)
+        if bare and _NOT_NAME_RIGHT.match(t, b):
+            i = j
+            continue
         left, first = t[max(0, a - 40) : a], t[a]
         not_left = bool(_NOT_NAME_LEFT.search(left)) and not _TITLES.search(left)
         thing = any(_THINGS.match(tokens[x][2]) and tokens[x][2] not in _PARTICLES for x in range(i, j))
@@ -384,7 +394,7 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
             + _vote(False, (not_left and not right and parts == 1) or not_right)
             + _vote(caps and first.isupper())
             + _vote(False, common)
-            + _vote(False, not (has_given or has_sur) and a not in persons and a not in roles and not (caps and parts > 1))
+            + _vote(False, bare)
         )
         i = j
 
@@ -632,7 +642,6 @@ _SPANS = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("field_name", T.StringType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, t) for n, _, t in _SPAN]))),
 ])
-_SPAN_TYPE = pa.list_(pa.struct([(n, t) for n, t, _ in _SPAN]))
 
 #: As _TOKEN, away from mail addresses and codes.
 _JVM_TOKEN = r"(?<![\p{L}\p{N}_@.+])\p{L}+(?:['’-]\p{L}+)*(?![\p{L}\p{N}_@]|\.\p{L})"
@@ -703,19 +712,33 @@ def find_spans(texts: Texts) -> DataFrame:
         for b in batches:
             ids, known = b.column(0).to_pylist(), list(_gazetteers(gaz, b.column(len(fields) + 1)))
             for c, name in enumerate(fields, 1):
-                rows, spans = [], []
+                rows, spans, ends = [], [], [0]
                 for row, text, g in zip(ids, b.column(c).to_pylist(), known):
                     if text and (found := candidates(text, g)):
                         rows.append(row)
-                        spans.append([{"kind": k, "a": x, "b": y, "votes": v, "seed": _seed(k, v), "text": zlib.crc32(text[x:y].lower().encode()) if k == "name" and "+" in v[:2] else -1, "ctx": e} for (k, x, y, v), e in zip(found, contexts(text, found))])
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([name] * len(rows), pa.string()), pa.array(spans, _SPAN_TYPE)], names=["row_id", "field_name", "spans"])
+                        spans += [
+                            (k, x, y, v, _seed(k, v), zlib.crc32(text[x:y].lower().encode()) if k == "name" and "+" in v[:2] else -1, e)
+                            for (k, x, y, v), e in zip(found, contexts(text, found))
+                        ]
+                        ends.append(len(spans))
+                columns = list(zip(*spans)) or [[] for _ in _SPAN]
+                inner = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(columns, _SPAN)], names=[n for n, *_ in _SPAN])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([name] * len(rows), pa.string()), lists], names=["row_id", "field_name", "spans"])
 
     return texts.df.select(F.col(texts.id_col).cast("long").alias("row_id"), *fields, "__known").mapInArrow(run, _SPANS)
 
 
 def _span_rows(b: pa.RecordBatch) -> Iterator[tuple]:
-    for row, name, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-        yield row, name, [(s["kind"], s["a"], s["b"], s["votes"], s["ctx"]) for s in spans]
+    lists = b.column(2)
+    if not len(lists):
+        return
+    first, inner = lists.offsets[0].as_py(), lists.flatten()
+    ends = [x - first for x in lists.offsets.to_pylist()]
+    kind, a, z, votes = (inner.field(n).to_pylist() for n in ("kind", "a", "b", "votes"))
+    ctx = inner.field("ctx").flatten().to_pylist()
+    for i, (row, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        yield row, name, [(kind[j], a[j], z[j], votes[j], ctx[4 * j : 4 * j + 4]) for j in range(ends[i], ends[i + 1])]
 
 
 def fit_on(spans: DataFrame) -> Model:
