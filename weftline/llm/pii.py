@@ -130,7 +130,7 @@ _ID_LEFT = re.compile(
     r"(?:\bss[n#]?|\bsocial(?: security)?|\bmrn?|medical record|\bmember(?:ship)?|\bmbr|\bsubscriber|\bins(?:urance)?|medicaid|medicare|\balien|\bfile|\bid|policy|\bchart|\bssn is|\bmrn is|beneficiary|registration)(?: id)?\s*(?:no|number|num|nbr)?(?: is)?[.:# ]*$", _I
 )
 _ADDRESS_LEFT = re.compile(r"\b(?:lives? (?:at|on|in)|living at|resid(?:es|ing) at|stay(?:s|ing) (?:at|with)|moved (?:to|from)|address|addr|home|house|residence|mail(?:ed)? to|deliver(?:y)? to|located at|pick(?:ed)? ?up(?: at| from)?|drop(?:ped)?(?: off)?(?: at)?|at|to|from)(?: is)?\s*[:=,]?\s*$", _I)
-_GRADED = re.compile(r"\b(?:stage|grade|class|level|score|scale|peep|pain|type|phase) *\Z", _I)
+_GRADED = re.compile(r"\b(?:apt|apartment|ste|suite|stage|grade|class|level|score|scale|peep|pain|type|phase) *\Z", _I)
 _RESIDES = re.compile(r"\b(?:lives? (?:at|on|in)|living at|resid(?:es|ing) at|stay(?:s|ing) at|address|addr)(?: is)?\s*[:=,]?\s*$", _I)
 _ADDRESS_RIGHT = re.compile(r"\.?,?\s*(?:apt|apartment|unit|suite|ste|fl|floor|bldg|#\s?\d|[A-Z]{2} \d{5}|\d{5}\b|lot \d)", _I)
 _NOT_STREET = re.compile(
@@ -141,8 +141,9 @@ _NAME_RIGHT = re.compile(rf"(?:['’]s\b)?\"?(?:,?\s*{_CREDENTIAL}\b|\s*\(?\s?(?
 _NOT_NAME_RIGHT = re.compile(rf"(?:['’]s)?[ \t]+{_THING}\b", _I)
 _NOT_NAME_LEFT = re.compile(rf"(?:\b(?:in|at|near|toward|towards|into|via|hx|h/o|history of|s/p|dx|r/o|stage|use|{_SUFFIX}\.?,)|\d,?)\s*$", _I)
 #: Words that a person's name follows, whatever the name; and those that it often follows.
-_ROLE_AT = re.compile(rf"\b{_ROLE} ?[:=]? *(?=\w)", _I)
-_PERSON_AT = re.compile(rf"\b(?:{_TITLE}\.?|poa|nok|next of kin|emergency contact|escort|witness|{_REL}(?: is\b)?|signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named) ?[:=]? *(?=\w)(?<!\w)", _I)
+_ANNOUNCED = re.compile(
+    rf"\b(?:(?P<person>{_TITLE}\.?|poa|nok|next of kin|emergency contact|escort|witness|{_REL}(?: is\b)?|signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named)|{_ROLE}) ?[:=]? *(?=\w)(?<!\w)", _I
+)
 _PARTICLES = {"van", "ter", "ten", "der", "den", "de", "la", "del", "von", "di", "da", "le", "el", "al", "bin", "ibn", "san", "st"}
 _TITLES = re.compile(rf"\b{_TITLE}\.?\s*$", _I)
 _THINGS = re.compile(rf"{_THING}\Z", _I)
@@ -305,7 +306,9 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         return caps and len(w) > 1 and t[a].isupper() and not t[a:b].isupper() and not _NO_PERSON.match(w)
 
     # where a word that a person's name follows ends
-    persons, roles = {m.end() for m in _PERSON_AT.finditer(t)}, {m.end() for m in _ROLE_AT.finditer(t)}
+    persons, roles = set(), set()
+    for m in _ANNOUNCED.finditer(t):
+        (roles if m.group("person") is None else persons).add(m.end())
 
     def unknown_run(i: int) -> int:
         """End index of a run of up to three words that may be a name without a known part, or i."""
@@ -510,11 +513,11 @@ def context_votes(sums: Iterable[tuple[str, int, int, int, int, int, int]]) -> d
 def with_contexts(kind: str, votes: str, ctx: list[int], known: Mapping) -> str:
     """votes and those of the learned labelers: two pieces of context before one.
 
-    A number and a word without anything of an address are no address outside the contexts of addresses, and words
+    A number and a word without anything of an address are no address outside the wider contexts of addresses, and words
     of which nothing is known no name unless names stand on both sides.
     """
     both = [known.get((kind, wide, ctx[wide])) or known.get((kind, near, ctx[near])) or "0" for near, wide in ((0, 1), (2, 3))]
-    if kind == "address" and votes[0] == "0" and "+" not in both:
+    if kind == "address" and votes[0] == "0" and not any(known.get((kind, wide, ctx[wide])) == "+" for wide in (1, 3)):
         votes = "-" + votes[1:]
     # unknown words: a name only with both sides, or as two capitalised words or behind a word for persons with neither side against it
     if kind == "name" and votes[:2] == "00" and (both != ["+", "+"] if votes[8] == "-" else "-" in both):
