@@ -208,9 +208,10 @@ def by_value(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.withColumn("c_all", F.sum("n").over(same)).withColumn("is_first", F.row_number().over(same.orderBy("load_id")) == 1)
 
 
-def with_absent(values: DataFrame) -> DataFrame:
+def with_absent(values: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Values of ``json_counts`` without the rows for objects, and with one row for the cells of each field and
-    load that no object of the place has: in loads that never hold the key, all of them."""
+    load that no object of the place has: in loads that never hold the key, all of them. keep writes those few rows
+    (``Stage.write``)."""
     key = ["src_table", "holder"]
     held = values.filter("field_name is null").groupBy(*key, "load_id").agg(F.sum("n").alias("n_held"))
     cells = values.filter("field_name is not null")
@@ -224,7 +225,7 @@ def with_absent(values: DataFrame) -> DataFrame:
         "src_table", "field_name", F.lit(None).cast("string").alias("value"), no.alias("filled"), F.lit(None).cast("long").alias("chars"), no.alias("nested"),
         "load_id", "n", F.col("n").alias("c_all"), no.alias("is_first"),
     )
-    return cells.drop("holder").unionByName(empty)
+    return cells.drop("holder").unionByName(keep(empty, "absent"))
 
 
 def unpivot(df: DataFrame, table: str, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -337,15 +338,19 @@ def profile(values: DataFrame, free_text: Sequence[str] = (), keep: Callable[[Da
     free = F.col("field_name").isin(*free_text) if free_text else F.lit(False)
     plain = F.when(~F.col("nested"), F.col("value"))
     filled_n = F.when(F.col("filled"), F.col("n"))
-    # one row per field and load; NULL where a load has no filled value
-    figures = keep(values.groupBy(*key).agg(
+    # one pass over the values, to a row per field, load and form; NULL is the form of values without one
+    shape = F.when(F.col("filled") & ~F.col("nested") & ~free, form_of(F.col("value")))
+    shaped = keep(values.withColumn("form", shape).groupBy(*key, "form").agg(
         *_sums(),
         F.min(plain).alias("min_value"), F.max(plain).alias("max_value"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),
         F.sum(F.when(F.col("control").isNotNull(), F.col("n") * F.col("control").cast("long"))).alias("n_control"), F.max(filled_n).alias("n_most_frequent"),
-    ), "figures")
+    ), "shaped")
+    figures = shaped.groupBy(*key).agg(
+        *[F.sum(c).cast(DECIMAL).alias(c) for c in ("n_rows", "n_filled", "n_chars")], *[F.min(c).alias(c) for c in ("min_value", "min_chars")],
+        *[F.max(c).alias(c) for c in ("max_value", "max_chars", "n_most_frequent")], F.sum("n_control").alias("n_control"),
+    )
     totals = keep(with_overall(figures), "totals")
-    shaped = values.filter(F.col("filled") & ~F.col("nested") & ~free)
-    forms = keep(shaped.groupBy(*key, form_of(F.col("value")).alias("form")).agg(F.sum("n").alias("n")), "forms")
+    forms = shaped.filter("form is not null").select(*key, "form", F.col("n_filled").cast("long").alias("n"))
     modal = _most_frequent(forms.groupBy("src_table", "field_name", "form").agg(F.sum("n").alias("n"))).drop("n_modal")
     in_form = forms.join(modal, ["src_table", "field_name"]).filter("form = modal_form").select(*key, F.col("n").alias("n_in_form"))
 

@@ -51,7 +51,7 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every field and load: all fields found in _source, at any depth, and the notes."""
     stage = Stage(spark, "p1")
     docs = spread(load(spark, d, "elasticdump_parties").select("row_id", "load_id", "_source"), "row_id")
-    parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "values"))
+    parties = profile.with_absent(stage.write(profile.json_counts(docs, "elasticdump_parties", "_source", P1_FIELDS), "values"), stage.write)
     notes = profile.value_counts(profile.unpivot(load(spark, d, "tripmaster"), "tripmaster", ["row_id", "load_id", "load_ts"], [NOTES]), [NOTES])
     notes = stage.write(profile.by_value(notes, ["src_table", "field_name", "value", "filled", "chars", "control"]), "notes")
     return profile.profile(parties.unionByName(notes.withColumn("nested", F.lit(False)), allowMissingColumns=True), [NOTES], stage.write)
