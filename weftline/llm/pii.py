@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,10 +141,22 @@ _NAME_LEFT = re.compile(rf"(?:\b{_TITLE}\.?|\b{_ROLE}(?: (?:is|name|named))?|\b{
 _NAME_RIGHT = re.compile(rf"(?:['’]s\b)?\"?(?:,?\s*{_CREDENTIAL}\b|\s*\(?\s?(?:(?:the|her|his|pt['’]?s?) )?{_REL}\b|\s+(?:\w+ly )?{_VERB}\b|,? (?:and|or) (?:\w+ )?{_REL}\b|,? (?:dob|ssn?|mrn|tel|phone|cell)\b)", _I)
 _NOT_NAME_RIGHT = re.compile(rf"(?:['’]s)?[ \t]+{_THING}\b", _I)
 _NOT_NAME_LEFT = re.compile(rf"(?:\b(?:in|at|near|toward|towards|into|via|hx|h/o|history of|s/p|dx|r/o|stage|use|{_SUFFIX}\.?,)|\d,?)\s*$", _I)
-#: Words that a person's name follows, whatever the name; and those that it often follows.
-_ANNOUNCED = re.compile(
-    rf"\b(?:(?P<person>{_TITLE}\.?|poa|nok|next of kin|emergency contact|escort|witness|{_REL}(?: is\b)?|signed by|spoke (?:to|with)|speak (?:to|with)|ask for|consent by|c/o|care of|named)|{_ROLE}) ?[:=]? *(?=\w)(?<!\w)", _I
-)
+#: Pairs of words that a person's name follows, by the second.
+_PAIRS = {
+    "by": {"signed", "consent"}, "to": {"spoke", "speak"}, "with": {"spoke", "speak"}, "for": {"ask"}, "of": {"care"}, "contact": {"emergency"}, "kin": {"of"}, "o": {"c"},
+}
+_IS_TITLE, _IS_REL, _IS_PERSON, _IS_ROLE = (re.compile(p) for p in (_TITLE, _REL, r"poa|nok|escort|witness|named", _ROLE))
+
+
+@lru_cache(1 << 16)
+def _announces(word: str) -> str:
+    """What a word says of a name behind it: t title, r relation, p other word for persons, o role, or nothing."""
+    for pattern, kind in ((_IS_TITLE, "t"), (_IS_REL, "r"), (_IS_PERSON, "p"), (_IS_ROLE, "o")):
+        if pattern.fullmatch(word):
+            return kind
+    return ""
+
+
 _PARTICLES = {"van", "ter", "ten", "der", "den", "de", "la", "del", "von", "di", "da", "le", "el", "al", "bin", "ibn", "san", "st"}
 _TITLES = re.compile(rf"\b{_TITLE}\.?\s*$", _I)
 _THINGS = re.compile(rf"{_THING}\Z", _I)
@@ -305,10 +318,21 @@ def _names(t: str, gaz: Gazetteer, others: list[Span]) -> Iterator[Span]:
         a, b, w, _ = tokens[i]
         return caps and len(w) > 1 and t[a].isupper() and not t[a:b].isupper() and not _NO_PERSON.match(w)
 
-    # where a word that a person's name follows ends
+    # where a name is announced: by a word for persons, or by a role
     persons, roles = set(), set()
-    for m in _ANNOUNCED.finditer(t):
-        (roles if m.group("person") is None else persons).add(m.end())
+    for i in range(1, n):
+        word = tokens[i - 1][2]
+        kind = _announces(word)
+        if kind or word in _PAIRS or word == "is":
+            a = tokens[i][0]
+            between = t[tokens[i - 1][1] : a]
+            if (between[1:] if kind == "t" and between[0] == "." else between).strip(" ") not in ("", ":", "="):
+                continue
+            before = tokens[i - 2][2] if i > 1 else ""
+            if (kind and kind != "o") or before in _PAIRS.get(word, ()) or (word == "is" and _announces(before) == "r"):
+                persons.add(a)
+            elif kind:
+                roles.add(a)
 
     def unknown_run(i: int) -> int:
         """End index of a run of up to three words that may be a name without a known part, or i."""
