@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +70,11 @@ def best_sheet(spark: SparkSession, d: str) -> DataFrame:
 def database_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Two loads into a database table, all rows or none each, read back in ranges.
 
-    The database is an embedded one in memory, which lives in one JVM: for local sessions only.
+    The database is an embedded one, which lives in the driver's JVM and its files on the driver's disk: on a cluster its rows go through the driver.
     """
-    url = f"jdbc:derby:memory:{Stage(spark, 'db').path.rsplit('/', 1)[-1].replace('-', '')};create=true"
+    folder = tempfile.mkdtemp(prefix="weftline-db-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    url = f"jdbc:derby:{folder}/db;create=true"
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     rows = load(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("SEGMENT")).repartition(3)
     for number in (1, 2):
