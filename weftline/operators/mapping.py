@@ -157,34 +157,40 @@ def enrich(df: DataFrame, inputs: Sequence[str], call: Callable[[dict], dict], s
     Calls of a batch run in a bounded pool of threads; a call that raises is retried with growing
     pauses and then reported in status and error, never as a failed job. valid names what is wrong with an
     answer, or None; a wrong answer is asked for again and in the end has status invalid and no fields.
+    Rows to be asked again wait together, outside the pool: a batch pauses once an attempt, however many of its rows fail.
     """
     fields = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
     extra = [T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
     out = T.StructType(df.schema.fields + fields.fields + extra)
     names = [f.name for f in fields.fields]
 
-    def one(row: dict) -> list:
-        import time
-
-        error, status = None, "failed"
-        for attempt in range(1, retries + 1):
-            try:
-                answer = call(row)
-                error, status = valid(answer) if valid else None, "invalid"
-                if error is None:
-                    return [answer.get(n) for n in names] + ["ok", attempt, None]
-            except Exception as e:  # noqa: BLE001 - any failure of the injected call is data here
-                error, status = f"{type(e).__name__}: {e}", "failed"
-            if attempt < retries:
-                time.sleep(0.05 * 2**attempt)
-        return [None] * len(names) + [status, retries, error]
+    def one(row: dict, attempt: int) -> list:
+        try:
+            answer = call(row)
+            error, status = valid(answer) if valid else None, "invalid"
+            if error is None:
+                return [answer.get(n) for n in names] + ["ok", attempt, None]
+        except Exception as e:  # noqa: BLE001 - any failure of the injected call is data here
+            error, status = f"{type(e).__name__}: {e}", "failed"
+        return [None] * len(names) + [status, attempt, error]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
-                answers = list(pool.map(one, b[list(inputs)].to_dict("records")))
+                asked = b[list(inputs)].to_dict("records")
+                answers: list = [[None] * len(names) + ["failed", retries, None]] * len(asked)
+                left = list(range(len(asked)))
+                for attempt in range(1, retries + 1):
+                    for i, answer in zip(left, pool.map(lambda i: one(asked[i], attempt), left)):  # noqa: B023 - all are answered within the round
+                        answers[i] = answer
+                    left = [i for i in left if answers[i][-3] != "ok"]
+                    if not left:
+                        break
+                    if attempt < retries:
+                        time.sleep(0.05 * 2**attempt)
                 yield pd.concat([b.reset_index(drop=True), pd.DataFrame(answers, columns=[*names, "status", "attempts", "error"])], axis=1)
 
     return df.mapInPandas(run, out)

@@ -472,7 +472,7 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("refused")
         return {"answer": int(row["p_size"]) * 2}
 
-    return mapping.enrich(load(spark, d, "part").select("p_partkey", "p_size"), ["p_size"], call, "answer int", retries=2).select("p_partkey", "answer", "status", "attempts")
+    return mapping.enrich(spread(load(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), ["p_size"], call, "answer int", retries=2).select("p_partkey", "answer", "status", "attempts")
 
 
 # ---------------------------------------------------------------- sources and sinks
