@@ -13,7 +13,7 @@ from weftline.functions import expr
 from weftline.operators import joins, mapping, text
 from weftline.plans.linkages import LINKS, PERSON, links, person
 from weftline.plans.registry import Registry
-from weftline.runtime import Stage, load
+from weftline.runtime import Stage, load, spread
 from weftline.sources import io
 
 R = Registry()
@@ -138,7 +138,7 @@ def validated_enrichment(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("refused")
         return {"answer": int(row["p_size"]) * 2 + (row["p_size"] % 10 == 5)}
 
-    df = load(spark, d, "part").select("p_partkey", "p_size")
+    df = spread(load(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     return mapping.enrich(df, ["p_size"], call, "answer int", 2, valid=lambda a: "answer is odd" if a["answer"] % 2 else None).select("p_partkey", "answer", "status", "attempts", "error")
 
 
