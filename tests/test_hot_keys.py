@@ -67,3 +67,14 @@ def test_rated(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "i int, k string")
     card = spark.createDataFrame([("a", 2.0), (None, 9.0)], "ck string, rate double")
     assert rows(joins.rated(left, card, "k", "ck")) == [(1, "a", 2.0, False), (2, None, None, True), (3, "z", None, True)]
+
+
+def test_blocked_negatives_unfold_lists_instead_of_joining_pairs(spark):
+    data = [(i, "xyz"[i % 3] if i % 11 else None, "ab"[i % 2] if i % 13 else None) for i in range(120)] + [(None, "x", "a")]
+    df = spark.createDataFrame(data, "k int, grp string, b string")
+    known = [x for x in data if None not in x]
+    want = sorted((x[0], y[0], x[2]) for x in known for y in known if x[0] < y[0] and x[1] != y[1] and x[2] == y[2])
+    for part_rows in (3, 2000):
+        got = joins.blocked_negatives(df, "k", "grp", F.col("b"), part_rows)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert "explode(__ids" in got._jdf.queryExecution().optimizedPlan().toString()

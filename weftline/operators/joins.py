@@ -100,10 +100,20 @@ def random_pairs(df: DataFrame, id_col: str, n_rows: int, seed: int = 1) -> Data
     return a.join(b, "__slot").filter(F.col(f"{id_col}_1") < F.col(f"{id_col}_2")).drop("__slot")
 
 
-def blocked_negatives(df: DataFrame, id_col: str, group: str, block: Column) -> DataFrame:
-    """(id_1, id_2, block): pairs of different groups that share a block key."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("g"), block.alias("block"))
-    return pairs_within(rows, ["block"]).filter("g_1 <> g_2").select("id_1", "id_2", "block")
+def blocked_negatives(df: DataFrame, id_col: str, group: str, block: Column, part_rows: int = PART_ROWS) -> DataFrame:
+    """(id_1, id_2, block): pairs of different groups that share a block key.
+
+    The rows of a block travel as arrays of at most about part_rows ids per group, which each row of the block unfolds: the pairs are far
+    more than the rows, and only they are made one by one. Arrays that hold no larger id, and the row's own group, aren't unfolded.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("g"), block.alias("block")).filter("id is not null and g is not null and block is not null")
+    sizes = rows.groupBy("block", "g").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > part_rows)
+    cut = rows.join(small(sizes), ["block", "g"], "left").withColumn("__part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("__n") / part_rows), F.lit(1))))
+    lists = cut.groupBy("block", "g", "__part").agg(F.collect_list("id").alias("__ids"), F.max("id").alias("__last"))
+    a = rows.select(F.col("block"), F.col("id").alias("id_1"), F.col("g").alias("g_1"))
+    b = lists.select("block", F.col("g").alias("g_2"), "__ids", "__last")
+    found = a.join(b, "block").filter("g_1 <> g_2 and id_1 < __last")
+    return found.select("id_1", F.explode("__ids").alias("id_2"), "block").filter("id_1 < id_2")
 
 
 def blocking_pairs(df: DataFrame, id_col: str, rules: Mapping[str, Sequence[Column]]) -> DataFrame:
