@@ -78,3 +78,36 @@ def test_blocked_negatives_unfold_lists_instead_of_joining_pairs(spark):
         got = joins.blocked_negatives(df, "k", "grp", F.col("b"), part_rows)
         assert sorted(tuple(r) for r in got.collect()) == want
         assert "explode(__ids" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_ranks_only_the_ties_at_the_threshold(spark):
+    df = spark.createDataFrame([(i % 40, i % 3) for i in range(1200)], "k int, label int")
+    split = windows.stratified_split(df, "k", "label", 0.75)
+    assert sorted((r.label, r["count"]) for r in split.filter("split = 'train'").groupBy("label").count().collect()) == [(0, 300), (1, 300), (2, 300)]
+    assert split.count() == 1200
+    assert windows.stratified_split(df, "k", "label", 1.0).filter("split = 'train'").count() == 1200
+
+
+def test_agreement_is_the_level_of_the_similarity(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abé1-") for _ in range(rnd.choice([0, 1, 4, 5, 9, 10, 11, 15, 19, 20, 24, 40])))
+    pairs = []
+    for _ in range(1500):
+        a = word()
+        b = list(a)
+        for _ in range(rnd.randrange(6)):
+            if b:
+                b[rnd.randrange(len(b))] = rnd.choice(["", "x", "é", "1"])
+        pairs.append((a, rnd.choice(["".join(b), word(), a, None, " "])))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", linkage.agreement(F.col("a"), F.col("b")).alias("x"), linkage.level(linkage.similarity(F.col("a"), F.col("b"))).alias("y")).collect()
+    assert [r for r in got if r.x != r.y] == [] and {r.x for r in got} == {0, 1, 2, 3}
+
+
+def test_weighted_combinations_count_as_their_pairs(spark):
+    """Models are fitted to few combinations with counts: weights, prior and curve are those of the pairs one by one."""
+    each = spark.createDataFrame([(i % 4, int(i % 5 < 2), (i % 4) / 3) for i in range(200)], "f int, label int, s double")
+    few = each.groupBy("f", "label", "s").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    assert rows(linkage.fit_weights(each, ["f"], "label")) == rows(linkage.fit_weights(few, ["f"], "label", weight="n"))
+    assert rows(aggregates.auc_by(each.withColumn("m", F.lit(1)), ["m"], "s", "label")) == rows(aggregates.auc_by(few.withColumn("m", F.lit(1)), ["m"], "s", "label", "n"))
+    assert few.select(linkage.log_prior(few, "label", "n")).first() == each.select(linkage.log_prior(each, "label")).first()

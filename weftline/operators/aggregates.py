@@ -171,15 +171,17 @@ def auc_ap(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def auc_by(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+def auc_by(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auc, ap) per group, for scores with few distinct values such as sums of level weights.
 
     Rows shrink to counts per group and score; only those are put in order. For scores that hardly repeat use ``auc_ap``.
-    A group without matches, or without others, has no auc.
+    A group without matches, or without others, has no auc. With weight, a row counts as so many.
     """
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = lambda x: F.sum(F.when(x, one).otherwise(0))
     counts = (
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("__s"))
-        .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+        .agg(rows(F.col(label) == 1).alias("p"), rows(F.col(label) != 1).alias("q"))
     )
     upto = W.partitionBy(*by).orderBy(F.desc("__s"))
     run = counts.withColumn("pu", F.sum("p").over(upto)).withColumn("qu", F.sum("q").over(upto))

@@ -40,14 +40,25 @@ def level(score: Column, exact: float = 0.95, close: float = 0.80) -> Column:
     return first_match([(missing, 0), (score >= exact, 1), (score >= close, 2)], 3).cast("int")
 
 
-def fit_weights(pairs: DataFrame, features: Sequence[str], label: str, alpha: float = 0.5, levels: int = 4) -> DataFrame:
+def agreement(a: Column, b: Column) -> Column:
+    """level(similarity(a, b)), with edits of values under 20 characters counted only as far as they are close (a fifth of the longer one)."""
+    longest = F.greatest(F.length(a), F.length(b))
+    missing = (F.coalesce(F.trim(a), F.lit("")) == "") | (F.coalesce(F.trim(b), F.lit("")) == "")
+    near = F.call_function("levenshtein", a, b, F.floor(longest / 5).cast("int")) >= 0
+    short = F.when(near, F.lit(2)).otherwise(F.lit(3))
+    return F.when(missing, F.lit(0)).when(a == b, F.lit(1)).when(longest < 20, short).otherwise(level(similarity(a, b)))
+
+
+def fit_weights(pairs: DataFrame, features: Sequence[str], label: str, alpha: float = 0.5, levels: int = 4, weight: str | None = None) -> DataFrame:
     """(feature, level, m, u, weight): smoothed log2 ratios of levels among matches and others.
 
     m = (n_match(level) + alpha) / (n_match + alpha * levels), u alike for non-matches. One row per
-    feature and level, seen or not.
+    feature and level, seen or not. With weight, a row counts as so many pairs.
     """
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("level")) for f in features]))
-    seen = pairs.select(label, cells.alias("c")).groupBy("c.feature", "c.level").agg(F.count_if(F.col(label) == 1).alias("nm"), F.count_if(F.col(label) != 1).alias("nu"))
+    counted = pairs.select(label, one.alias("__n"), cells.alias("c")).groupBy("c.feature", "c.level")
+    seen = counted.agg(*[F.sum(F.when(x, F.col("__n")).otherwise(0)).alias(n) for x, n in ((F.col(label) == 1, "nm"), (F.col(label) != 1, "nu"))])
     totals = seen.groupBy("feature").agg(F.sum("nm").alias("tm"), F.sum("nu").alias("tu"))
     grid = totals.select("feature", "tm", "tu", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
     full = grid.join(seen, ["feature", "level"], "left")
@@ -117,9 +128,10 @@ def with_name_match(pairs: DataFrame, left: str, right: str, cutoff: float) -> D
     return pairs.withColumn("__m", match.asNondeterministic()(F.col(left), F.col(right))).select(*pairs.columns, "__m.name_score", "__m.name_good")
 
 
-def log_prior(pairs: DataFrame, label: str) -> Column:
-    """log2(p / (1 - p)) of the share of matches, as a scalar."""
-    p = F.avg((F.col(label) == 1).cast("double"))
+def log_prior(pairs: DataFrame, label: str, weight: str | None = None) -> Column:
+    """log2(p / (1 - p)) of the share of matches, as a scalar; with weight, a row counts as so many pairs."""
+    match = (F.col(label) == 1).cast("double")
+    p = F.avg(match) if weight is None else F.sum(match * F.col(weight)) / F.sum(weight)
     return pairs.select(F.log2(p / (1 - p))).scalar()
 
 

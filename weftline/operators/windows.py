@@ -79,16 +79,20 @@ def stratified_split(df: DataFrame, key: str, label: str, fraction: float, seed:
     """df with split 'train' or 'test': exactly floor(fraction * n) of each label train.
 
     The threshold per label comes from counts per hash value (at most the modulus), so no label is
-    sorted as a whole; ties at the threshold go by key.
+    sorted as a whole; ties at the threshold go by key, and only they are ranked.
     """
     h = df.withColumn("__h", portable_hash(F.col(key), seed))
     per = h.groupBy(label, "__h").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(label).orderBy("__h")
     cum = per.withColumn("__before", F.sum("__c").over(w) - F.col("__c")).withColumn("__want", F.floor(F.sum("__c").over(W.partitionBy(label)) * F.lit(fraction)))
-    joined = h.join(cum.select(F.col(label).alias("__l"), F.col("__h").alias("__g"), "__before", "__c", "__want"), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__h") == F.col("__g")))
-    rank = F.row_number().over(W.partitionBy(label, "__h").orderBy(key))
-    split = F.when(F.col("__before") + rank <= F.col("__want"), "train").otherwise("test")
-    return joined.withColumn("split", split).select(*df.columns, "split")
+    # the one hash value per label within which the threshold falls; none where all rows are train
+    edge = cum.filter("__before <= __want and __before + __c > __want").select(F.col(label).alias("__l"), F.col("__h").alias("__g"), (F.col("__want") - F.col("__before")).alias("__left"))
+    joined = h.join(small(edge), F.col(label).eqNullSafe(F.col("__l")), "left")
+    rank = F.row_number().over(W.partitionBy(label).orderBy(key))
+    side = F.when(F.col("__left").isNull(), "train").when(F.col("__g").isNull() | (F.col("__h") > F.col("__g")), "test").otherwise("train")
+    clear = joined.filter("__h is not null and (__g is null or __h <> __g)").withColumn("split", side)
+    tied = joined.filter("__h = __g").withColumn("split", F.when(rank <= F.col("__left"), "train").otherwise("test"))
+    return clear.select(*df.columns, "split").unionByName(tied.select(*df.columns, "split"))
 
 
 def stratified_sample(df: DataFrame, key: str, by: str, n: int, seed: int = 0) -> DataFrame:

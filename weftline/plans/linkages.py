@@ -51,13 +51,16 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     true = both
     for side in ("id_1", "id_2"):
         true = true.join(known, F.col(side) == F.col("__id"), "left_semi")
-    block = F.concat_ws("\x1f", "lastName", "cob", F.substring("dob", 1, 3))
-    rows = p.filter("lastName is not null and cob is not null and dob is not null").select(F.col("party_id").alias("id"), block.alias("block"))
-    near = joins.pairs_within(rows, ["block"]).select("id_1", "id_2").join(both, ["id_1", "id_2"], "left_anti")
-    pairs = true.withColumn("label", F.lit(1)).unionByName(near.withColumn("label", F.lit(0)))
     for side in ("1", "2"):
-        pairs = pairs.join(joins.suffixed(p, f"_{side}"), F.col(f"id_{side}") == F.col(f"party_id_{side}"))
-    return pairs.drop("party_id_1", "party_id_2")
+        true = true.join(joins.suffixed(p, f"_{side}"), F.col(f"id_{side}") == F.col(f"party_id_{side}"))
+    block = F.concat_ws("\x1f", "lastName", "cob", F.substring("dob", 1, 3))
+    # a row brings its attributes and the ids it is linked to, so the pairs, which are far more, are neither joined nor shuffled again
+    linked = both.groupBy(F.col("id_1").alias("__of")).agg(F.collect_list("id_2").alias("linked"))
+    rows = p.filter("lastName is not null and cob is not null and dob is not null").join(linked, F.col("party_id") == F.col("__of"), "left")
+    near = joins.pairs_within(rows.select(F.col("party_id").alias("id"), block.alias("block"), "linked", *ATTRIBUTES), ["block"])
+    near = near.filter("linked_1 is null or not array_contains(linked_1, id_2)")
+    columns = ["id_1", "id_2", "label", *[f"{c}_{side}" for side in ("1", "2") for c in ATTRIBUTES]]
+    return true.withColumn("label", F.lit(1)).select(columns).unionByName(near.withColumn("label", F.lit(0)).select(columns))
 
 
 LINKS = "links AS (SELECT DISTINCT upper(trim(pr1)) AS pr1, upper(trim(pr2)) AS pr2 FROM anm_training_data_matches WHERE label = 1 AND upper(trim(pr1)) <> upper(trim(pr2)))"
@@ -89,7 +92,7 @@ LVL = LAB + ", sim AS (SELECT *, " + ", ".join(f"{_sim(c)} AS s_{f}" for f, c in
 def levels(spark: SparkSession, d: str) -> DataFrame:
     """labelled pairs with a level (0 missing, 1 same, 2 close, 3 else) per feature and k, a number of the pair."""
     number = lambda c: F.coalesce(F.substring(c, 2, 20).try_cast("long"), F.lit(0))
-    level = [linkage.level(linkage.similarity(F.col(f"{c}_1"), F.col(f"{c}_2"))).alias(f) for f, c in LEVELS.items()]
+    level = [linkage.agreement(F.col(f"{c}_1"), F.col(f"{c}_2")).alias(f) for f, c in LEVELS.items()]
     return labelled(spark, d).select("*", *level, (number("id_1") * 31 + number("id_2")).alias("k"))
 
 
@@ -248,7 +251,7 @@ def fs_unsupervised(spark: SparkSession, d: str) -> DataFrame:
     stage, p = Stage(spark, "em"), person(spark, d)
     people = stage.write(p.select("party_id", *LEVELS.values()), "people")
     n = people.count()
-    compared = lambda pairs: pairs.select(*[linkage.level(linkage.similarity(F.col(f"{c}_1"), F.col(f"{c}_2"))).alias(f) for f, c in LEVELS.items()])
+    compared = lambda pairs: pairs.select(*[linkage.agreement(F.col(f"{c}_1"), F.col(f"{c}_2")).alias(f) for f, c in LEVELS.items()])
     u = linkage.level_shares(compared(joins.random_pairs(people, "party_id", n)), list(LEVELS))
     prior = linkage.pair_prior(links(spark, d).select(F.least("pr1", "pr2").alias("a"), F.greatest("pr1", "pr2").alias("b")).distinct().count(), n)
     passes: dict[str, list] = {f: [] for f in LEVELS}
@@ -274,21 +277,26 @@ def supervised_model(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     features = ["dob", "first", "ssn"]
-    train, test = _halves(Stage(spark, "model").write(levels(spark, d).select("k", "label", *features), "levels"))
+    split = windows.stratified_split(Stage(spark, "model").write(levels(spark, d).select("k", "label", *features), "levels"), "k", "label", 0.75)
+    # a pair is one of few combinations of levels: the models are fitted to these, weighted by their pairs
+    counts = Stage(spark, "model").write(split.groupBy("split", "label", *features).agg(F.count(F.lit(1)).cast("double").alias("pairs")), "counts")
+    train, test = counts.filter("split = 'train'"), counts.filter("split = 'test'")
     hot = {f"{f}_{i}": (F.col(f) == i).cast("double") for f in features for i in range(4)}
     assemble = VectorAssembler(inputCols=list(hot), outputCol="features")
-    fit, held = (assemble.transform(x.select("label", *features, *[c.alias(n) for n, c in hot.items()])) for x in (train, test))
-    linear = LogisticRegression(labelCol="label", maxIter=20, regParam=0.01).fit(fit)
+    fit, held = (assemble.transform(x.select("label", "pairs", *features, *[c.alias(n) for n, c in hot.items()])) for x in (train, test))
+    # variances of weighted rows have another divisor than those of the pairs, and the penalty is in units of them
+    n, squares = train.agg(F.sum("pairs"), F.sum(F.col("pairs") ** 2)).first()
+    linear = LogisticRegression(labelCol="label", weightCol="pairs", maxIter=20, regParam=0.01 * (n - squares / n) / (n - 1)).fit(fit)
     # the fitted weights as one expression: the score stays in generated code
     z = sum((F.col(c) * float(w) for c, w in zip(hot, linear.coefficients)), F.lit(float(linear.intercept)))
-    trees = GBTClassifier(labelCol="label", maxIter=8, maxDepth=3, seed=7).fit(fit)
-    weighed = linkage.score_pairs(held, features, linkage.fit_weights(train, features, "label"), linkage.log_prior(train, "label"))
+    trees = GBTClassifier(labelCol="label", weightCol="pairs", maxIter=8, maxDepth=3, seed=7).fit(fit)
+    weighed = linkage.score_pairs(held, features, linkage.fit_weights(train, features, "label", weight="pairs"), linkage.log_prior(train, "label", "pairs"))
     scored = [
-        held.select("label", F.lit("linear").alias("model"), (1 / (1 + F.exp(-z))).alias("s")),
-        trees.transform(held).select("label", F.lit("boosted").alias("model"), vector_to_array("probability")[1].alias("s")),
-        weighed.select("label", F.lit("weights").alias("model"), F.col("match_probability").alias("s")),
+        held.select("label", "pairs", F.lit("linear").alias("model"), (1 / (1 + F.exp(-z))).alias("s")),
+        trees.transform(held).select("label", "pairs", F.lit("boosted").alias("model"), vector_to_array("probability")[1].alias("s")),
+        weighed.select("label", "pairs", F.lit("weights").alias("model"), F.col("match_probability").alias("s")),
     ]
-    return aggregates.auc_by(scored[0].unionByName(scored[1]).unionByName(scored[2]), ["model"], "s", "label")
+    return aggregates.auc_by(scored[0].unionByName(scored[1]).unionByName(scored[2]), ["model"], "s", "label", "pairs")
 
 
 @R.query(f"""WITH {LAB}, c AS (SELECT 'dob' AS field, dob_1 AS l, dob_2 AS r FROM lab UNION ALL SELECT 'firstName', firstName_1, firstName_2 FROM lab), k AS (SELECT * FROM c WHERE l IS NOT NULL AND r IS NOT NULL),
