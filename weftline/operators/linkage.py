@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,38 +142,37 @@ def pair_prior(n_true: int, n_records: int) -> float:
     return min(0.5, max(1e-6, n_true / possible)) if possible else 1e-6
 
 
-def em_weights(pairs: DataFrame, features: Sequence[str], u: Mapping[str, Sequence[float]] | None = None, prior: float = 0.1, rounds: int = 50, levels: int = 4) -> dict:
+def em_weights(
+    pairs: DataFrame, features: Sequence[str], u: Mapping[str, Sequence[float]] | None = None, prior: float = 0.1, rounds: int = 50, levels: int = 4, weight: str | None = None
+) -> dict:
     """Unsupervised m, u and prior by expectation-maximisation over comparison vectors.
 
-    Pairs are reduced to counts of distinct vectors (at most levels ** features, usually dozens) and
-    only those come to the driver. u may be given, as from random pairs, and then stays fixed.
+    Pairs are reduced to counts of distinct vectors (at most levels ** features, usually far fewer) and
+    only those come to the driver. u may be given, as from random pairs, and then stays fixed. With weight, a row counts as so many pairs.
     Returns {'prior', 'm': {feature: [..]}, 'u': {feature: [..]}, 'rounds'}.
     """
-    vectors = [(tuple(r[f] for f in features), r["n"]) for r in pairs.groupBy(*features).agg(F.count(F.lit(1)).alias("n")).collect()]
-    m = {f: [0.25] + [0.6, 0.1] + [0.05] * (levels - 3) for f in features}
+    counted = pairs.groupBy(*features).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).orderBy(*features).collect()
+    vectors = np.array([[r[f] for f in features] for r in counted], int).reshape(-1, len(features))
+    n = np.array([r["n"] for r in counted], float)
+    m = {f: np.array([0.25] + [0.6, 0.1] + [0.05] * (levels - 3)) for f in features}
     given = u is not None
-    u = {f: list((u or {}).get(f, [0.25, 0.05, 0.1] + [0.6] * (levels - 3))) for f in features}
-    done = 0
+    u = {f: np.array((u or {}).get(f, [0.25, 0.05, 0.1] + [0.6] * (levels - 3)), float) for f in features}
+    total, done = n.sum() or 1, 0
     for done in range(1, rounds + 1):
-        post = []
-        for v, n in vectors:
-            a, b = math.log(prior), math.log(1 - prior)
-            for f, x in zip(features, v):
-                a, b = a + math.log(m[f][x]), b + math.log(u[f][x])
-            post.append(1 / (1 + math.exp(min(500.0, b - a))))
-        total = sum(n for _, n in vectors) or 1
-        matched = sum(p * n for p, (_, n) in zip(post, vectors))
+        a = math.log(prior) + sum(np.log(m[f])[vectors[:, i]] for i, f in enumerate(features))
+        b = math.log(1 - prior) + sum(np.log(u[f])[vectors[:, i]] for i, f in enumerate(features))
+        post = 1 / (1 + np.exp(np.minimum(500.0, b - a)))
+        matched = (post * n).sum()
         new_prior = min(1 - 1e-9, max(1e-9, matched / total))
         for i, f in enumerate(features):
-            for x in range(levels):
-                inside = [(p, n) for p, (v, n) in zip(post, vectors) if v[i] == x]
-                m[f][x] = (sum(p * n for p, n in inside) + 1e-6) / (matched + levels * 1e-6)
-                if not given:
-                    u[f][x] = (sum((1 - p) * n for p, n in inside) + 1e-6) / (total - matched + levels * 1e-6)
+            inside = lambda p: np.bincount(vectors[:, i], weights=p * n, minlength=levels)  # noqa: B023, E731
+            m[f] = (inside(post) + 1e-6) / (matched + levels * 1e-6)
+            if not given:
+                u[f] = (inside(1 - post) + 1e-6) / (total - matched + levels * 1e-6)
         moved, prior = abs(new_prior - prior), new_prior
         if moved < 1e-9:
             break
-    return {"prior": prior, "m": m, "u": u, "rounds": done}
+    return {"prior": float(prior), "m": {f: x.tolist() for f, x in m.items()}, "u": {f: x.tolist() for f, x in u.items()}, "rounds": done}
 
 
 def decide(strong: Column, score: Column, evidence: Column, accept: float = 0.98, review: float = 0.8, least_evidence: int = 2, conflict: Column | None = None) -> Column:

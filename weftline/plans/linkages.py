@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import aggregates, graph, joins, linkage, windows
+from weftline.operators import aggregates, graph, joins, linkage, vectors, windows
 from weftline.plans.registry import Registry
 from weftline.runtime import Stage, load
 
@@ -256,10 +256,10 @@ def fs_unsupervised(spark: SparkSession, d: str) -> DataFrame:
     prior = linkage.pair_prior(links(spark, d).select(F.least("pr1", "pr2").alias("a"), F.greatest("pr1", "pr2").alias("b")).distinct().count(), n)
     passes: dict[str, list] = {f: [] for f in LEVELS}
     for keys in (["firstName", "lastName"], ["dob"]):
-        rows = people.dropna(subset=keys).select(F.col("party_id").alias("id"), *LEVELS.values())
-        pairs = joins.pairs_within(rows.withColumn("block", F.concat_ws("\x1f", *keys)), ["block"])
         free = [f for f, c in LEVELS.items() if c not in keys]
-        fitted = linkage.em_weights(compared(pairs), free, u=u)
+        # the pairs grow with the square of a block, so they are counted by vector where they are compared
+        counts = vectors.vector_counts(people, keys, "party_id", {f: LEVELS[f] for f in free})
+        fitted = linkage.em_weights(counts, free, u=u, weight="n")
         for f in free:
             passes[f].append(fitted["m"][f])
     rows = [(f, i, sum(m[i] for m in ms) / len(ms), u[f][i], prior) for f, ms in passes.items() for i in range(4)]
