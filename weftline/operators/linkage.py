@@ -151,9 +151,11 @@ def em_weights(
     only those come to the driver. u may be given, as from random pairs, and then stays fixed. With weight, a row counts as so many pairs.
     Returns {'prior', 'm': {feature: [..]}, 'u': {feature: [..]}, 'rounds'}.
     """
-    counted = pairs.groupBy(*features).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).orderBy(*features).collect()
-    vectors = np.array([[r[f] for f in features] for r in counted], int).reshape(-1, len(features))
-    n = np.array([r["n"] for r in counted], float)
+    counted = pairs.groupBy(*features).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    table = counted.toArrow()
+    vectors = np.column_stack([table[f].to_numpy() for f in features]).astype(int)
+    order = np.lexsort(vectors.T[::-1])  # sums don't depend on the order in which the rows come
+    vectors, n = vectors[order], table["n"].to_numpy()[order].astype(float)
     m = {f: np.array([0.25] + [0.6, 0.1] + [0.05] * (levels - 3)) for f in features}
     given = u is not None
     u = {f: np.array((u or {}).get(f, [0.25, 0.05, 0.1] + [0.6] * (levels - 3)), float) for f in features}
